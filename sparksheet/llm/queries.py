@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, media, packing, secrets, topk
+from . import licenses, media, neardup, packing, secrets, topk
 from .common import table
 
 
@@ -20,6 +20,10 @@ def op3_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(pieces)
 
 
+def op6_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), width=4)
+
+
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.find_secrets(table(spark, sf_dir, "documents"))
     show = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["from"].cast("string"), s["to"].cast("string"))), ",")
@@ -48,5 +52,5 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op3_pack": op3_pack, "op7_secrets": op7_secrets, "op8_topk": op8_topk, "op9_media": op9_media, "op10_licenses": op10_licenses}
+QUERIES = {"op3_pack": op3_pack, "op6_neardup": op6_neardup, "op7_secrets": op7_secrets, "op8_topk": op8_topk, "op9_media": op9_media, "op10_licenses": op10_licenses}
 ORACLES: dict[str, str] = {}
