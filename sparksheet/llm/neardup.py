@@ -7,8 +7,10 @@ difference, so every chunk is entered under its 4 ways of leaving one value out:
 Pairs that meet are tested by signature distance and by set sizes, then confirmed on their full sets.
 
 Equal sets are one class from the start.  Entries that many classes share are not expanded into pairs: first every
-class meets the entry's smallest one, then its largest one; classes then connected need no more comparison, and only
-classes still apart in an entry meet each other, under the signature test.  So all links between components are found.
+class meets the entry's smallest and largest one, then its most central one (of which most shingles are held by others
+too); classes then connected need no more comparison.  Classes still apart in an entry meet each other only where
+their overlap can suffice: it is bounded by the shingles that many of them hold and by those few hold that the pair
+shares.  So all links between components are found without expanding a group into pairs.
 
 Defined cases: texts without words, null texts and rows with a null id are linked with nothing (component: own id);
 repeated rows are one class; an empty table gives no rows; other columns are ignored.  Shingles, sets and classes are
@@ -31,6 +33,8 @@ PACKED = [f"s{i}" for i in range(VALUES // 4)]
 _SEEDS = mix(np.arange(1, VALUES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 #: Beyond this many differing values of 32 a pair of similarity 0.8 is practically out (one in 10**8).
 FAR = 20
+#: Shingles that fewer classes hold are looked up class by class; in a group of near copies they mark each copy's own changes.
+FEW = 8
 
 
 def signature(s: np.ndarray) -> np.ndarray:
@@ -107,6 +111,42 @@ def _as(df: DataFrame, side: str) -> DataFrame:
     return df.select(*[F.col(c).alias(f"{side}{c}") for c in df.columns])
 
 
+def _both(pairs: DataFrame, facts: DataFrame) -> DataFrame:
+    """Pairs (a, b, ...) with the facts of both sides."""
+    return pairs.join(_as(facts, "a_"), F.col("a") == F.col("a_f")).join(_as(facts, "b_"), F.col("b") == F.col("b_f"))
+
+
+def _apart(members: DataFrame) -> DataFrame:
+    """(key, f, label): the members of entries that hold more than one component."""
+    keys = members.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
+    return members.join(keys, "key", "left_semi")
+
+
+def _shared_shingles(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """f, w, df: the shingles that at least two of the members (f) hold, and how many hold them."""
+    each = sets.join(members.select("f").distinct(), "f", "left_semi").select("f", F.explode("words").alias("w"))
+    held = each.groupBy("w").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    return each.join(held, "w")
+
+
+def _overlaps(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """f, common, rare: how many of a class's shingles at least FEW, or fewer but at least two, of the members hold."""
+    return _shared_shingles(members, sets).groupBy("f").agg(F.count(F.when(F.col("df") >= FEW, 1)).alias("common"), F.count(F.when(F.col("df") < FEW, 1)).alias("rare"))
+
+
+def _few(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """a < b, k: pairs of different components that share k shingles which fewer than FEW members hold."""
+    each = cut(_shared_shingles(members, sets).where(F.col("df") < FEW).select("f", "w").join(members, "f"))
+    pairs = _as(each, "a_").join(_as(each, "b_"), (F.col("a_w") == F.col("b_w")) & (F.col("a_f") < F.col("b_f")) & (F.col("a_label") != F.col("b_label")))
+    return pairs.groupBy(F.col("a_f").alias("a"), F.col("b_f").alias("b")).agg(F.count(F.lit(1)).alias("k"))
+
+
+def _enough(k: Column, least: int, rare: bool = False) -> Column:
+    """Whether two sets' overlap can reach the similarity: it is at most the smaller number of common shingles, and the rare ones they share (k; with rare=True all they have)."""
+    have = [F.col(f"{x}common") + (F.col(f"{x}rare") if rare else F.lit(0)) for x in ("a_", "b_")]
+    return (100 + least) * (F.least(*have) + k) >= least * (F.col("a_n") + F.col("b_n"))
+
+
 def near_duplicates(df: DataFrame, width: int = 5, least: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, n_shingles long, component_id long, kept boolean for each row of df: linked are documents with
     100 * intersection >= least * union of their shingle sets; kept is the smallest id of each component."""
@@ -129,17 +169,31 @@ def near_duplicates(df: DataFrame, width: int = 5, least: int = 80, id_col: str
         return full.where(100 * both >= least * (F.size("a_words") + F.size("b_words") - both)).select("a", "b")
 
     stars = shared.select(F.col("low").alias("a"), F.col("f").alias("b")).unionByName(shared.select(F.col("f").alias("a"), F.col("high").alias("b"))).where("a <> b").distinct()
-    near = stars.join(_as(facts, "a_"), F.col("a") == F.col("a_f")).join(_as(facts, "b_"), F.col("b") == F.col("b_f")).where(_near("a_", "b_", least)).select("a", "b")
+    near = _both(stars, facts).where(_near("a_", "b_", least)).select("a", "b")
     links = cut(confirmed(near))
     label = cut(components(links))
-    # What is still apart in an entry of three or more classes.
-    wide = shared.where("rows > 2").select("key", "f").join(label.withColumnRenamed("node", "f"), "f", "left").select("key", "f", F.coalesce("label", "f").alias("label"))
-    apart = wide.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
-    rest = cut(wide.join(apart, "key", "left_semi").join(facts, "f"))
-    common = rest.groupBy("key", "label").agg(F.count(F.lit(1)).alias("k")).groupBy("key").agg(F.max(F.struct("k", "label")).alias("top")).select("key", F.col("top.label").alias("main"))
-    minor = rest.join(common, "key").where("label <> main")
-    met = _as(minor.drop("main"), "a_").join(_as(rest, "b_"), (F.col("a_key") == F.col("b_key")) & (F.col("a_label") != F.col("b_label")) & _near("a_", "b_", least))
-    more = cut(confirmed(met.select(F.least("a_f", "b_f").alias("a"), F.greatest("a_f", "b_f").alias("b")).distinct()))
+    # What is still apart in an entry of three or more classes meets the entry's most central class first.
+    labelled = lambda x: x.join(label.withColumnRenamed("node", "f"), "f", "left").withColumn("label", F.coalesce("label", "f"))
+    wide = shared.where("rows > 2").select("key", "f")
+    rest = cut(_apart(labelled(wide)))
+    facts = cut(_overlaps(rest, sets).join(facts, "f"))
+    able = cut(rest.select("key", "f").join(facts, "f"))
+    centre = able.groupBy("key").agg(F.max(F.struct((F.col("common") + F.col("rare")) / F.col("n"), "f")).alias("c")).select("key", F.col("c.f").alias("b"))
+    second = able.select("key", "f").join(centre, "key").where("f <> b").select(F.col("f").alias("a"), "b").distinct()
+    more = cut(confirmed(_both(second, facts).where(_near("a_", "b_", least) & _enough(F.lit(0), least, rare=True)).select("a", "b")))
+    links = links.unionByName(more)
+    label = cut(components(links))
+    # Then classes of different components meet if their overlap can suffice: through the shingles that many
+    # share, or through those that few share, where a pair has some.
+    last = cut(labelled(able.select("key", "f")))
+    left = cut(_apart(last.select("key", "f", "label")).join(facts, "f"))
+    main = left.groupBy("key", "label").agg(F.count(F.lit(1)).alias("k")).groupBy("key").agg(F.max(F.struct("k", "label")).alias("top")).select("key", F.col("top.label").alias("main"))
+    minor = left.join(main, "key").where("label <> main").drop("main")
+    met = _as(minor, "a_").join(_as(left, "b_"), (F.col("a_key") == F.col("b_key")) & (F.col("a_label") != F.col("b_label")) & _enough(F.lit(0), least) & _near("a_", "b_", least))
+    few = _few(left.select("f", "label").distinct(), sets)
+    close = _both(few, facts).where(_enough(F.col("k"), least) & _near("a_", "b_", least)).select("a", "b")
+    final = met.select(F.least("a_f", "b_f").alias("a"), F.greatest("a_f", "b_f").alias("b")).unionByName(close).distinct()
+    more = cut(confirmed(final))
     if not more.isEmpty():
         label = cut(components(links.unionByName(more)))
     named = classes.select("f", "id").join(label.withColumnRenamed("node", "f"), "f", "left").select("f", "id", F.coalesce("label", "f").alias("label"))

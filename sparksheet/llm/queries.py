@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, media, neardup, packing, secrets, topk
-from .common import table
+from . import langid, licenses, lines, media, mixing, neardup, packing, quality, secrets, topk
+from .common import table, text_of
 
 
 def tokenizer_path() -> str:
@@ -15,6 +15,27 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages with all four kinds of evidence, and all documents: their source is the host, and the language given for them the declaration."""
+    docs, pages = table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages")
+    langs, grams = langid.learn(docs, "lang", "text")
+    web = langid.of_pages(pages).select(F.lit(None).cast("long").alias("doc_id"), "page_id", "t", "declared", "address", "host", "domain")
+    own = docs.select("doc_id", F.lit(None).cast("long").alias("page_id"), text_of().alias("t"), F.col("lang").alias("declared"), F.lit("").alias("address"), F.col("source").alias("host"), F.lit("(documents)").alias("domain"))
+    return langid.identify(web.unionByName(own), langs, grams, ["doc_id", "page_id"])
+
+
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+def op4_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "removed", "text")
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.tokenize(table(spark, sf_dir, "documents"), tokenizer_path())
     return packing.pack(pieces)
@@ -52,5 +73,5 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op3_pack": op3_pack, "op6_neardup": op6_neardup, "op7_secrets": op7_secrets, "op8_topk": op8_topk, "op9_media": op9_media, "op10_licenses": op10_licenses}
+QUERIES = {"op1_langid": op1_langid, "op2_mixing": op2_mixing, "op4_lines": op4_lines, "op5_quality": op5_quality, "op3_pack": op3_pack, "op6_neardup": op6_neardup, "op7_secrets": op7_secrets, "op8_topk": op8_topk, "op9_media": op9_media, "op10_licenses": op10_licenses}
 ORACLES: dict[str, str] = {}
