@@ -9,8 +9,8 @@ Pairs that meet are tested by signature distance and by set sizes, then confirme
 Equal sets are one class from the start.  Entries that many classes share are not expanded into pairs: first every
 class meets the entry's smallest and largest one, then its most central one (of which most shingles are held by others
 too); classes then connected need no more comparison.  Classes still apart in an entry meet each other only where
-their overlap can suffice: it is bounded by the shingles that many of them hold and by those few hold that the pair
-shares.  So all links between components are found without expanding a group into pairs.
+their overlap can suffice: it is bounded by the shingles that many of them hold, counted in groups by hash, and by those
+few hold that the pair shares.  So all links between components are found without expanding a group into pairs.
 
 Defined cases: texts without words, null texts and rows with a null id are linked with nothing (component: own id);
 repeated rows are one class; an empty table gives no rows; other columns are ignored.  Shingles, sets and classes are
@@ -35,6 +35,8 @@ _SEEDS = mix(np.arange(1, VALUES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4
 FAR = 20
 #: Shingles that fewer classes hold are looked up class by class; in a group of near copies they mark each copy's own changes.
 FEW = 8
+#: The others are counted in this many groups: near copies that changed different places fall short in different ones.
+GROUPS = 32
 
 
 def signature(s: np.ndarray) -> np.ndarray:
@@ -130,8 +132,10 @@ def _shared_shingles(members: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _overlaps(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """f, common, rare: how many of a class's shingles at least FEW, or fewer but at least two, of the members hold."""
-    return _shared_shingles(members, sets).groupBy("f").agg(F.count(F.when(F.col("df") >= FEW, 1)).alias("common"), F.count(F.when(F.col("df") < FEW, 1)).alias("rare"))
+    """f, rare, g0.. : how many of a class's shingles fewer than FEW (but at least two) of the members hold, and, in GROUPS groups by hash, how many at least FEW hold."""
+    many = F.col("df") >= FEW
+    counts = [F.count(F.when(many & (F.pmod("w", F.lit(GROUPS)) == i), 1)).cast("int").alias(f"g{i}") for i in range(GROUPS)]
+    return _shared_shingles(members, sets).groupBy("f").agg(F.count(F.when(~many, 1)).alias("rare"), *counts)
 
 
 def _few(members: DataFrame, sets: DataFrame) -> DataFrame:
@@ -142,9 +146,11 @@ def _few(members: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _enough(k: Column, least: int, rare: bool = False) -> Column:
-    """Whether two sets' overlap can reach the similarity: it is at most the smaller number of common shingles, and the rare ones they share (k; with rare=True all they have)."""
-    have = [F.col(f"{x}common") + (F.col(f"{x}rare") if rare else F.lit(0)) for x in ("a_", "b_")]
-    return (100 + least) * (F.least(*have) + k) >= least * (F.col("a_n") + F.col("b_n"))
+    """Whether two sets' overlap can reach the similarity: group by group it is at most the smaller number of common
+    shingles, and besides them the rare ones they share (k; with rare=True all that the poorer one has)."""
+    common = sum((F.least(f"a_g{i}", f"b_g{i}") for i in range(GROUPS)), F.lit(0))
+    more = F.least("a_rare", "b_rare") if rare else k
+    return (100 + least) * (common + more) >= least * (F.col("a_n") + F.col("b_n"))
 
 
 def near_duplicates(df: DataFrame, width: int = 5, least: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -178,7 +184,7 @@ def near_duplicates(df: DataFrame, width: int = 5, least: int = 80, id_col: str
     rest = cut(_apart(labelled(wide)))
     facts = cut(_overlaps(rest, sets).join(facts, "f"))
     able = cut(rest.select("key", "f").join(facts, "f"))
-    centre = able.groupBy("key").agg(F.max(F.struct((F.col("common") + F.col("rare")) / F.col("n"), "f")).alias("c")).select("key", F.col("c.f").alias("b"))
+    centre = able.groupBy("key").agg(F.max(F.struct((sum((F.col(f"g{i}") for i in range(GROUPS)), F.col("rare"))) / F.col("n"), "f")).alias("c")).select("key", F.col("c.f").alias("b"))
     second = able.select("key", "f").join(centre, "key").where("f <> b").select(F.col("f").alias("a"), "b").distinct()
     more = cut(confirmed(_both(second, facts).where(_near("a_", "b_", least) & _enough(F.lit(0), least, rare=True)).select("a", "b")))
     links = links.unionByName(more)
@@ -189,7 +195,7 @@ def near_duplicates(df: DataFrame, width: int = 5, least: int = 80, id_col: str
     left = cut(_apart(last.select("key", "f", "label")).join(facts, "f"))
     main = left.groupBy("key", "label").agg(F.count(F.lit(1)).alias("k")).groupBy("key").agg(F.max(F.struct("k", "label")).alias("top")).select("key", F.col("top.label").alias("main"))
     minor = left.join(main, "key").where("label <> main").drop("main")
-    met = _as(minor, "a_").join(_as(left, "b_"), (F.col("a_key") == F.col("b_key")) & (F.col("a_label") != F.col("b_label")) & _enough(F.lit(0), least) & _near("a_", "b_", least))
+    met = _as(minor, "a_").join(_as(left, "b_"), (F.col("a_key") == F.col("b_key")) & (F.col("a_label") != F.col("b_label")) & _near("a_", "b_", least) & _enough(F.lit(0), least))
     few = _few(left.select("f", "label").distinct(), sets)
     close = _both(few, facts).where(_enough(F.col("k"), least) & _near("a_", "b_", least)).select("a", "b")
     final = met.select(F.least("a_f", "b_f").alias("a"), F.greatest("a_f", "b_f").alias("b")).unionByName(close).distinct()
