@@ -153,6 +153,22 @@ def _enough(k: Column, least: int, rare: bool = False) -> Column:
     return (100 + least) * (common + more) >= least * (F.col("a_n") + F.col("b_n"))
 
 
+def _common(side: str = "") -> Column:
+    """How many shingles of a class are held by many."""
+    return sum((F.col(f"{side}g{i}") for i in range(GROUPS)), F.lit(0))
+
+
+def _fits(least: int) -> Column:
+    """Whether a class's common shingles alone can reach the similarity with any other: the other's size is at least `least` percent of its own."""
+    return 100 * _common() >= least * F.col("n")
+
+
+def _spare(least: int, side: str = "") -> Column:
+    """What a class's other shingles leave of the difference that a pair may have, (n_a + n_b) * (100 - least) / (100 + least).
+    Sets that share no others differ in all of them, so a pair's spares sum to 0 or more: one side's is not negative."""
+    return (100 - least) * F.col(f"{side}n") - (100 + least) * (F.col(f"{side}n") - _common(side))
+
+
 def near_duplicates(df: DataFrame, width: int = 5, least: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, n_shingles long, component_id long, kept boolean for each row of df: linked are documents with
     100 * intersection >= least * union of their shingle sets; kept is the smallest id of each component."""
@@ -193,9 +209,16 @@ def near_duplicates(df: DataFrame, width: int = 5, least: int = 80, id_col: str
     # share, or through those that few share, where a pair has some.
     last = cut(labelled(able.select("key", "f")))
     left = cut(_apart(last.select("key", "f", "label")).join(facts, "f"))
-    main = left.groupBy("key", "label").agg(F.count(F.lit(1)).alias("k")).groupBy("key").agg(F.max(F.struct("k", "label")).alias("top")).select("key", F.col("top.label").alias("main"))
-    minor = left.join(main, "key").where("label <> main").drop("main")
-    met = _as(minor, "a_").join(_as(left, "b_"), (F.col("a_key") == F.col("b_key")) & (F.col("a_label") != F.col("b_label")) & _near("a_", "b_", least) & _enough(F.lit(0), least))
+    fit = cut(_apart(left.where(_fits(least))))
+    main = fit.groupBy("key", "label").agg(F.count(F.lit(1)).alias("k")).groupBy("key").agg(F.max(F.struct("k", "label")).alias("top")).select("key", F.col("top.label").alias("main"))
+    spare, groups, values = _spare(least).alias("spare"), F.array(*[f"g{i}" for i in range(GROUPS)]).alias("groups"), F.array(*[_value(i) for i in range(VALUES)]).alias("values")
+    fit = cut(fit.join(main, "key").select("key", "f", "label", "n", (F.col("label") != F.col("main")).alias("minor"), spare, groups, values))
+    # Cheap tests stand first; arrays keep the generated code of the others small enough to be compiled.
+    common = F.aggregate(F.zip_with("a_groups", "b_groups", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
+    same = F.aggregate(F.zip_with("a_values", "b_values", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
+    cheap = (F.col("a_label") != F.col("b_label")) & (F.col("a_minor") | F.col("b_minor")) & (F.col("a_spare") + F.col("b_spare") >= 0)
+    dear = ((100 + least) * common >= least * (F.col("a_n") + F.col("b_n"))) & (same >= VALUES - FAR)
+    met = _as(fit.where("spare >= 0"), "a_").join(_as(fit, "b_"), (F.col("a_key") == F.col("b_key")) & cheap & dear)
     few = _few(left.select("f", "label").distinct(), sets)
     close = _both(few, facts).where(_enough(F.col("k"), least) & _near("a_", "b_", least)).select("a", "b")
     final = met.select(F.least("a_f", "b_f").alias("a"), F.greatest("a_f", "b_f").alias("b")).unionByName(close).distinct()
