@@ -94,10 +94,10 @@ def lossless(df: DataFrame, names: list[str] | None = None) -> DataFrame:
     names = names or [n for n, t in df.dtypes if t == "string"]
     if not names:
         return df
-    bad = lambda p: F.count(F.when(~p, 1))
     aggs = []
     for i, n in enumerate(names):
         c = col(df, n)
+        bad = lambda p, c=c: F.count(F.when(c.isNotNull() & ~p, 1))
         digits = F.length(F.regexp_replace(F.regexp_replace(c, r"[eE].*$", ""), r"[^0-9]", ""))
         aggs += [
             F.count(c).alias(f"n{i}"), F.count(F.when(c.rlike("^[+-]?0[0-9]"), 1)).alias(f"z{i}"), bad(c.rlike(_WHOLE)).alias(f"a{i}"),

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from . import adhoc, sinks
 from .functions.convert import lossless, preview
 from .operators import clean, paging, pivot, predicates, profile
+from .sources import workbook
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -137,3 +138,14 @@ def _roundtrip(form: str):
 for _form in ("csv", "tsv", "parquet", "jsonl"):
     QUERIES[f"flat_roundtrip_{_form}"] = _roundtrip(_form)
     ORACLES[f"flat_roundtrip_{_form}"] = "SELECT c_custkey, c_name, c_acctbal FROM customer"
+
+
+def _workbooks(spark: SparkSession, d: str) -> DataFrame:
+    base = (spark.sparkContext.getConf().get("spark.checkpoint.dir") or "/tmp/sparksheet").rstrip("/").removeprefix("file://").removeprefix("file:")
+    path, df = f"{base}/export-{uuid.uuid4().hex}", spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", "o_orderstatus", "o_totalprice", F.col("o_orderdate").cast("date").alias("day"))
+    sinks.write_workbooks(df, ["o_orderkey"], path, "orders", 5_000)
+    return workbook.read_workbooks(spark, path)
+
+
+QUERIES["xlsx_roundtrip"] = _workbooks
+ORACLES["xlsx_roundtrip"] = "SELECT o_orderkey, o_orderstatus, o_totalprice, CAST(o_orderdate AS DATE) AS day FROM orders"

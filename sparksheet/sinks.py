@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+import datetime
+import io
+import itertools
 import math
 import re
+import uuid
+import zipfile
+from xml.sax.saxutils import escape
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -82,3 +89,86 @@ def write(df: DataFrame, path: str, form: str = "parquet", overwrite: bool = Fal
         w.option("ignoreNullFields", "false").json(path)
     else:
         raise SheetError(f"unknown format {form!r}")
+
+
+#: Fixed values of the workbook format: the members every file has besides its sheet.
+_MAIN = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
+_RELATIONS = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+_PACKAGE = "http://schemas.openxmlformats.org/package/2006"
+_SHEET_TYPE = "application/vnd.openxmlformats-officedocument.spreadsheetml"
+MEMBERS = {
+    "[Content_Types].xml": f'<Types xmlns="{_PACKAGE}/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/><Override PartName="/xl/workbook.xml" ContentType="{_SHEET_TYPE}.sheet.main+xml"/><Override PartName="/xl/worksheets/sheet1.xml" ContentType="{_SHEET_TYPE}.worksheet+xml"/><Override PartName="/xl/styles.xml" ContentType="{_SHEET_TYPE}.styles+xml"/></Types>',
+    "_rels/.rels": f'<Relationships xmlns="{_PACKAGE}/relationships"><Relationship Id="rId1" Type="{_RELATIONS}/officeDocument" Target="xl/workbook.xml"/></Relationships>',
+    "xl/workbook.xml": f'<workbook xmlns="{_MAIN}" xmlns:r="{_RELATIONS}"><sheets><sheet name="Data" sheetId="1" r:id="rId1"/></sheets></workbook>',
+    "xl/_rels/workbook.xml.rels": f'<Relationships xmlns="{_PACKAGE}/relationships"><Relationship Id="rId1" Type="{_RELATIONS}/worksheet" Target="worksheets/sheet1.xml"/><Relationship Id="rId2" Type="{_RELATIONS}/styles" Target="styles.xml"/></Relationships>',
+    "xl/styles.xml": f'<styleSheet xmlns="{_MAIN}"><fonts count="1"><font/></fonts><fills count="1"><fill/></fills><borders count="1"><border/></borders><cellStyleXfs count="1"><xf/></cellStyleXfs><cellXfs count="3"><xf/><xf numFmtId="14" applyNumberFormat="1"/><xf numFmtId="22" applyNumberFormat="1"/></cellXfs></styleSheet>',
+}
+_EPOCH, _FIRST_DAY = datetime.datetime(1899, 12, 30), datetime.date(1900, 3, 1)
+
+
+def cell(v) -> str:
+    """One value as a workbook cell: blank for null and non-finite numbers; dates before March 1900, which the format lacks, as text."""
+    if v is None or (isinstance(v, float) and not math.isfinite(v)):
+        return "<c/>"
+    if isinstance(v, bool):
+        return f'<c t="b"><v>{int(v)}</v></c>'
+    if isinstance(v, datetime.datetime) and v.date() >= _FIRST_DAY:
+        return f'<c s="2"><v>{(v.replace(tzinfo=None) - _EPOCH) / datetime.timedelta(days=1)!r}</v></c>'
+    if isinstance(v, datetime.date) and not isinstance(v, datetime.datetime) and v >= _FIRST_DAY:
+        return f'<c s="1"><v>{(v - _EPOCH.date()).days}</v></c>'
+    if isinstance(v, (int, float)) or type(v).__name__ == "Decimal":
+        return f"<c><v>{v}</v></c>"
+    clean = re.sub("[\x00-\x08\x0b\x0c\x0e-\x1f\ufffe\uffff]", "", str(v))
+    return f'<c t="inlineStr"><is><t xml:space="preserve">{escape(clean)}</t></is></c>'
+
+
+def write_workbooks(df: DataFrame, order: list[str], folder: str, stem: str, rows_per_file: int = MOST_ROWS, style: str = "alpha", overwrite: bool = False) -> DataFrame:
+    """df as workbooks of exactly rows_per_file rows (the last: the rest), in order, each with the header; one task a file.
+
+    Returns the report: part, file, rows, bytes.  A file is written beside its place and moved there when whole, so a
+    task that is run again replaces it.  Folders are local (shared) paths or whatever store pyarrow opens by its URI.
+    Existing files are refused unless overwrite.  An empty df gives one file with the header."""
+    from pyarrow import fs
+
+    ready = precise(cell_rules(df))[0]
+    names, sheet = ready.columns, numbered(ready, order)
+    total = df.count()
+    todo = plan(total, len(names), rows_per_file)
+    parts, size = todo["parts"], todo["rows_per_file"]
+    store, base = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
+    store.create_dir(base, recursive=True)
+    taken = [x.path for x in store.get_file_info([f"{base}/{part_name(stem, i, parts, style)}.xlsx" for i in range(parts)]) if x.type != fs.FileType.NotFound]
+    if taken and not overwrite:
+        raise SheetError(f"{taken[0]} exists")
+    head = "<row>" + "".join(cell(n) for n in names) + "</row>"
+
+    def save(part: int, rows) -> tuple[str, int, int]:
+        target, n = f"{base}/{part_name(stem, part, parts, style)}.xlsx", 0
+        where = fs.FileSystem.from_uri(folder)[0] if "://" in folder else fs.LocalFileSystem()
+        aside = f"{target}.{uuid.uuid4().hex}"
+        with where.open_output_stream(aside) as out:
+            with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED, compresslevel=1) as book:
+                for member, xml in MEMBERS.items():
+                    book.writestr(member, xml)
+                with book.open("xl/worksheets/sheet1.xml", "w", force_zip64=True) as raw, io.TextIOWrapper(raw, "utf-8") as f:
+                    f.write(f'<worksheet xmlns="{_MAIN}"><sheetData>{head}')
+                    for row in rows:
+                        f.write("<row>" + "".join(map(cell, row)) + "</row>")
+                        n += 1
+                    f.write("</sheetData></worksheet>")
+        where.move(aside, target)
+        return target, n, where.get_file_info(target).size
+
+    def run(batches):
+        rows = ((r[0], r[1:]) for b in batches for i in range(0, b.num_rows, 1000) for r in zip(*[c.to_pylist() for c in b.slice(i, 1000).columns], strict=True))
+        for part, group in itertools.groupby(rows, key=lambda r: r[0]):
+            file, n, held = save(part, (r for _, r in group))
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([file]), pa.array([n], pa.int64()), pa.array([held], pa.int64())], names=["part", "file", "rows", "bytes"])
+
+    form = "part int, file string, rows long, bytes long"
+    if not total:
+        file, n, held = save(0, [])
+        return df.sparkSession.createDataFrame([(0, file, n, held)], form)
+    dealt = sheet.withColumn("_part", F.floor(F.col("_at") / size).cast("int")).repartition(parts, "_part").sortWithinPartitions("_part", "_at")
+    done = dealt.select("_part", *[col(dealt, n) for n in names]).mapInArrow(run, form).collect()  # one row a file
+    return df.sparkSession.createDataFrame(done, form)

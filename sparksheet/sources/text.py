@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import codecs
+import csv
+import io
+import itertools
+import zipfile
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import unique_names
+from ..functions.columns import SheetError, unique_names
 from ..functions.convert import lossless
 
 DELIMITERS = (",", "\t", ";", "|")
@@ -33,9 +40,83 @@ def has_header(cells: list[str]) -> bool:
     return bool(cells) and all(c is not None and c.strip() and not number(c) for c in cells)
 
 
-def read_text(spark: SparkSession, path: str, delimiter: str | None = None, encoding: str = "UTF-8", header: bool | None = None, all_text: bool = False, multi_line: bool = False) -> DataFrame:
-    """Columns named by the header; extra fields of long rows in added columns, short rows filled with null."""
+def detect_encoding(spark: SparkSession, path: str) -> str:
+    """By the first lines' bytes (through .gz, .bz2 and .zst): a byte-order mark, valid UTF-8, else windows-1252."""
+    rows = spark.read.text(literal_path(path)).select(F.substring(F.col("value").cast("binary"), 1, 1 << 16).alias("b")).limit(500).collect()
+    head = b"\n".join(bytes(r["b"]) for r in rows)
+    if head[:2] in (b"\xff\xfe", b"\xfe\xff"):
+        return "UTF-16"
+    try:
+        codecs.getincrementaldecoder("utf-8")().decode(head)
+    except UnicodeDecodeError:
+        return "windows-1252"
+    return "UTF-8"
+
+
+def decoded(c: Column, encoding: str) -> Column:
+    """Binary lines as text.  Spark's own decoder has no windows-1252: that is Latin-1 but for 0x80 to 0x9F."""
+    if encoding.lower() not in ("windows-1252", "cp1252"):
+        return F.decode(c, encoding)
+    low = bytes(range(0x80, 0xA0))
+    known = {b: x for b in low if (x := bytes([b]).decode("cp1252", "ignore"))}
+    return F.translate(F.decode(c, "ISO-8859-1"), "".join(map(chr, known)), "".join(known.values()))
+
+
+def read_lines(lines: DataFrame, delimiter: str | None = None, header: bool | None = None, all_text: bool = False) -> DataFrame:
+    """A sheet of the one text column `value`, its lines in order of `at`; a field ends with its line."""
+    lines = lines.select("at", F.regexp_replace("value", "^\ufeff|\r$", "").alias("value")).where("value <> ''")
+    head = [r["value"] for r in lines.orderBy("at").limit(50).collect()]
+    delimiter = delimiter or sniff_delimiter(head)
+    options = {"sep": delimiter, "quote": '"', "escape": '"', "mode": "PERMISSIVE", "nullValue": "", "emptyValue": ""}
+    cells = [x or "" for x in next(csv.reader(head[:1], delimiter=delimiter), [])]
+    header = has_header(cells) if header is None else header
+    width = lines.agg(F.max(F.size(F.split(F.regexp_replace("value", '"(?:[^"]|"")*"', ""), "\\Q" + delimiter + "\\E", -1)))).first()[0] or len(cells)
+    names = unique_names([*(cells if header else []), *[""] * (max(width, len(cells)) - (len(cells) if header else 0))])
+    schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names))])
+    if header:
+        first = lines.agg(F.min("at")).first()[0]
+        lines = lines.where(F.col("at") > F.lit(first)) if first is not None else lines
+    parsed = lines.select(F.from_csv("value", schema.simpleString()[7:-1].replace(":", " "), options).alias("r"))
+    df = parsed.select(*[F.col(f"r.c{i}").alias(n) for i, n in enumerate(names)])
+    return df if all_text else lossless(df)
+
+
+def _whole(spark: SparkSession, path: str, encoding: str) -> DataFrame:
+    """at, value: the lines of files whose encoding has no line splits of its own; one task a file."""
+    text = spark.read.format("binaryFile").load(literal_path(path)).select(F.decode("content", encoding).alias("t"))
+    return text.select(F.posexplode(F.split("t", "\n")).alias("at", "value"))
+
+
+def read_zip(spark: SparkSession, path: str, **options) -> DataFrame:
+    """The first member of a zip archive that is not a workbook; one task an archive streams its lines."""
+
+    def run(batches):
+        for b in batches:
+            for content in b.column(0).to_pylist():
+                with zipfile.ZipFile(io.BytesIO(content)) as archive:
+                    names = [n for n in archive.namelist() if not n.endswith("/") and not n.lower().endswith((".xlsx", ".xlsm", ".xls"))]
+                    if not names:
+                        raise SheetError("no text file in the archive")
+                    with archive.open(names[0]) as f:
+                        at = 0
+                        while part := list(itertools.islice(f, 2_000)):
+                            yield pa.RecordBatch.from_arrays([pa.array(range(at, at + len(part)), pa.int64()), pa.array([x.rstrip(b"\n") for x in part], pa.binary())], names=["at", "b"])
+                            at += len(part)
+
+    raw = spark.read.format("binaryFile").load(literal_path(path)).select("content").mapInArrow(run, "at long, b binary")
+    wrong = raw.where(~F.is_valid_utf8(F.col("b").cast("string"))).limit(1).count()
+    return read_lines(raw.select("at", decoded(F.col("b"), "windows-1252" if wrong else "UTF-8").alias("value")), **options)
+
+
+def read_text(spark: SparkSession, path: str, delimiter: str | None = None, encoding: str | None = None, header: bool | None = None, all_text: bool = False, multi_line: bool = False) -> DataFrame:
+    """Columns named by the header; extra fields of long rows in added columns, short rows filled with null.  encoding None: detected."""
     at = literal_path(path)
+    encoding = encoding or detect_encoding(spark, path)
+    if encoding.upper().startswith("UTF-16"):
+        return read_lines(_whole(spark, path, encoding), delimiter, header, all_text)
+    if encoding.upper() not in ("UTF-8", "UTF8"):
+        raw = spark.read.text(at).select(F.monotonically_increasing_id().alias("at"), F.col("value").cast("binary").alias("b"))
+        return read_lines(raw.select("at", decoded(F.col("b"), encoding).alias("value")), delimiter, header, all_text)
     head = [r["value"] for r in spark.read.option("encoding", encoding).text(at).limit(50).collect()]
     delimiter = delimiter or sniff_delimiter(head)
     options = {"sep": delimiter, "quote": '"', "escape": '"', "encoding": encoding, "mode": "PERMISSIVE", "multiLine": str(multi_line).lower(), "nullValue": "", "emptyValue": ""}
@@ -59,12 +140,18 @@ def rejected(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_any(spark: SparkSession, path: str, **options) -> DataFrame:
-    """By suffix: Parquet, JSON lines, JSON arrays, or delimited text (.gz, .bz2 and .zst by Spark's codecs)."""
+    """By suffix: Parquet, JSON lines, JSON arrays, zip archives, workbooks, or delimited text (.gz, .bz2 and .zst by Spark's codecs)."""
     low = path.lower()
     if low.endswith((".parquet", ".pq")):
         return spark.read.parquet(literal_path(path))
     if low.endswith((".jsonl", ".ndjson")):
         return spark.read.json(literal_path(path))
+    if low.endswith(".zip"):
+        return read_zip(spark, path, **options)
+    if low.endswith((".xlsx", ".xlsm")):
+        from .workbook import read_workbooks
+
+        return read_workbooks(spark, path, **options)
     if low.endswith(".json"):
         return spark.read.option("multiLine", "true").json(literal_path(path))
     return read_text(spark, path, **options)
