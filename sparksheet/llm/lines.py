@@ -6,10 +6,11 @@ most `threshold` places off.  So every different line of at least `min_chars` ch
 a smaller length; the places to probe follow from the edits left on either side.  Lines that meet are verified with a
 banded bit-parallel edit distance.  Hashes of all segments and substrings come from one rolling hash over a batch.
 
-Entries that more than `wide` lines share are not expanded into pairs.  Each line is entered again there under the
-hashes of what remains of it without one character (and of itself): lines within one edit share one of these, and all
-that share one form a star about the smallest.  This holds for threshold 1, the default; with a larger threshold wide
-entries are compared pair by pair (exact, but quadratic in an entry).
+Entries that more than `wide` lines share are not expanded into pairs.  Each of their lines is entered again under what
+remains of it without one character, and the place of that character.  Lines with the same rest and place differ by at
+most this one character, so all of them are linked to the smallest; a line that is itself such a rest is linked to all
+lines it remains of.  These are all pairs at one edit, up to links that follow.  This holds for threshold 1, the default;
+with a larger threshold wide entries are compared pair by pair (exact, but quadratic in an entry).
 
 Linked lines and equal lines are one class; the first row of a class (smallest id, then line) stays, later lines go.
 
@@ -138,25 +139,24 @@ def texts_of(docs: DataFrame) -> DataFrame:
 
 
 def without_one(members: DataFrame) -> DataFrame:
-    """(key, f, s) -> key, f, v: hashes of the line without one character (each place), and of the line itself."""
+    """(f, s) -> f, v, place: for each place the hash of the line without its character there, as `Lines.hashes` has it."""
 
     def run(batches):
         for b in chunks(batches, 200):
-            keys, fs, vs = [], [], []
-            for key, f, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+            fs, vs, places = [], [], []
+            for k, (f, s) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)):
                 a = np.frombuffer(s.encode("utf-32-le", "surrogatepass"), np.uint32)
                 roll, n = Rolling(a), len(a)
                 at = np.arange(n)
                 joined = roll.raw(np.zeros(n, np.int64), at) + roll.raw(at + 1, np.full(n, n)) * roll.power[at]
-                whole = roll.raw(np.zeros(1, np.int64), np.array([n]))
-                v = np.unique(np.concatenate([mix(joined ^ mix(np.array([n - 1], np.uint64))), mix(whole ^ mix(np.array([n], np.uint64)))]))
-                keys += [key] * len(v)
-                fs += [f] * len(v)
-                vs.append(v.view(np.int64))
-            if vs:
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(fs, pa.int64()), pa.array(np.concatenate(vs))], names=["key", "f", "v"])
+                fs.append(np.full(n, f, np.int64))
+                vs.append(mix(joined ^ mix(np.array([n - 1], np.uint64))).view(np.int64))
+                places.append(at.astype(np.int32))
+                if k + 1 == b.num_rows or sum(map(len, fs)) > 1 << 18:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (fs, vs, places)], names=["f", "v", "place"])
+                    fs, vs, places = [], [], []
 
-    return members.select("key", "f", "s").mapInArrow(run, "key long, f long, v long")
+    return members.select("f", "s").mapInArrow(run, "f long, v long, place int")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
@@ -193,10 +193,12 @@ def dedup_lines(df: DataFrame, threshold: int = 1, min_chars: int = 20, wide: in
     meet = lambda x: side(x, "a").join(side(x.where("own"), "b"), "key").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     pairs = meet(narrow)
     if threshold == 1:
-        members = broad.select("key", "f").distinct().join(texts, "f")
+        members = broad.select("f").distinct().join(texts, "f")
         again = cut(without_one(members))
-        hubs = again.groupBy("key", "v").agg(F.min("f").alias("a"), F.max("f").alias("z")).where("a <> z").select("key", "v", "a")
-        pairs = pairs.unionByName(again.join(hubs, ["key", "v"]).where("a <> f").select("a", F.col("f").alias("b")))
+        hubs = again.groupBy("v", "place").agg(F.min("f").alias("a"), F.max("f").alias("z")).where("a <> z").select("v", "place", "a")
+        swapped = again.join(hubs, ["v", "place"]).where("a <> f").select("a", F.col("f").alias("b"))
+        longer = again.join(members.select(F.col("f").alias("v")), "v").select(F.least("f", "v").alias("a"), F.greatest("f", "v").alias("b"))
+        pairs = pairs.unionByName(swapped).unionByName(longer)
     else:
         pairs = pairs.unionByName(meet(broad))
     label = cut(components(verified(pairs.distinct(), texts, threshold)))

@@ -162,6 +162,33 @@ def test_lines(spark, docs, odd, none, threshold, wide):
     assert lines.dedup_lines(none).collect() == []
 
 
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a):
+        last, row[0] = row[0], i + 1
+        for j, y in enumerate(b):
+            last, row[j + 1] = row[j + 1], min(row[j + 1] + 1, row[j] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_lines_of_shifted_digits(spark):
+    """More than `wide` lines of one template, whose rests without a character agree though the lines are two edits apart."""
+    head, r = "the total amount of this order comes to: ", np.random.default_rng(9)
+    made = []
+    for _ in range(12):
+        mid = "".join(r.choice(list("0123456789"), 6))
+        x, y = r.choice(list("0123456789"), 2, replace=False)
+        made += [f"{z}{mid}" for z in "0123456789"[: r.integers(1, 4)]] + [mid + x, mid + y] + [mid] * int(r.integers(0, 2)) + [mid[:3] + mid[2] + mid[3:]]
+    made = sorted({head + m for m in made} | {head + "aab", head + "acb"})
+    label = list(range(len(made)))
+    near = [(i, j) for i in range(len(made)) for j in range(i) if distance(made[i], made[j]) <= 1]
+    for _ in made:
+        for i, j in near:
+            label[i] = label[j] = min(label[i], label[j])
+    got = lines.dedup_lines(spark.createDataFrame(list(enumerate(made)), "doc_id long, text string")).collect()
+    assert len(made) > 32 and {x["doc_id"] for x in got if x["removed"]} == {i for i, k in enumerate(label) if k < i}
+
+
 def test_secrets(spark, texts, odd, none):
     assign = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
     for r in op7_secrets(spark, SF).collect():
