@@ -212,6 +212,18 @@ def test_secret_network_held_out():
     assert hit[y[held] == 1].mean() >= 0.98 and hit[y[held] == 0].mean() <= 0.05
 
 
+def test_secret_threshold_keeps_recall_below_one_half():
+    """Positives that look like most negatives score low; the threshold follows them down."""
+    r = np.random.default_rng(6)
+    word = lambda a: "".join(r.choice(list(a), 20))
+    x = secrets.codes([secrets.windows(f"it is {word('0123456789')} ok", 6, 26)[0] for _ in range(100)] + [secrets.windows(f"it is {word('abcdefghij')} ok", 6, 26)[0] for _ in range(520)])
+    y = np.repeat([1.0, 0.0], [120, 500])
+    net = secrets.Network()
+    net.fit(x, y)
+    net.calibrate(x, y, 0.99)
+    assert net.threshold < 0.5 and (net.scores(x)[y == 1] >= net.threshold).mean() >= 0.99
+
+
 def test_licenses(spark, texts, odd, none):
     for r in op10_licenses(spark, SF).collect():
         w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", texts[r["doc_id"]].translate(AZ))
