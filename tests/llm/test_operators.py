@@ -224,6 +224,36 @@ def test_secret_threshold_keeps_recall_below_one_half():
     assert net.threshold < 0.5 and (net.scores(x)[y == 1] >= net.threshold).mean() >= 0.99
 
 
+def test_secrets_of_few_characters(spark):
+    """Values under 16 characters or with other signs are scored, and each finding's own value is what is learned from."""
+    r = np.random.default_rng(8)
+    word = lambda a, n: "".join(r.choice(list(a), n))
+    mixed, low = "ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz23456789", "etaoinshrdlu"
+    made = [" ".join(word(low, r.integers(4, 11)) for _ in range(30)) + f" password: {word(mixed, 11)} " + " ".join(word(low, r.integers(4, 11)) for _ in range(9)) for _ in range(200)]
+    made += [f"use pwd: Tr0ub4dor9x then {word(low, 8)}", "run it with --passphrase q7RtY2mZ here", 'set password: p@s5!W#4rD9 there', "nothing to be seen around here"]
+    df = spark.createDataFrame(list(enumerate(made)), "doc_id long, text string")
+    net = secrets.Network()
+    net.threshold = 0.0
+    got = {x["doc_id"]: [made[x["doc_id"]][s["from"] : s["to"]] for s in x["spans"] if s["kind"] == "network"] for x in secrets.add_network(df, net).collect()}
+    assert "Tr0ub4dor9x" in got[200] and "q7RtY2mZ" in got[201] and "p@s5!W#4rD9" in got[202] and "nothing" in got[203]
+    negatives, positives = secrets.sample(df, "text", 150)
+    assert len(negatives) == len(positives) == 150 and all(b"\0" not in w[0][24:35] and w[0][35:72] == bytes(37) for w in positives)
+    net = secrets.train([negatives, positives])
+    assert net.recall >= 0.99 and 0 < net.precision <= 1
+    long = "key token: " + "k" * 60 + "Q9" * 20
+    t = secrets.Texts([made[0], long, "a:b=c'pass@word/x1'"])
+    values = [t.codes[lo:hi].size for lo, hi in t.values.tolist()]
+    assert values == [11, 100] and len([x for _, x in t.windows(t.values[1:]) for _ in x]) == 3
+    net, best = secrets.Network(), np.zeros(len(t.free))
+    for own, x in t.windows(t.free):
+        np.maximum.at(best, own, net.scores(x))
+    texts = [made[0], long, "a:b=c'pass@word/x1'"]
+    for (lo, hi), p in zip(t.free.tolist(), best, strict=True):
+        k = int(np.searchsorted(t.start, lo, "right")) - 1
+        z = net.raw(secrets.codes(secrets.windows(texts[k], lo - int(t.start[k]), hi - int(t.start[k])))).max()
+        assert abs(1 / (1 + np.exp(-z)) - p) < 1e-5
+
+
 def test_licenses(spark, texts, odd, none):
     for r in op10_licenses(spark, SF).collect():
         w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", texts[r["doc_id"]].translate(AZ))
