@@ -14,6 +14,8 @@ values, each keeping its row; templates with fewer than k words are looked up wi
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -71,9 +73,9 @@ def places(ws: Column, phrase: str) -> Column:
 
 
 def template_grams(spark: SparkSession, templates, k: int) -> DataFrame:
-    """template, label, grams (how many), words (how many), place, hash."""
-    t = spark.createDataFrame([(i, label, text) for i, (label, text) in enumerate(templates)], "template int, label string, text string")
-    t = t.withColumn("w", words(F.col("text"))).withColumn("words", F.size("w")).where(F.col("words") >= k).withColumn("g", grams(F.col("w"), k))
+    """template, label, grams (how many), words (how many), place, hash.  templates: (number, label, text), each of k words at least."""
+    t = spark.createDataFrame(list(templates), "template int, label string, text string")
+    t = t.withColumn("w", words(F.col("text"))).withColumn("words", F.size("w")).withColumn("g", grams(F.col("w"), k))
     return t.select("template", "label", "words", F.size("g").alias("grams"), F.posexplode("g").alias("place", "hash"))
 
 
@@ -81,7 +83,7 @@ def diagonal_spans(keyed: DataFrame, templates, k: int, slip: int, cover: float,
     """key, label, template, first, last (words, inclusive), score: the verified spans.  keyed: key, ws."""
     spark = keyed.sparkSession
     known = template_grams(spark, templates, k)
-    if sum(len(t.split()) for _, t in templates) <= broadcast_grams:
+    if sum(len(t.split()) for *_, t in templates) <= broadcast_grams:
         known = F.broadcast(known)
     all_grams = keyed.select("key", F.posexplode(grams(F.col("ws"), k)).alias("at", "hash"))
     hits = all_grams.join(known, "hash").select("key", "template", "label", "grams", "words", "place", "at", (F.col("at") - F.col("place")).alias("diagonal"))
@@ -102,7 +104,15 @@ def _labelled(label: str):
 def scan_licenses(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates=TEMPLATES, k: int = 3, slip: int = 2, cover: float = 0.6, broadcast_grams: int = 100_000) -> DataFrame:
     """id_col, n_words, base array<struct<at, label>> (phrases), spans array<struct<label, template, first, last, score>> for each row of df."""
     rows = df.select(F.col(f"`{id_col}`").alias("id"), text_of(text_col).alias("t")).select("id", F.xxhash64("id", "t").alias("key"), words(F.col("t")).alias("ws"))
-    spans = diagonal_spans(rows.select("key", "ws"), templates, k, slip, cover, broadcast_grams)
+    by_k: dict[int, list] = {}
+    for i, (label, text) in enumerate(templates):
+        by_k.setdefault(min(k, len(re.findall(WORD, text.lower()))), []).append((i, label, text))
+    by_k.pop(0, None)
+    # A template of fewer than k words has one gram: nothing to merge, so each place is a span of its own.
+    parts = [diagonal_spans(rows.select("key", "ws"), mine, n, slip if n == k else 0, cover, broadcast_grams) for n, mine in sorted((by_k or {k: []}).items())]
+    spans = parts[0]
+    for more in parts[1:]:
+        spans = spans.unionByName(more)
     found = spans.groupBy("key").agg(F.array_sort(F.collect_set(F.struct("label", "template", "first", "last", "score"))).alias("spans"))
     base = F.concat(*[F.transform(places(F.col("ws"), p), _labelled(label)) for p, label in PHRASES])
     mine = rows.select("id", "key", F.size("ws").cast("long").alias("n_words"), F.array_sort(base).alias("base"))

@@ -265,6 +265,13 @@ def test_licenses(spark, texts, odd, none):
     assert len(licenses.scan_licenses(odd).collect()) == 7 and licenses.scan_licenses(none).collect() == []
 
 
+def test_license_templates_of_few_words(spark):
+    df = spark.createDataFrame([(1, "Public Domain public domain, public domain: do wtfpl it"), (2, "domain public"), (3, "mit license now")], "doc_id long, text string")
+    known = [("mit", "mit license now"), ("pd", "public domain"), ("wtfpl", "WTFPL"), ("none", "...")]
+    got = {r["doc_id"]: [(s["label"], s["template"], s["first"], s["last"], s["score"]) for s in r["spans"]] for r in licenses.scan_licenses(df, templates=known).collect()}
+    assert got == {1: [("pd", 1, i, i + 1, 1.0) for i in (0, 2, 4)] + [("wtfpl", 2, 7, 7, 1.0)], 2: [], 3: [("mit", 0, 0, 2, 1.0)]}
+
+
 def test_top_k(spark):
     r = np.random.default_rng(4)
     rows = [(i, [float(x) for x in r.normal(0, 1 + i % 7, 8)]) for i in range(400)] + [(400, [1.0] * 8), (401, [1.0] * 8), (402, None), (403, [float("nan")] * 8), (404, [])]
