@@ -4,19 +4,22 @@ from __future__ import annotations
 
 import re
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.columns import SheetError, col, kind, unique_names
 from ..functions.convert import converted
+from .paging import ROW_KEY
 from .predicates import delete, keep
 
 
 def remove_duplicates(df: DataFrame, columns: list[str] = (), keep_last: bool = False, order: list[str] = ()) -> DataFrame:
-    """One row for each combination of columns (all if none), the first or last by `order`; nulls are equal."""
-    names = list(columns) or df.columns
-    keys = [col(df, n).desc_nulls_last() if keep_last else col(df, n).asc_nulls_last() for n in order] or [F.monotonically_increasing_id().desc() if keep_last else F.monotonically_increasing_id()]
+    """One row for each combination of columns (all if none), the first or last by `order` (without it in file order, by the row key); nulls are equal."""
+    names = list(columns) or [c for c in df.columns if c != ROW_KEY]
+    places = [col(df, n) for n in order] or [F.col(ROW_KEY) if ROW_KEY in df.columns else F.monotonically_increasing_id()]
+    keys = [c.desc_nulls_last() if keep_last else c.asc_nulls_last() for c in places]
     w = W.partitionBy(*[col(df, n) for n in names]).orderBy(*keys)
     return df.withColumn("_place", F.row_number().over(w)).where("_place = 1").drop("_place")
 
@@ -30,9 +33,9 @@ def find_replace(df: DataFrame, find: str, replace: str = "", columns: list[str]
         raise SheetError("nothing to find")
     if regex:
         try:
-            re.compile(find)
-        except re.error as e:
-            raise SheetError(f"not a pattern: {e}") from e
+            df.sparkSession._jvm.java.util.regex.Pattern.compile(find)  # the one that will run
+        except Py4JJavaError as e:
+            raise SheetError(f"not a pattern: {e.java_exception.getMessage()}") from e
     pattern = find if regex else "".join("\\" + c if not c.isalnum() and c.isascii() else c for c in find)
     pattern = ("" if match_case else "(?i)") + (f"^(?:{pattern})$" if whole_cell else pattern)
     into = re.sub(r"\\(\d)", r"$\1", replace) if regex else replace.replace("\\", "\\\\").replace("$", "\\$")
@@ -49,7 +52,7 @@ def clean_text(df: DataFrame, columns: list[str], control: bool = True, spaces:
     out = {}
     for n in columns:
         c = col(df, n).cast("string")
-        c = F.regexp_replace(c, r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]", "") if control else c
+        c = F.regexp_replace(c, r"[\x00-\x1F\x7F]", "") if control else c
         c = F.regexp_replace(c, r"\s+", " ") if spaces else c
         c = F.regexp_replace(c, r"^\p{Zs}+|\p{Zs}+$", "") if trim else c
         out[n] = how[case](c)

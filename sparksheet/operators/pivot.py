@@ -1,4 +1,10 @@
-"""Pivot tables: subtotals and totals from base rows, overflow headers in an Other column, shares, running totals, ranks."""
+"""Pivot tables: subtotals and totals from base rows, overflow headers in an Other column, shares, running totals, ranks.
+
+A table is made in two steps.  Base rows are first summed up by row keys and header: one shuffle, of partial sums, however
+many headers there are.  Measures that can be carried on from sums (sum, counts, least, greatest, average) get their
+subtotals from these; the others (median, distinct count, deviation, first) are grouped again from base rows for every
+level.  Only what is left after that, a row for each group and header, is spread into columns.
+"""
 
 from __future__ import annotations
 
@@ -6,11 +12,11 @@ from functools import reduce
 from operator import or_
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import SheetError, col, kind
+from .paging import ROW_KEY, running, sorted_copy
 from .predicates import keep
 
 GROUPS = ("year", "quarter", "month", "week", "day", "hour")
@@ -18,6 +24,7 @@ AGGREGATES = {
     "sum": F.sum, "count": F.count, "count_distinct": F.count_distinct, "avg": F.avg, "min": F.min, "max": F.max,
     "median": F.median, "stddev": F.stddev_samp, "first": F.first,
 }
+CARRIED = ("sum", "count", "count_all", "avg", "min", "max")
 LABELS = {"sum": "Sum", "count": "Count Numbers", "count_all": "Count", "count_distinct": "Distinct Count", "avg": "Average", "min": "Min", "max": "Max", "median": "Median", "stddev": "StdDev", "first": "First"}
 
 
@@ -37,16 +44,36 @@ def field(df: DataFrame, spec: str | dict) -> Column:
     return c
 
 
-def measure(spec: dict, c: Column | None, where: Column | None = None) -> Column:
-    """One aggregate, over the rows where a condition holds."""
+def measure(spec: dict, c: Column | None, key: Column | None = None) -> Column:
+    """One aggregate of base rows.  Whole numbers are summed as decimals, so that no sum overflows; first goes by the row key, if there is one."""
     agg = spec.get("agg", "sum")
     if agg == "count_all":
-        return F.count(F.lit(1)) if where is None else F.count(F.when(where, 1))
+        return F.count(F.lit(1))
     if agg not in AGGREGATES:
         raise SheetError(f"unknown aggregate {agg!r}")
-    if agg == "first":
-        return F.first(c if where is None else F.when(where, c), ignorenulls=where is not None)
-    return AGGREGATES[agg](c if where is None else F.when(where, c))
+    if agg == "first" and key is not None:
+        return F.min_by(c, key)
+    return AGGREGATES[agg](c)
+
+
+def _partials(agg: str, c: Column | None) -> list[Column]:
+    """What a measure that can be carried on is summed up from."""
+    return {"sum": lambda: [F.sum(c)], "count": lambda: [F.count(c)], "count_all": lambda: [F.count(F.lit(1))], "min": lambda: [F.min(c)], "max": lambda: [F.max(c)], "avg": lambda: [F.sum(c.cast("double")), F.count(c)]}[agg]()
+
+
+def _carried(agg: str, parts: list[Column]) -> Column:
+    """The measure, from such partial results."""
+    if agg == "avg":
+        return F.try_divide(F.sum(parts[0]), F.sum(parts[1]))
+    if agg in ("count", "count_all"):
+        return F.coalesce(F.sum(parts[0]), F.lit(0)).cast("bigint")
+    return {"sum": F.sum, "min": F.min, "max": F.max}[agg](parts[0])
+
+
+def _finite(df: DataFrame) -> DataFrame:
+    """Measures that are no number become null."""
+    out = {f.name: F.when(F.isnan(f.name) | (F.abs(f.name) == float("inf")), None).otherwise(F.col(f.name)) for f in df.schema if f.name[0] == "v" and isinstance(f.dataType, (T.DoubleType, T.FloatType))}
+    return df.withColumns(out) if out else df
 
 
 def label(spec: dict) -> str:
@@ -69,27 +96,110 @@ def pivot(df: DataFrame, rows: list, columns: list = (), values: list[dict] = ()
     values = list(values) or [{"agg": "count_all"}]
     rows, columns = list(rows), list(columns)
     picked = [field(df, f).alias(f"r{i}") for i, f in enumerate(rows)] + [field(df, f).alias(f"c{i}") for i, f in enumerate(columns)]
-    picked += [col(df, v["column"]).alias(f"m{j}") for j, v in enumerate(values) if v.get("column")]
-    base = keep(df, list(filters)).select(*picked) if picked else keep(df, list(filters))
-    wheres: list[Column | None] = []
+    for j, v in enumerate(values):
+        measure(v, F.lit(0))  # an unknown one is refused here
+        if v.get("column"):
+            c = col(df, v["column"])
+            picked.append((c.cast("decimal(20,0)") if v.get("agg", "sum") == "sum" and isinstance(df.schema[v["column"]].dataType, T.LongType) else c).alias(f"m{j}"))
+    ordered = ROW_KEY in df.columns and any(v.get("agg") == "first" for v in values)
+    base = keep(df, list(filters)).select(*picked, *[F.col(ROW_KEY)] * ordered, F.lit(0).alias("_at"))
+    n_headers = 0
     if columns:
         kept, more = headers(base, len(columns), max_columns)
         match = [reduce(lambda a, b: a & b, [F.col(f"c{i}").eqNullSafe(F.lit(v)) for i, v in enumerate(k)]) for k in kept]
-        place = F.coalesce(*[F.when(m, i) for i, m in enumerate(match)], F.lit(len(kept))) if match else F.lit(0)
-        base = base.withColumn("_at", place)
-        wheres = [F.col("_at") == i for i in range(len(kept) + more)]
-    aggs, n = [], 0
-    for where in [*wheres, None]:
-        for j, v in enumerate(values):
-            aggs.append(measure(v, F.col(f"m{j}") if v.get("column") else None, where).alias(f"v{n}"))
-            n += 1
-    keys = [f"r{i}" for i in range(len(rows))]
-    if not keys:
-        return base.agg(*aggs).select(F.lit(0).alias("_depth"), *[f"v{i}" for i in range(n)])
-    if not subtotals:
-        return base.groupBy(*keys).agg(*aggs).select(*keys, F.lit(0).alias("_depth"), *[f"v{i}" for i in range(n)])
-    depth = sum((F.grouping(k).cast("int") for k in keys), F.lit(0))
-    return base.rollup(*keys).agg(depth.alias("_depth"), *aggs).select(*keys, "_depth", *[f"v{i}" for i in range(n)])
+        base = base.withColumn("_at", F.coalesce(*[F.when(m, i) for i, m in enumerate(match)], F.lit(len(kept))))
+        n_headers = len(kept) + more
+    keys, n_values = [f"r{i}" for i in range(len(rows))], len(values)
+    of = lambda j: F.col(f"m{j}") if values[j].get("column") else None
+    kinds = [v.get("agg", "sum") for v in values]
+    levels = [keys[:n] for n in range(len(keys), -1 if subtotals or not keys else len(keys) - 1, -1)]
+    if all(k in CARRIED for k in kinds):
+        parts = [[p.alias(f"p{j}_{i}") for i, p in enumerate(_partials(k, of(j)))] for j, k in enumerate(kinds)]
+        fine = base.groupBy(*keys, "_at").agg(*[p for ps in parts for p in ps])
+        where = [F.col("_at") == i for i in range(n_headers)] + [F.lit(True)]
+        aggs = [_carried(k, [F.when(w, F.col(f"p{j}_{i}")) for i in range(len(parts[j]))]).alias(f"v{at * n_values + j}") for at, w in enumerate(where) for j, k in enumerate(kinds)]
+        found = fine.groupingSets([[F.col(k) for k in level] for level in levels], *keys) if keys else fine.groupBy()
+        depth = sum((F.grouping(k).cast("int") for k in keys), F.lit(0))
+        return _finite(found.agg(depth.alias("_depth"), *aggs).select(*keys, "_depth", *[f"v{i}" for i in range(len(aggs))]))
+    key = F.col(ROW_KEY) if ordered else None
+    plain = [measure(v, of(j), key).alias(f"x{j}") for j, v in enumerate(values)]
+    sets = [[F.col(k) for k in level] + own for level in levels for own in (([F.col("_at")], []) if n_headers else ([],))]
+    if keys or n_headers:
+        cut = [*keys, *["_at"] * bool(n_headers)]
+        flags = [F.grouping(k).cast("int").alias(f"g_{k}") for k in cut]
+        found = base.groupingSets(sets, *cut).agg(*plain, *flags)
+    else:
+        found = base.groupBy().agg(*plain)
+    depth = sum((F.col(f"g_{k}") for k in keys), F.lit(0)).cast("int").alias("_depth")
+    found = found.select(*keys, depth, (F.when(F.col("g__at") == 1, n_headers).otherwise(F.col("_at")) if n_headers else F.lit(0)).alias("_at"), *[f"x{j}" for j in range(n_values)])
+    spread = [F.max(F.when(F.col("_at") == at, F.col(f"x{j}"))) for at in range(n_headers + 1) for j in range(n_values)]
+    # A group has no row of its own for a header that it lacks: counts are 0 there.
+    spread = [F.coalesce(s, F.lit(0)) if kinds[i % n_values].startswith("count") else s for i, s in enumerate(spread)]
+    out = found.groupBy(*keys, "_depth").agg(*[s.alias(f"v{i}") for i, s in enumerate(spread)])
+    return _finite(out.select(*keys, "_depth", *[f"v{i}" for i in range(len(spread))]))
+
+
+def sort_rows(result: DataFrame, key: str | None = None, direction: str = "desc") -> DataFrame:
+    """A pivot's rows in order: by keys, each subtotal under what it totals; by a row field (r0..), then the other keys; or by a measure (v0..) within each depth."""
+    keys = [c for c in result.columns if c[0] == "r"]
+    plain = [F.asc_nulls_last(k) for k in keys]
+    if key is None:
+        return result.orderBy(*[x for k, order in zip(keys, plain, strict=True) for x in (F.col("_depth") >= len(keys) - keys.index(k), order)], "_depth")
+    if key not in result.columns or key == "_depth":
+        raise SheetError(f"no column {key!r} to sort by")
+    own = F.desc_nulls_last(key) if direction.lower().startswith("d") else F.asc_nulls_last(key)
+    if key in keys:
+        return result.orderBy(own, *[o for k, o in zip(keys, plain, strict=True) if k != key], "_depth")
+    return result.orderBy("_depth", own, *plain)
+
+
+def first_rows(result: DataFrame, limit: int = 2000, key: str | None = None, direction: str = "desc") -> tuple[DataFrame, bool]:
+    """The first rows in order, and whether there are more; the grand total always stays and does not count."""
+    if not 1 <= limit <= 50_000:
+        raise SheetError("limit must be 1 to 50000")
+    deep = len([c for c in result.columns if c[0] == "r"])
+    body = result.where(F.col("_depth") < deep) if deep else result
+    top = sort_rows(body, key, direction).limit(limit)
+    more = body.limit(limit + 1).count() > limit
+    return sort_rows(top.unionByName(result.where(F.col("_depth") == deep)), key, direction) if deep else top, more
+
+
+def field_label(spec: str | dict) -> str:
+    """X, X (month), X (bands of 10)."""
+    spec = {"column": spec} if isinstance(spec, str) else spec
+    if spec.get("group"):
+        return f"{spec['column']} ({spec['group']})"
+    return f"{spec['column']} (bands of {spec['bin']:g})" if spec.get("bin") else spec["column"]
+
+
+def key_label(df: DataFrame, spec: str | dict, key: Column) -> Column:
+    """A key as it is shown: a period, a band from low to high, the text form; (blank) for null."""
+    spec = {"column": spec} if isinstance(spec, str) else spec
+    if spec.get("group"):
+        return period_label(key, spec["group"])
+    plain = lambda c: F.regexp_replace(F.format_string("%.6f", c), r"\.?0+$", "")
+    shown = F.concat(plain(key), F.lit(" – "), plain(key + float(spec["bin"]))) if spec.get("bin") else key.cast("string")
+    return F.coalesce(shown, F.lit("(blank)"))
+
+
+def tabular(df: DataFrame, result: DataFrame, rows: list) -> DataFrame:
+    """The pivot as it is read: one text column for each row field, parents first, each label at its own level only, the grand total last; then _level and v0.. ."""
+    keys, n = [f"r{i}" for i in range(len(rows))], len(rows)
+    level = F.lit(n) - F.col("_depth")  # how many keys a row has
+    labels = [F.when(level == i + 1, key_label(df, f, F.col(k))).when((level == 0) & (F.lit(i) == 0), F.lit("Grand Total")).otherwise(F.lit("")).alias(field_label(f)) for i, (f, k) in enumerate(zip(rows, keys, strict=True))]
+    order = [(level == 0).asc()] + [x for i, k in enumerate(keys) for x in ((level > i).asc(), F.asc_nulls_last(k))]
+    return result.orderBy(*order).select(*labels, level.alias("_level"), *[c for c in result.columns if c[0] == "v"])
+
+
+def to_csv(table: DataFrame, path: str, overwrite: bool = False) -> None:
+    """A tabular pivot as one file for spreadsheet programs: UTF-8 with a byte-order mark, lines ended by CR LF, the header first."""
+    quoted = lambda c: F.when(c.rlike('[",\n\r]'), F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(c)
+    names = [c for c in table.columns if c != "_level"]
+    line = F.concat_ws(",", *[quoted(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(""))) for c in names])
+    head = table.sparkSession.createDataFrame([tuple(names)], ", ".join(f"`h{i}` string" for i in range(len(names))))
+    first = head.select(F.concat(F.lit("\ufeff"), F.concat_ws(",", *[quoted(F.col(f"h{i}")) for i in range(len(names))])).alias("value"))
+    lines = first.unionByName(table.select(line.alias("value"))).coalesce(1)  # a report: sorted and limited before
+    lines.write.mode("overwrite" if overwrite else "errorifexists").option("lineSep", "\r\n").text(path)
 
 
 def show_as(result: DataFrame, value: str, how: str, total: str | None = None, out: str | None = None) -> DataFrame:
@@ -101,22 +211,34 @@ def show_as(result: DataFrame, value: str, how: str, total: str | None = None, o
     if how in ("pct_total", "pct_column"):
         grand = result.where(F.col("_depth") == deep).select(F.col(total if how == "pct_total" and total else value).cast("double").alias("_grand"))
         return result.join(F.broadcast(grand), how="left").withColumn(out, F.try_divide(v.cast("double"), F.when(F.col("_grand") != 0, F.col("_grand")))).drop("_grand")
+    if how not in ("running", "rank"):
+        raise SheetError(f"cannot show as {how!r}")
     display = [F.asc_nulls_last(k) for k in keys]
-    detail = F.col("_depth") == 0
+    mine, rest = (F.col("_depth") == 0) & v.isNotNull(), (F.col("_depth") != 0) | v.isNull()
     if how == "running":
-        w = W.partitionBy("_depth").orderBy(*display).rowsBetween(W.unboundedPreceding, W.currentRow)
-        return result.withColumn(out, F.when(detail & v.isNotNull(), F.sum(v).over(w)).when(~detail, v))
-    if how == "rank":
-        w = W.partitionBy("_depth").orderBy(v.desc_nulls_last(), *display)
-        return result.withColumn(out, F.when(detail & v.isNotNull(), F.row_number().over(w)))
-    raise SheetError(f"cannot show as {how!r}")
+        return running(result.where(mine), display, value, out).unionByName(result.where(rest).withColumn(out, v))
+    ranked = sorted_copy(result.where(mine), [v.desc_nulls_last(), *display]).numbered()
+    return ranked.withColumn(out, (F.col("_at") + 1).cast("int")).drop("_at").unionByName(result.where(rest).withColumn(out, F.lit(None).cast("int")))
+
+
+#: How long a period lasts.
+SPANS = {"year": {"years": 1}, "quarter": {"months": 3}, "month": {"months": 1}, "week": {"weeks": 1}, "day": {"days": 1}, "hour": {"hours": 1}}
 
 
 def drill(df: DataFrame, rows: list, keys: list, filters: list[dict] = ()) -> DataFrame:
-    """The base rows behind a cell: row and column fields with their keys, null for blank."""
+    """The base rows behind a cell: row and column fields with their keys, null for blank.  Periods and bands become ranges of the column itself, which reach the scan."""
     out = keep(df, list(filters))
     for f, k in zip(rows, keys, strict=True):
-        out = out.where(field(df, f).eqNullSafe(F.lit(k)))
+        spec = {"column": f} if isinstance(f, str) else f
+        field(df, spec)  # a field that cannot be is refused here
+        c, t = col(df, spec["column"]), df.schema[spec["column"]].dataType
+        if k is None or not (spec.get("group") or spec.get("bin")):
+            out = out.where(c.isNull() if k is None else c.eqNullSafe(F.lit(k)))
+        elif spec.get("group"):
+            low = F.lit(str(k)).cast(t)
+            out = out.where((c >= low) & (c < (low + F.make_interval(**{n: F.lit(v) for n, v in SPANS[spec["group"]].items()})).cast(t)))
+        else:
+            out = out.where((c >= F.lit(float(k))) & (c < F.lit(float(k) + float(spec["bin"]))))
     return out
 
 
@@ -128,10 +250,13 @@ def drill_other(df: DataFrame, columns: list, max_columns: int, filters: list[di
     return base.where(~any_kept).drop(*[f"c{i}" for i in range(len(columns))])
 
 
+#: How a period is shown.
+PERIODS = {"year": "yyyy", "quarter": "'Q'q yyyy", "month": "MMM yyyy", "week": "'Week of' MMM d, yyyy", "day": "d MMM yyyy", "hour": "HH:'00'"}
+
+
 def period_label(c: Column, group: str) -> Column:
-    """2024, Q1 2024, Mar 2024, Week of 2024-03-04, and so on; (blank) for null."""
-    made = {"year": F.date_format(c, "yyyy"), "quarter": F.concat(F.lit("Q"), F.quarter(c).cast("string"), F.lit(" "), F.date_format(c, "yyyy")), "month": F.date_format(c, "MMM yyyy"), "week": F.concat(F.lit("Week of "), F.date_format(c, "yyyy-MM-dd")), "day": F.date_format(c, "yyyy-MM-dd"), "hour": F.date_format(c, "yyyy-MM-dd HH:00")}
-    return F.coalesce(made[group], F.lit("(blank)"))
+    """2024, Q1 2024, Mar 2024, Week of Mar 4, 2024, 4 Mar 2024, 09:00; (blank) for null."""
+    return F.coalesce(F.date_format(c, PERIODS[group]), F.lit("(blank)"))
 
 
 def auto_layout(df: DataFrame, names: list[str]) -> dict:

@@ -41,3 +41,15 @@ def histogram(df: DataFrame, name: str, bins: int = 24) -> DataFrame:
     counts = values.join(F.broadcast(edges)).select(place.cast("int").alias("bin")).groupBy("bin").agg(F.count(F.lit(1)).alias("n"))
     slots = edges.select("lo", "w", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("bin"))
     return slots.join(counts, "bin", "left").select("bin", (F.col("lo") + F.col("bin") * F.col("w")).alias("low"), F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def histograms(df: DataFrame, names: list[str], bins: int = 24) -> DataFrame:
+    """column, bin, low, n for many number columns: their bounds by one aggregate, then one count of (column, bin)."""
+    cs = [finite(col(df, n).cast("double")) for n in names]
+    bounds = df.agg(*[f(c).alias(f"{p}{i}") for i, c in enumerate(cs) for p, f in (("a", F.min), ("z", F.max))])
+    edges = bounds.select(F.explode(F.array(*[F.struct(F.lit(n).alias("column"), F.col(f"a{i}").alias("lo"), ((F.col(f"z{i}") - F.col(f"a{i}")) / bins).alias("w"), F.when(F.col(f"z{i}") > F.col(f"a{i}"), bins).otherwise(1).alias("k")) for i, n in enumerate(names)])).alias("e")).select("e.*").where("lo is not null")
+    values = df.select(F.explode(F.array(*[F.struct(F.lit(n).alias("column"), c.alias("v")) for n, c in zip(names, cs, strict=True)])).alias("x")).select("x.*").where("v is not null")
+    place = F.when(F.col("w") > 0, F.least(F.floor((F.col("v") - F.col("lo")) / F.col("w")), F.col("k") - 1)).otherwise(0)
+    counted = values.join(F.broadcast(edges), "column").groupBy("column", place.cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    slots = edges.select("column", "lo", "w", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("bin"))
+    return slots.join(counted, ["column", "bin"], "left").select("column", "bin", (F.col("lo") + F.col("bin") * F.col("w")).alias("low"), F.coalesce("n", F.lit(0)).alias("n"))

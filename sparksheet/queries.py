@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import adhoc, sinks
-from .functions.convert import lossless, preview
+from .functions.convert import failures, lossless, preview, samples
 from .operators import clean, paging, pivot, predicates, profile
-from .sources import workbook
+from .scratch import fresh_path
+from .sources import text, workbook
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -27,10 +26,6 @@ def _add(name: str, table: str, make, sql: str | None) -> None:
 
 
 _FILTERS = {
-    "is_null": ("customer", {"column": "c_mktsegment"}, "c_mktsegment IS NULL"),
-    "is_not_null": ("customer", {"column": "c_mktsegment"}, "c_mktsegment IS NOT NULL"),
-    "is_blank": ("customer", {"column": "c_mktsegment"}, "c_mktsegment IS NULL OR c_mktsegment = ''"),
-    "is_not_blank": ("customer", {"column": "c_mktsegment"}, "c_mktsegment <> ''"),
     "in": ("customer", {"column": "c_mktsegment", "values": ["BUILDING", "MACHINERY", None]}, "c_mktsegment IN ('BUILDING','MACHINERY') OR c_mktsegment IS NULL"),
     "not_in": ("customer", {"column": "c_mktsegment", "values": ["BUILDING"]}, "c_mktsegment NOT IN ('BUILDING') OR c_mktsegment IS NULL"),
     "between": ("customer", {"column": "c_acctbal", "value": 0, "value2": 5000}, "c_acctbal BETWEEN 0 AND 5000"),
@@ -50,6 +45,10 @@ _FILTERS = {
     "lte": ("customer", {"column": "c_acctbal", "value": 1000}, "c_acctbal <= 1000"),
     "any_contains": ("customer", {"columns": ["c_name", "c_mktsegment"], "value": "auto"}, "c_name ILIKE '%auto%' OR c_mktsegment ILIKE '%auto%'"),
 }
+#: The tables have no nulls and no blanks: two market segments become that.
+_HOLES = "SELECT c_custkey, CASE WHEN c_mktsegment = 'BUILDING' THEN NULL WHEN c_mktsegment = 'MACHINERY' THEN '' ELSE c_mktsegment END AS segment FROM customer"
+for _op, _where in (("is_null", "segment IS NULL"), ("is_not_null", "segment IS NOT NULL"), ("is_blank", "segment IS NULL OR segment = ''"), ("is_not_blank", "segment <> ''")):
+    _add(f"filter_{_op}", "customer", lambda df, op=_op: predicates.keep(df.select("c_custkey", F.when(F.col("c_mktsegment") == "BUILDING", None).when(F.col("c_mktsegment") == "MACHINERY", "").otherwise(F.col("c_mktsegment")).alias("segment")), [{"op": op, "column": "segment"}]), f"SELECT * FROM ({_HOLES}) WHERE {_where}")
 for _op, (_t, _spec, _where) in _FILTERS.items():
     _add(f"filter_{_op}", _t, lambda df, s={"op": _op, **_spec}: predicates.keep(df, [s]), f"SELECT * FROM {_t} WHERE {_where}")
 
@@ -94,7 +93,7 @@ _add("pivot_rank", "orders", lambda df: pivot.show_as(_PRIORITY(df), "v0", "rank
 _add("pivot_pct_row", "orders", lambda df: pivot.show_as(pivot.pivot(df, ["o_orderpriority"], ["o_orderstatus"], [{"column": "o_totalprice", "agg": "sum"}]), "v0", "pct_row", total="v3").select("r0", "_depth", F.round("v0", 6).alias("v0")), "SELECT o_orderpriority AS r0, CAST(grouping(o_orderpriority) AS INT) AS _depth, round(sum(o_totalprice) FILTER (WHERE o_orderstatus = (SELECT min(o_orderstatus) FROM orders)) / sum(o_totalprice), 6) AS v0 FROM orders GROUP BY ROLLUP(o_orderpriority)")
 _add("pivot_report_filter", "orders", lambda df: _rounded(pivot.pivot(df, ["o_orderpriority"], values=[{"column": "o_totalprice", "agg": "sum"}], filters=[{"op": "in", "column": "o_orderstatus", "values": ["F"]}, {"op": "gt", "column": "o_totalprice", "value": 1000}])), "SELECT o_orderpriority AS r0, CAST(grouping(o_orderpriority) AS INT) AS _depth, round(sum(o_totalprice), 2) AS v0 FROM orders WHERE o_orderstatus IN ('F') AND o_totalprice > 1000 GROUP BY ROLLUP(o_orderpriority)")
 _add("pivot_labels", "orders", lambda df: df.select(pivot.period_label(F.col("o_orderdate"), "quarter").alias("label")).groupBy("label").agg(F.count(F.lit(1)).alias("n")), "SELECT coalesce('Q' || quarter(o_orderdate) || ' ' || year(o_orderdate), '(blank)') AS label, count(*) AS n FROM orders GROUP BY 1")
-_add("drill_band", "part", lambda df: pivot.drill(df, [{"column": "p_retailprice", "bin": 100}], [1000.0]).select("p_partkey", "p_retailprice"), "SELECT p_partkey, p_retailprice FROM part WHERE p_retailprice >= 1000 AND p_retailprice < 1100")
+_add("drill_band", "part", lambda df: pivot.drill(df, [{"column": "p_retailprice", "bin": 100}], [900.0]).select("p_partkey", "p_retailprice"), "SELECT p_partkey, p_retailprice FROM part WHERE p_retailprice >= 900 AND p_retailprice < 1000")
 _add("drill_month", "orders", lambda df: pivot.drill(df, ["o_orderstatus"], ["F"], [{"op": "between", "column": "o_orderdate", "value": "1995-03-01", "value2": "1995-03-31"}]).select("o_orderkey"), "SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F' AND o_orderdate BETWEEN TIMESTAMP '1995-03-01' AND TIMESTAMP '1995-03-31'")
 _add("drill_other", "lineitem", lambda df: pivot.drill_other(df, ["l_suppkey"], 3).groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n")), "SELECT l_returnflag, count(*) AS n FROM lineitem WHERE l_suppkey NOT IN (SELECT l_suppkey FROM lineitem GROUP BY 1 ORDER BY count(*) DESC, CAST(l_suppkey AS VARCHAR) LIMIT 3) GROUP BY 1")
 
@@ -121,10 +120,110 @@ _add("cell_rules", "documents", lambda df: sinks.cell_rules(df.select("doc_id",
 _add("adhoc_sql", "lineitem", lambda df: adhoc.query(df, "SELECT l_returnflag, count(*) AS n FROM data GROUP BY l_returnflag"), "SELECT l_returnflag, count(*) AS n FROM lineitem GROUP BY 1")
 
 
+#: Tables as files hold them: what has no order by a column follows file order.
+_IN_ORDER = "(SELECT *, row_number() OVER () AS place FROM {})"
+_add("page_file_order", "lineitem", lambda df: paging.page(paging.keyed(df), 1000, 100), "SELECT * FROM lineitem LIMIT 100 OFFSET 1000")
+_add("page_deep", "lineitem", lambda df: paging.page(df, 40_000, 200, [{"column": "l_extendedprice", "direction": "desc"}], tiebreak=["l_orderkey", "l_linenumber"]), "SELECT * FROM lineitem ORDER BY l_extendedprice DESC NULLS LAST, l_orderkey, l_linenumber LIMIT 200 OFFSET 40000")
+_add("page_counts", "orders", lambda df: paging.counts(df, [{"op": "gt", "column": "o_totalprice", "value": 250000}]), "SELECT count(*) AS total_rows, count(*) FILTER (WHERE o_totalprice > 250000) AS filtered_rows FROM orders")
+_add("checklist_first", "customer", lambda df: paging.checklist(df, "c_nationkey", 5)[0], "SELECT CAST(c_nationkey AS VARCHAR) AS value, count(*) AS n FROM customer GROUP BY 1 ORDER BY n DESC, value LIMIT 5")
+_add("dedupe_file_order", "orders", lambda df: paging.shown(clean.remove_duplicates(paging.keyed(df), ["o_custkey", "o_orderstatus"])), "SELECT * EXCLUDE (place) FROM " + _IN_ORDER.format("orders") + " QUALIFY row_number() OVER (PARTITION BY o_custkey, o_orderstatus ORDER BY place) = 1")
+_add("pivot_first", "orders", lambda df: pivot.pivot(paging.keyed(df), ["o_orderpriority"], ["o_orderstatus"], [{"column": "o_totalprice", "agg": "first"}]), "WITH s AS (SELECT o_orderstatus, row_number() OVER (ORDER BY o_orderstatus) AS i FROM (SELECT DISTINCT o_orderstatus FROM orders)) SELECT o_orderpriority AS r0, CAST(grouping(o_orderpriority) AS INT) AS _depth, " + ", ".join(f"arg_min(o_totalprice, place) FILTER (WHERE i = {i + 1}) AS v{i}" for i in range(3)) + ", arg_min(o_totalprice, place) AS v3 FROM " + _IN_ORDER.format("orders") + " JOIN s USING (o_orderstatus) GROUP BY ROLLUP(o_orderpriority)")
+_add("pivot_median_by_column", "orders", lambda df: pivot.pivot(df, ["o_orderpriority"], ["o_orderstatus"], [{"column": "o_totalprice", "agg": "median"}, {"column": "o_custkey", "agg": "count_distinct"}]).withColumns({f"v{i}": F.round(f"v{i}", 4) for i in (0, 2, 4, 6)}), "WITH s AS (SELECT o_orderstatus, row_number() OVER (ORDER BY o_orderstatus) AS i FROM (SELECT DISTINCT o_orderstatus FROM orders)) SELECT o_orderpriority AS r0, CAST(grouping(o_orderpriority) AS INT) AS _depth, " + ", ".join(f"round(median(o_totalprice) FILTER (WHERE i = {i + 1}), 4) AS v{2 * i}, count(DISTINCT o_custkey) FILTER (WHERE i = {i + 1}) AS v{2 * i + 1}" for i in range(3)) + ", round(median(o_totalprice), 4) AS v6, count(DISTINCT o_custkey) AS v7 FROM orders JOIN s USING (o_orderstatus) GROUP BY ROLLUP(o_orderpriority)")
+_add("pivot_many_columns", "lineitem", lambda df: _rounded(pivot.pivot(df, ["l_returnflag"], ["l_linenumber", "l_linestatus"], [_SUM, {"column": "l_quantity", "agg": "avg"}, {"agg": "count_all"}])).select("r0", "_depth", *[f"v{i}" for i in range(42, 45)]), "SELECT l_returnflag AS r0, CAST(grouping(l_returnflag) AS INT) AS _depth, round(sum(l_extendedprice), 2) AS v42, round(avg(l_quantity), 2) AS v43, count(*) AS v44 FROM lineitem GROUP BY ROLLUP(l_returnflag)")
+_add("pivot_fine_grains", "events", lambda df: pivot.pivot(df, [{"column": "ts", "group": g} for g in ("week", "day", "hour")]).select(*[F.date_format(f"r{i}", "yyyy-MM-dd HH:mm").alias(f"r{i}") for i in range(3)], "_depth", "v0"), "SELECT " + ", ".join(f"strftime(date_trunc('{g}', ts), '%Y-%m-%d %H:%M') AS r{i}" for i, g in enumerate(("week", "day", "hour"))) + ", CAST(" + " + ".join(f"grouping(date_trunc('{g}', ts))" for g in ("week", "day", "hour")) + " AS INT) AS _depth, count(*) AS v0 FROM events GROUP BY ROLLUP(" + ", ".join(f"date_trunc('{g}', ts)" for g in ("week", "day", "hour")) + ")")
+_add("pivot_wide_sum", "orders", lambda df: pivot.pivot(df.select("o_orderpriority", (F.col("o_orderkey") + 9_000_000_000_000_000_000).alias("big")), ["o_orderpriority"], values=[{"column": "big", "agg": "sum"}]).withColumn("v0", F.col("v0").cast("string")), "SELECT o_orderpriority AS r0, CAST(grouping(o_orderpriority) AS INT) AS _depth, CAST(sum(CAST(o_orderkey AS HUGEINT) + 9000000000000000000) AS VARCHAR) AS v0 FROM orders GROUP BY ROLLUP(o_orderpriority)")
+_add("pivot_non_finite", "orders", lambda df: _rounded(pivot.pivot(df.withColumn("x", F.when(F.col("o_orderstatus") == "F", float("inf")).when(F.col("o_orderstatus") == "P", float("nan")).otherwise(F.col("o_totalprice"))), ["o_orderstatus"], values=[{"column": "x", "agg": "sum"}, {"column": "x", "agg": "max"}])), "SELECT o_orderstatus AS r0, CAST(grouping(o_orderstatus) AS INT) AS _depth, CASE WHEN o_orderstatus = 'O' THEN round(sum(o_totalprice), 2) END AS v0, CASE WHEN o_orderstatus = 'O' THEN round(max(o_totalprice), 2) END AS v1 FROM orders GROUP BY ROLLUP(o_orderstatus)")
+_add("pivot_first_rows", "lineitem", lambda df: _rounded(pivot.first_rows(pivot.pivot(df, ["l_suppkey"], values=[_SUM]), 10, "v0")[0]), "WITH p AS (SELECT l_suppkey AS r0, CAST(grouping(l_suppkey) AS INT) AS _depth, round(sum(l_extendedprice), 2) AS v0 FROM lineitem GROUP BY ROLLUP(l_suppkey)) (SELECT * FROM p WHERE _depth = 0 ORDER BY v0 DESC, r0 LIMIT 10) UNION ALL SELECT * FROM p WHERE _depth = 1")
+_QUARTERS = [{"column": "o_orderdate", "group": "quarter"}, "o_orderstatus"]
+_add("pivot_tabular", "orders", lambda df: _rounded(pivot.tabular(df, pivot.pivot(df, _QUARTERS, values=[{"column": "o_totalprice", "agg": "sum"}]), _QUARTERS)), "WITH p AS (SELECT date_trunc('quarter', o_orderdate) AS a, o_orderstatus AS b, CAST(2 - grouping(date_trunc('quarter', o_orderdate)) - grouping(o_orderstatus) AS INT) AS _level, round(sum(o_totalprice), 2) AS v0 FROM orders GROUP BY ROLLUP(date_trunc('quarter', o_orderdate), o_orderstatus)) SELECT CASE _level WHEN 0 THEN 'Grand Total' WHEN 1 THEN coalesce('Q' || quarter(a) || ' ' || year(a), '(blank)') ELSE '' END AS \"o_orderdate (quarter)\", CASE _level WHEN 2 THEN coalesce(b, '(blank)') ELSE '' END AS o_orderstatus, _level, v0 FROM p")
+_BANDS = [{"column": "p_retailprice", "bin": 12.5}]
+_add("pivot_band_labels", "part", lambda df: pivot.tabular(df, pivot.pivot(df, _BANDS), _BANDS), "WITH p AS (SELECT CAST(floor(p_retailprice / 12.5) * 12.5 AS DOUBLE) AS a, CAST(1 - grouping(floor(p_retailprice / 12.5) * 12.5) AS INT) AS _level, count(*) AS v0 FROM part GROUP BY ROLLUP(floor(p_retailprice / 12.5) * 12.5)) SELECT CASE _level WHEN 0 THEN 'Grand Total' ELSE regexp_replace(CAST(a AS VARCHAR), '\\.0$', '') || ' – ' || regexp_replace(CAST(a + 12.5 AS VARCHAR), '\\.0$', '') END AS \"p_retailprice (bands of 12.5)\", _level, v0 FROM p")
+_add("pivot_pct_column", "orders", lambda df: pivot.show_as(pivot.pivot(df, ["o_orderpriority"], ["o_orderstatus"], [{"column": "o_totalprice", "agg": "sum"}]), "v1", "pct_column").select("r0", "_depth", F.round("v1", 6).alias("v1")), "WITH s AS (SELECT o_orderstatus, row_number() OVER (ORDER BY o_orderstatus) AS i FROM (SELECT DISTINCT o_orderstatus FROM orders)), p AS (SELECT o_orderpriority AS r0, CAST(grouping(o_orderpriority) AS INT) AS _depth, sum(o_totalprice) FILTER (WHERE i = 2) AS v FROM orders JOIN s USING (o_orderstatus) GROUP BY ROLLUP(o_orderpriority)) SELECT r0, _depth, round(v / (SELECT v FROM p WHERE _depth = 1), 6) AS v1 FROM p")
+_add("pivot_running_fine", "lineitem", lambda df: _rounded(pivot.show_as(pivot.pivot(df, ["l_suppkey", {"column": "l_shipdate", "group": "month"}], values=[{"column": "l_quantity", "agg": "sum"}]), "v0", "running")), "WITH p AS (SELECT l_suppkey AS r0, date_trunc('month', l_shipdate) AS r1, CAST(grouping(l_suppkey) + grouping(date_trunc('month', l_shipdate)) AS INT) AS _depth, sum(l_quantity) AS v FROM lineitem GROUP BY ROLLUP(l_suppkey, date_trunc('month', l_shipdate))) SELECT r0, strftime(r1, '%Y-%m-%d') AS r1, _depth, round(CASE WHEN _depth = 0 THEN sum(v) OVER (PARTITION BY _depth ORDER BY r0 NULLS LAST, r1 NULLS LAST ROWS UNBOUNDED PRECEDING) ELSE v END, 2) AS v0 FROM p")
+_add("drill_period", "orders", lambda df: pivot.drill(df, [{"column": "o_orderdate", "group": "quarter"}], ["1995-04-01"]).select("o_orderkey"), "SELECT o_orderkey FROM orders WHERE date_trunc('quarter', o_orderdate) = DATE '1995-04-01'")
+_add("profile_histograms", "lineitem", lambda df: profile.histograms(df, ["l_quantity", "l_discount"]).select("column", "bin", F.round("low", 4).alias("low"), "n"), " UNION ALL ".join(f"(WITH e AS (SELECT min({c}) lo, (max({c})-min({c}))/24 w FROM lineitem), b AS (SELECT CAST(least(floor(({c}-lo)/w), 23) AS INT) AS bin, count(*) n FROM lineitem, e WHERE {c} IS NOT NULL GROUP BY 1) SELECT '{c}' AS \"column\", CAST(s.i AS INT) AS bin, round(lo + s.i*w, 4) AS low, coalesce(n, 0) AS n FROM range(24) s(i) CROSS JOIN e LEFT JOIN b ON b.bin = s.i)" for c in ("l_quantity", "l_discount")))
+_add("convert_failures", "orders", lambda df: failures(df.select(F.when(F.col("o_orderkey") % 3 == 0, F.col("o_orderkey").cast("string")).otherwise(F.col("o_orderpriority")).alias("x")), "x", "number"), "SELECT o_orderpriority AS value, count(*) AS n FROM orders WHERE o_orderkey % 3 <> 0 GROUP BY 1 ORDER BY n DESC, value LIMIT 12")
+_add("convert_samples", "orders", lambda df: samples(df.select(F.date_format("o_orderdate", "MMM d yyyy").alias("x")), "x", "date"), "SELECT DISTINCT strftime(o_orderdate, '%b %-d %Y') AS before, strftime(o_orderdate, '%Y-%m-%d') AS after FROM orders ORDER BY before LIMIT 5")
+_add("convert_ambiguous", "orders", lambda df: preview(df.select(F.date_format("o_orderdate", "MM/dd/yyyy").alias("x")), "x", "date").select("rows", "converted", "ambiguous"), "SELECT count(*) AS rows, count(o_orderdate) AS converted, count(*) FILTER (WHERE day(o_orderdate) <= 12 AND day(o_orderdate) <> month(o_orderdate)) AS ambiguous FROM orders")
+_add("convert_marked_numbers", "orders", lambda df: clean.change_type(df.select("o_orderkey", F.concat(F.lit("("), F.translate(F.format_number("o_totalprice", 2), ",.", ".,"), F.lit(") EUR")).alias("x")), "x", "number"), "SELECT o_orderkey, -o_totalprice AS x FROM orders")
+_add("clean_proper", "part", lambda df: clean.clean_text(df.select("p_partkey", F.concat(F.lit("\t "), F.replace("p_name", F.lit(" "), F.lit("  ")), F.lit(" \r\n")).alias("p_name")), ["p_name"], case="proper"), "SELECT p_partkey, array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ') AS p_name FROM part")
+_add("cut_cells", "documents", lambda df: sinks.cut_cells(df.select("text")), "SELECT count(*) FILTER (WHERE length(replace(text, chr(13)||chr(10), chr(10))) > 32767) AS text FROM documents")
+_add("adhoc_subquery", "orders", lambda df: adhoc.query(df, "WITH big AS (SELECT * FROM data WHERE o_totalprice > (SELECT avg(o_totalprice) FROM data)) SELECT o_orderpriority, count(*) AS n FROM big GROUP BY 1 HAVING count(*) > 1"), "SELECT o_orderpriority, count(*) AS n FROM orders WHERE o_totalprice > (SELECT avg(o_totalprice) FROM orders) GROUP BY 1 HAVING count(*) > 1")
+
+
+def _file(read, sql: str, lines, **options) -> tuple:
+    """A query that writes lines of customers as a text file of one kind, and the sheet read back from it."""
+
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        path = fresh_path(spark, "text")
+        made = lines(spark.read.parquet(f"{d}/customer.parquet"))
+        made.write.options(**options).text(path)
+        return read(spark, path)
+
+    return run, sql
+
+
+def _line(sep: str, *parts, first: str | None = None):
+    """Lines in order of the key, below a header line."""
+
+    def make(df: DataFrame) -> DataFrame:
+        body = df.select("c_custkey", F.concat_ws(sep, *[p(df) for p in parts]).alias("value"))
+        head = df.sparkSession.createDataFrame([(-1, first)] if first else [], "c_custkey long, value string")
+        return head.unionByName(body).repartitionByRange(3, "c_custkey").sortWithinPartitions("c_custkey").select("value")
+
+    return make
+
+
+_key, _name, _money = lambda df: F.col("c_custkey").cast("string"), lambda df: F.col("c_name"), lambda df: F.format_string("%.2f", F.col("c_acctbal"))
+_comma = lambda df: F.replace(_money(df), F.lit("."), F.lit(","))
+_SOURCES = {
+    # Quoted fields with delimiters and quotes in them.
+    "source_csv": _file(lambda s, p: text.read_text(s, p, header=False).toDF("k", "quoted", "v"), "SELECT c_custkey AS k, c_name || ', \"' || c_mktsegment || '\"' AS quoted, round(c_acctbal, 2) AS v FROM customer", _line(",", _key, lambda df: F.concat(F.lit('"'), F.col("c_name"), F.lit(', ""'), F.col("c_mktsegment"), F.lit('"""')), _money)),
+    "source_tsv_gz": _file(lambda s, p: text.read_text(s, p, header=False).toDF("k", "name"), "SELECT c_custkey AS k, c_name AS name FROM customer", _line("\t", _key, _name), compression="gzip"),
+    "source_bz2_all_text": _file(lambda s, p: text.read_text(s, p, header=False, all_text=True).toDF("k", "name"), "SELECT CAST(c_custkey AS VARCHAR) AS k, c_name AS name FROM customer", _line("|", _key, _name), compression="bzip2"),
+    "source_ragged": _file(lambda s, p: text.read_text(s, p, header=False).toDF("k", "name", "extra"), "SELECT c_custkey AS k, c_name AS name, CASE WHEN c_custkey % 7 = 0 THEN c_mktsegment END AS extra FROM customer", _line(";", _key, _name, lambda df: F.when(F.col("c_custkey") % 7 == 0, F.col("c_mktsegment")))),
+    "source_leading_zeros": _file(lambda s, p: text.read_text(s, p, header=False).toDF("k", "code", "day"), "SELECT c_custkey AS k, lpad(CAST(c_custkey AS VARCHAR), 12, '0') AS code, DATE '2020-01-01' + CAST(c_custkey % 1000 AS INT) AS day FROM customer", _line(",", _key, lambda df: F.lpad(F.col("c_custkey").cast("string"), 12, "0"), lambda df: F.date_add(F.lit("2020-01-01").cast("date"), (F.col("c_custkey") % 1000).cast("int")).cast("string"))),
+    "source_given_layout": _file(lambda s, p: lossless(text.read_text(s, p, header=False, all_text=True), layout="dd/MM/yyyy").toDF("k", "day"), "SELECT c_custkey AS k, DATE '2020-01-01' + CAST(c_custkey % 1000 AS INT) AS day FROM customer", _line(",", _key, lambda df: F.date_format(F.date_add(F.lit("2020-01-01").cast("date"), (F.col("c_custkey") % 1000).cast("int")), "dd/MM/yyyy"))),
+    "source_decimal_comma": _file(lambda s, p: clean.change_type(text.read_text(s, p, ";", header=False).toDF("k", "v"), "v", "number"), "SELECT c_custkey AS k, round(c_acctbal, 2) AS v FROM customer", _line(";", _key, _comma)),
+    "source_line_numbers": _file(lambda s, p: text.numbered_lines(s, p).groupBy("file").agg(F.count(F.lit(1)).alias("n"), F.min("line").alias("low"), F.max("line").alias("high"), F.count_distinct("line").alias("different")).agg(F.sum("n").alias("n"), F.max("low").alias("low"), (F.sum("high") == F.sum("different")).alias("dense")), "SELECT count(*) AS n, CAST(1 AS BIGINT) AS low, true AS dense FROM customer", _line(",", _key, _name)),
+}
+for _k, (_run, _sql) in _SOURCES.items():
+    QUERIES[_k], ORACLES[_k] = _run, _sql
+
+
+def _jsonl(spark: SparkSession, d: str) -> DataFrame:
+    path = fresh_path(spark, "text") + ".jsonl"
+    sinks.write(spark.read.parquet(f"{d}/nation.parquet").select("n_name", "n_nationkey"), path, "jsonl")
+    return text.read_any(spark, path)
+
+
+QUERIES["source_jsonl"], ORACLES["source_jsonl"] = _jsonl, "SELECT n_name, CAST(n_nationkey AS BIGINT) AS n_nationkey FROM nation"
+
+
+def _header(spark: SparkSession, d: str) -> DataFrame:
+    """One file with a header line of clashing names."""
+    path, df = fresh_path(spark, "text"), spark.read.parquet(f"{d}/nation.parquet")
+    _line(",", lambda x: F.col("n_nationkey").cast("string"), lambda x: F.col("n_name"), lambda x: F.col("n_regionkey").cast("string"), first="Key,name,KEY")(df.withColumnRenamed("n_nationkey", "c_custkey").withColumn("n_nationkey", F.col("c_custkey"))).coalesce(1).write.text(path)
+    return text.read_text(spark, path)
+
+
+QUERIES["source_header"], ORACLES["source_header"] = _header, "SELECT CAST(n_nationkey AS BIGINT) AS \"Key\", n_name AS name, CAST(n_regionkey AS BIGINT) AS \"KEY_2\" FROM nation"
+
+
+def _rejects(spark: SparkSession, d: str) -> DataFrame:
+    """Every ninth line written in Latin-1: its accent is no UTF-8."""
+    path, df = fresh_path(spark, "text"), spark.read.parquet(f"{d}/customer.parquet")
+    lines = _line(",", _key, lambda df: F.when(F.col("c_custkey") % 9 == 4, F.encode(F.lit("Genève"), "ISO-8859-1").cast("string")).otherwise(F.lit("Genève")))(df)
+    lines.coalesce(1).write.text(path)
+    return text.rejected(spark, path).select("rejected", "lines")
+
+
+QUERIES["source_rejects"], ORACLES["source_rejects"] = _rejects, "SELECT count(*) AS rejected, list_slice(list(c_custkey + 1 ORDER BY c_custkey), 1, 5) AS lines FROM customer WHERE c_custkey % 9 = 4"
+
+
 def _roundtrip(form: str):
     def run(spark: SparkSession, d: str) -> DataFrame:
-        base = (spark.sparkContext.getConf().get("spark.checkpoint.dir") or "/tmp/sparksheet").rstrip("/")
-        path, df = f"{base}/export-{uuid.uuid4().hex}", spark.read.parquet(f"{d}/customer.parquet").select("c_custkey", "c_name", "c_acctbal")
+        path, df = fresh_path(spark, "export"), spark.read.parquet(f"{d}/customer.parquet").select("c_custkey", "c_name", "c_acctbal")
         sinks.write(df, path, form)
         if form == "parquet":
             return spark.read.parquet(path)
@@ -141,8 +240,7 @@ for _form in ("csv", "tsv", "parquet", "jsonl"):
 
 
 def _workbooks(spark: SparkSession, d: str) -> DataFrame:
-    base = (spark.sparkContext.getConf().get("spark.checkpoint.dir") or "/tmp/sparksheet").rstrip("/").removeprefix("file://").removeprefix("file:")
-    path, df = f"{base}/export-{uuid.uuid4().hex}", spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", "o_orderstatus", "o_totalprice", F.col("o_orderdate").cast("date").alias("day"))
+    path, df = fresh_path(spark, "export").removeprefix("file://").removeprefix("file:"), spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", "o_orderstatus", "o_totalprice", F.col("o_orderdate").cast("date").alias("day"))
     sinks.write_workbooks(df, ["o_orderkey"], path, "orders", 5_000)
     return workbook.read_workbooks(spark, path)
 

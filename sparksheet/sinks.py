@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .functions.columns import SheetError, col, kind
+from .operators.paging import sorted_copy
 
 MOST_ROWS, MOST_COLUMNS, SAFE, MOST_CHARS = 1_048_575, 16_384, 999_999_999_999_999, 32_767
 
@@ -42,16 +43,8 @@ def part_name(stem: str, i: int, parts: int, style: str = "alpha") -> str:
 
 
 def numbered(df: DataFrame, order: list[str]) -> DataFrame:
-    """Dense positions `_at` from 0 by a range sort and per-partition counts; no single task sees all rows."""
-    ranged = df.repartitionByRange(*[col(df, n).asc_nulls_last() for n in order]).sortWithinPartitions(*[col(df, n).asc_nulls_last() for n in order])
-    held = ranged.select("*", F.spark_partition_id().alias("_p"), F.monotonically_increasing_id().alias("_m")).persist()
-    counts = sorted((r["_p"], r["n"]) for r in held.groupBy("_p").agg(F.count(F.lit(1)).alias("n")).collect())  # one row a partition
-    starts, total = [], 0
-    for p, n in counts:
-        starts.append((p, total))
-        total += n
-    base = df.sparkSession.createDataFrame(starts or [(0, 0)], "_p int, _start long")
-    return held.join(F.broadcast(base), "_p").withColumn("_at", F.col("_start") + F.col("_m").bitwiseAND(2**33 - 1)).drop("_p", "_m", "_start")
+    """df with dense positions `_at` from 0."""
+    return sorted_copy(df, [col(df, n).asc_nulls_last() for n in order]).numbered()
 
 
 def split_parts(df: DataFrame, order: list[str], rows_per_file: int) -> DataFrame:
@@ -79,6 +72,13 @@ def cell_rules(df: DataFrame) -> DataFrame:
     return df.withColumns(out) if out else df
 
 
+def cut_cells(df: DataFrame) -> DataFrame:
+    """One row: for each text column how many cells are longer than a workbook's cells may be."""
+    names = [f.name for f in df.schema if kind(f.dataType) == "text"]
+    long = lambda n: F.char_length(F.replace(col(df, n).cast("string"), F.lit("\r\n"), F.lit("\n"))) > MOST_CHARS
+    return df.agg(*[F.count(F.when(long(n), 1)).alias(n) for n in names]) if names else df.sparkSession.range(1).select()
+
+
 def write(df: DataFrame, path: str, form: str = "parquet", overwrite: bool = False, compression: str = "zstd") -> None:
     w = df.write.mode("overwrite" if overwrite else "errorifexists")
     if form == "parquet":
@@ -169,6 +169,6 @@ def write_workbooks(df: DataFrame, order: list[str], folder: str, stem: str, row
     if not total:
         file, n, held = save(0, [])
         return df.sparkSession.createDataFrame([(0, file, n, held)], form)
-    dealt = sheet.withColumn("_part", F.floor(F.col("_at") / size).cast("int")).repartition(parts, "_part").sortWithinPartitions("_part", "_at")
+    dealt = sheet.withColumn("_part", F.floor(F.col("_at") / size).cast("int")).repartitionByRange(parts, "_part").sortWithinPartitions("_part", "_at")
     done = dealt.select("_part", *[col(dealt, n) for n in names]).mapInArrow(run, form).collect()  # one row a file
     return df.sparkSession.createDataFrame(done, form)

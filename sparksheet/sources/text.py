@@ -7,9 +7,11 @@ import csv
 import io
 import itertools
 import zipfile
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,13 +27,14 @@ def literal_path(path: str) -> str:
 
 
 def sniff_delimiter(lines: list[str]) -> str:
-    """The delimiter that gives most lines the first line's number of fields, more fields counting in; ties to the earlier."""
+    """The delimiter that cuts most of the first lines, as quotes have them, into one same number of fields above one; then the one with most fields, then the earlier."""
 
-    def score(d: str) -> float:
-        counts = [x.count(d) + 1 for x in lines[:50] if x]
-        return 0 if not counts or counts[0] < 2 else 100 * counts.count(counts[0]) / len(counts) + min(counts[0], 50)
+    def fits(d: str) -> tuple[float, int]:
+        widths = Counter(len(cells) for cells in csv.reader(lines, delimiter=d) if cells)
+        width, n = max(widths.items(), key=lambda x: (x[1], x[0]), default=(0, 0))
+        return (n / sum(widths.values()), width) if width > 1 else (0.0, 0)
 
-    return max(DELIMITERS, key=score)
+    return max(DELIMITERS, key=fits)
 
 
 def has_header(cells: list[str]) -> bool:
@@ -132,11 +135,36 @@ def read_text(spark: SparkSession, path: str, delimiter: str | None = None, enco
     return df if all_text else lossless(df)
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """file, line (from 1, each file's own), value: by the lines counted in each file's splits, so no task sees a whole file."""
+    m = F.col("_metadata")
+    lines = spark.read.text(literal_path(path)).select("value", m["file_path"].alias("file"), m["file_block_start"].alias("block"), F.monotonically_increasing_id().alias("at"))
+    splits = lines.groupBy("file", "block").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("n")
+    return lines.join(splits.select("file", "block", "first", before.alias("before")), ["file", "block"]).select("file", (F.col("before") + F.col("at") - F.col("first") + 1).alias("line"), "value")
+
+
 def rejected(spark: SparkSession, path: str) -> DataFrame:
-    """One row: how many lines hold bytes that are not text, and the first five of their numbers (from 1, by file order)."""
-    lines = spark.read.text(literal_path(path)).select("value", F.monotonically_increasing_id().alias("at"))
-    bad = lines.where(F.col("value").contains("\ufffd"))
-    return bad.agg(F.count(F.lit(1)).alias("rejected"), F.slice(F.sort_array(F.collect_list(F.col("at") + 1)), 1, 5).alias("lines"))
+    """file, rejected, lines for each file with lines whose bytes are not UTF-8: how many there are, and the numbers of the first five."""
+    bad = numbered_lines(spark, path).where(~F.is_valid_utf8("value")).select("file", "line")
+    first = bad.withColumn("place", F.row_number().over(W.partitionBy("file").orderBy("line"))).where("place <= 5")
+    few = first.groupBy("file").agg(F.array_sort(F.collect_list("line")).alias("lines"))
+    return bad.groupBy("file").agg(F.count(F.lit(1)).alias("rejected")).join(few, "file")
+
+
+def sniff(spark: SparkSession, path: str, rows: int = 20) -> dict:
+    """How read_text would read a file, and its first rows as text: encoding, delimiter, header, columns, sample, notes."""
+    encoding = detect_encoding(spark, path)
+    sheet = read_text(spark, path, encoding=encoding, all_text=True)
+    if encoding.upper().startswith("UTF-16"):
+        lines = _whole(spark, path, encoding).orderBy("at").limit(50)
+    else:
+        lines = spark.read.text(literal_path(path)).limit(50).select(decoded(F.col("value").cast("binary"), encoding).alias("value"))
+    head = [r["value"].removeprefix("\ufeff").rstrip("\r") for r in lines.collect() if r["value"]]
+    delimiter = sniff_delimiter(head)
+    header = has_header(next(csv.reader(head[:1], delimiter=delimiter), []))
+    notes = [f"not UTF-8, read as {encoding}"] * (encoding != "UTF-8") + ["no header row: columns are named column1, column2, ..."] * (not header)
+    return {"encoding": encoding, "delimiter": delimiter, "header": header, "columns": sheet.columns, "sample": [tuple(r) for r in sheet.limit(rows).collect()], "notes": notes}
 
 
 def read_any(spark: SparkSession, path: str, **options) -> DataFrame:

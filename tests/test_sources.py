@@ -4,36 +4,86 @@ import pytest
 
 from sparksheet import adhoc, sinks
 from sparksheet.functions.columns import SheetError, unique_names
-from sparksheet.functions.convert import converted
+from sparksheet.functions.convert import converted, failures, lossless, samples
 from sparksheet.operators import predicates
 from sparksheet.sources import text
 
 
-def test_typing_keeps_zeros_and_big_numbers(spark, tmp_path):
-    p = tmp_path / "ledger.csv"
-    p.write_text("item,amount,account,big_id\na,1.5,07001,1234567890123456789\nb,2,00042,1234567890123456788\n")
+def test_typing_changes_no_value(spark, tmp_path):
+    p = tmp_path / "stock.csv"
+    p.write_text("part,weight,shelf,serial,ratio\nbolt,0.25,0031,9007199254740993001,12345678901234567\nnut,4,0107,-17,1.5\n")
     df = text.read_text(spark, str(p))
-    assert dict(df.dtypes) == {"item": "string", "amount": "double", "account": "string", "big_id": "string"}
+    assert dict(df.dtypes) == {"part": "string", "weight": "double", "shelf": "string", "serial": "bigint", "ratio": "string"}
+    assert [r["serial"] for r in df.orderBy("part").collect()] == [9007199254740993001, -17]
 
 
-def test_ragged_rows_keep_their_extras(spark, tmp_path):
-    p = tmp_path / "extra.csv"
-    p.write_text("name,amount\nx,1\ny,2,EXTRA\nz\n")
+def test_typing_by_a_given_layout(spark):
+    df = spark.createDataFrame([("07/04/2021", "1"), (None, "2")], "d string, n string")
+    assert [tuple(map(str, r)) for r in lossless(df, layout="MM/dd/yyyy").collect()] == [("2021-07-04", "1"), ("None", "2")]
+
+
+def test_uneven_rows_lose_nothing(spark, tmp_path):
+    p = tmp_path / "uneven.csv"
+    p.write_text("city,people\nBonn,3\nGent,5,harbour\nPisa\n")
     rows = [tuple(r) for r in text.read_text(spark, str(p)).collect()]
-    assert rows == [("x", 1, None), ("y", 2, "EXTRA"), ("z", None, None)]
+    assert rows == [("Bonn", 3, None), ("Gent", 5, "harbour"), ("Pisa", None, None)]
+
+
+def test_paths_are_literal(spark, tmp_path):
+    for name, body in (("sales{q1}.csv", "k|v\n7|8\n"), ("salesq1.csv", "k|v\n0|0\n")):
+        (tmp_path / name).write_text(body)
+    assert [tuple(r) for r in text.read_text(spark, str(tmp_path / "sales{q1}.csv")).collect()] == [(7, 8)]
+
+
+@pytest.mark.parametrize("body, want", [('x;y\n"1,5;2,5";3\n4,0;5\n', ";"), ("x\ty\n1,2\t3\n", "\t"), ("one\ntwo\n", ","), ('n,t\n1,"a;b;c"\n2,"d;e;f"\n', ",")])
+def test_delimiters_outside_quotes_count(body, want):
+    assert text.sniff_delimiter(body.splitlines()) == want
+
+
+def test_rejects_have_their_line_numbers(spark, tmp_path):
+    lines = [b"k,v"] + [b"%d,x" % i for i in range(400)]
+    lines[7], lines[391] = b"6,\xff\xfe", b"390,\xc3("
+    (tmp_path / "broken.csv").write_bytes(b"\n".join(lines) + b"\n")
+    (tmp_path / "fine.csv").write_text("k,v\n1,\ufffd\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "512")
+    try:
+        got = text.rejected(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert [(r["rejected"], r["lines"]) for r in got] == [(2, [8, 392])]
 
 
-def test_paths_are_literal_and_semicolons_are_found(spark, tmp_path):
-    (tmp_path / "report[2024].csv").write_text("a;b\n1;2\n")
-    (tmp_path / "report2.csv").write_text("a;b\n9;9\n")
-    assert [tuple(r) for r in text.read_text(spark, str(tmp_path / "report[2024].csv")).collect()] == [(1, 2)]
+def test_sniffing(spark, tmp_path):
+    p = tmp_path / "menu.csv"
+    p.write_bytes("dish;price\nCrème;4\n".encode("cp1252"))
+    got = text.sniff(spark, str(p))
+    assert (got["encoding"], got["delimiter"], got["header"], got["columns"], got["sample"]) == ("windows-1252", ";", True, ["dish", "price"], [("Crème", "4")])
+    assert len(got["notes"]) == 1
 
 
-def test_numbers_and_names(spark):
-    values = {"12,5": 12.5, "1.234,56": 1234.56, "(1.234,56)": -1234.56, "1,234": 1234.0, "€ 3,5": 3.5, "SKU-123": None, "1,234.50": 1234.5, "$2,000": 2000.0, "42": 42.0, "5d": None}
+def test_numbers(spark):
+    values = {
+        "7,25": 7.25, "3.141.592,65": 3141592.65, "(2.718,28)": -2718.28, "8,640": 8640.0, "USD 19.5": 19.5, "19,5 EUR": 19.5, "LOT-9": None, "USD-9": None, "9 864,5": 9864.5, "£6,000.75": 6000.75, "17": 17.0, "8f": None,
+        "12-": -12.0, "-4.5": -4.5, "1.000.000": 1e6, "1,00,0": None, "1.2.3": None, "6.02e23": 6.02e23, ",5": 0.5, "25 %": 25.0, "1,234.": None, "": None, "NaN": None, "1,2,3": None, "88.123": 88.123, "₪\u202f5": 5.0,
+    }
     df = spark.createDataFrame([(k,) for k in values], "v string")
     assert {r["v"]: r["n"] for r in df.select("v", converted(df, "v", "number").alias("n")).collect()} == values
-    assert unique_names(["ID", "Id", "a", "a", "a_2"]) == ["ID", "Id_2", "a", "a_2", "a_2_2"]
+
+
+def test_dates(spark):
+    values = {"2 Nov 2023": "2023-11-02", "Nov 2 2023": "2023-11-02", "November 2 2023": "2023-11-02", "2-November-2023": "2023-11-02", "2-Nov-23": "2023-11-02", "2 Nov 71": "1971-11-02", "20231102": "2023-11-02", "20231102101112": "2023-11-02", "2023-11-02 10:11:12.5": "2023-11-02", "31 Feb 2023": None, "soon": None}
+    df = spark.createDataFrame([(k,) for k in values], "v string")
+    assert {r["v"]: r["d"] and str(r["d"]) for r in df.select("v", converted(df, "v", "date").alias("d")).collect()} == values
+
+
+def test_what_a_conversion_loses(spark):
+    df = spark.createDataFrame([(v,) for v in ("4", "n.v.", "n.v.", "tbd", "5", None, " ")], "v string")
+    assert [tuple(r) for r in failures(df, "v", "number").collect()] == [("n.v.", 2), ("tbd", 1)]
+    assert [tuple(r) for r in samples(df, "v", "number").collect()] == [("4", "4.0"), ("5", "5.0")]
+
+
+def test_names():
+    assert unique_names(["Key", "KEY", "x", "x", "x_2", " "]) == ["Key", "KEY_2", "x", "x_2", "x_2_2", "column6"]
 
 
 def test_refusals(spark):
