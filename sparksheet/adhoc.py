@@ -7,11 +7,12 @@ from pyspark.sql import DataFrame
 from .functions.columns import SheetError
 
 MOST_ROWS = 10_000
-#: What a statement may be made of, and functions that call into the virtual machine.
+#: What a statement may be made of, expressions with a query in them, and functions that call into the virtual machine.
 NODES = (
     "Project", "Filter", "Aggregate", "Sort", "Distinct", "Deduplicate", "GlobalLimit", "LocalLimit", "Offset", "Join", "LateralJoin", "Union", "Intersect", "Except", "SubqueryAlias", "UnresolvedWith", "UnresolvedRelation",
     "UnresolvedSubqueryColumnAliases", "UnresolvedHaving", "UnresolvedInlineTable", "OneRowRelation", "WithWindowDefinition", "Generate", "Pivot", "Unpivot", "UnresolvedTableValuedFunction", "Sample",
 )
+SUBQUERIES = ("ScalarSubquery", "Exists", "ListQuery", "LateralSubquery", "FunctionTableSubqueryArgumentExpression")
 FORBIDDEN = ("java_method", "reflect", "try_reflect")
 
 
@@ -44,8 +45,10 @@ def refuse(spark, sql: str) -> None:
             what = e.getClass().getSimpleName()
             if what == "UnresolvedFunction" and (name := ".".join(seq(e.nameParts())).lower()).rpartition(".")[2] in FORBIDDEN:
                 raise SheetError(f"{name} is not allowed")
-            if hasattr(e, "plan") and "Subquery" in what or what in ("Exists", "ListQuery"):
+            if what in SUBQUERIES:
                 todo.append(e.plan())
+            elif "Subquery" in what and what != "InSubquery":  # its own query is among its children
+                raise SheetError(f"only queries are allowed, not {what}")
             exprs += seq(e.children())
     if names - own:
         raise SheetError(f"no table {sorted(names - own)[0]!r}: there is data only")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from py4j.protocol import Py4JJavaError
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -34,8 +34,8 @@ def find_replace(df: DataFrame, find: str, replace: str = "", columns: list[str]
     if regex:
         try:
             df.sparkSession._jvm.java.util.regex.Pattern.compile(find)  # the one that will run
-        except Py4JJavaError as e:
-            raise SheetError(f"not a pattern: {e.java_exception.getMessage()}") from e
+        except IllegalArgumentException as e:
+            raise SheetError(f"not a pattern: {e}") from e
     pattern = find if regex else "".join("\\" + c if not c.isalnum() and c.isascii() else c for c in find)
     pattern = ("" if match_case else "(?i)") + (f"^(?:{pattern})$" if whole_cell else pattern)
     into = re.sub(r"\\(\d)", r"$\1", replace) if regex else replace.replace("\\", "\\\\").replace("$", "\\$")

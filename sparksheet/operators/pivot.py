@@ -197,9 +197,10 @@ def to_csv(table: DataFrame, path: str, overwrite: bool = False) -> None:
     names = [c for c in table.columns if c != "_level"]
     line = F.concat_ws(",", *[quoted(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(""))) for c in names])
     head = table.sparkSession.createDataFrame([tuple(names)], ", ".join(f"`h{i}` string" for i in range(len(names))))
-    first = head.select(F.concat(F.lit("\ufeff"), F.concat_ws(",", *[quoted(F.col(f"h{i}")) for i in range(len(names))])).alias("value"))
-    lines = first.unionByName(table.select(line.alias("value"))).coalesce(1)  # a report: sorted and limited before
-    lines.write.mode("overwrite" if overwrite else "errorifexists").option("lineSep", "\r\n").text(path)
+    first = head.select(F.lit(-1).cast("long").alias("at"), F.concat(F.lit("\ufeff"), F.concat_ws(",", *[quoted(F.col(f"h{i}")) for i in range(len(names))])).alias("value"))
+    lines = first.unionByName(table.select(F.monotonically_increasing_id().alias("at"), line.alias("value")))
+    one = lines.coalesce(1).sortWithinPartitions("at").select("value")  # a report: sorted and limited before
+    one.write.mode("overwrite" if overwrite else "errorifexists").option("lineSep", "\r\n").text(path)
 
 
 def show_as(result: DataFrame, value: str, how: str, total: str | None = None, out: str | None = None) -> DataFrame:

@@ -12,13 +12,49 @@ def finite(c: Column) -> Column:
     return F.when(F.isnan(c) | (F.abs(c) == float("inf")), None).otherwise(c)
 
 
+#: The bounds of a median are looked for this far about it, by rank; different values between bounds are gathered when they are about this few.
+NEAR, FEW = 0.002, 20_000
+
+
+def median_within(values: DataFrame, n: int, low: float, high: float) -> float:
+    """The exact median of n values (column v, no nulls) of which it is thought to lie between two bounds.  Bounds are narrowed
+    by sketches and checked by counts until few values are left between them: no task ever holds or sorts them all."""
+    ranks, margin, v = ((n - 1) // 2, n // 2), NEAR, F.col("v")
+    lo, hi, below, m, kinds = -float("inf"), float("inf"), 0, n, n
+    for _ in range(12):
+        inside = F.when(v.between(low, high), v)
+        row = values.agg(F.count(F.when(v < low, 1)).alias("under"), F.count(inside).alias("inside"), F.approx_count_distinct(inside).alias("kinds")).first()
+        if row["under"] <= ranks[0] and ranks[1] < row["under"] + row["inside"]:
+            lo, hi, below, m, kinds = low, high, row["under"], row["inside"], row["kinds"]
+        else:
+            margin *= 8
+        if min(m, kinds) <= FEW or lo == hi:
+            break
+        p = [min(max((r - below) / m + d, 0.0), 1.0) for r, d in zip(ranks, (-margin, margin), strict=True)]
+        low, high = values.where(v.between(lo, hi)).agg(F.percentile_approx("v", p, 10_000)).first()[0]
+    else:
+        return values.agg(F.median("v")).first()[0]
+    if lo == hi:
+        return lo
+    held, seen, found = sorted(map(tuple, values.where(v.between(lo, hi)).groupBy("v").count().collect())), below, []
+    for x, k in held:
+        found += [x for r in ranks if seen <= r < seen + k]
+        seen += k
+    return sum(found) / 2
+
+
 def summary(df: DataFrame, name: str) -> DataFrame:
     """One row: rows, count, empty, and for numbers sum, average, minimum, maximum, median; else approx_distinct and the least and greatest text."""
     c = col(df, name)
     base = [F.count(F.lit(1)).alias("rows"), F.count(c).alias("count"), F.count(F.when(c.isNull(), 1)).alias("empty")]
     if kind(df.schema[name].dataType) == "number":
         d = c.cast("double")
-        return df.agg(*base, *[finite(f(d)).alias(n) for n, f in (("sum", F.sum), ("average", F.avg), ("minimum", F.min), ("maximum", F.max), ("median", F.median))])
+        ranked = F.when(F.isnan(d), float("inf")).otherwise(d)  # as the greatest, like everywhere
+        made = df.agg(*base, *[finite(f(d)).alias(n) for n, f in (("sum", F.sum), ("average", F.avg), ("minimum", F.min), ("maximum", F.max))], F.percentile_approx(ranked, [0.5 - NEAR, 0.5 + NEAR], 10_000).alias("near"))
+        row = made.first()
+        middle = median_within(df.select(ranked.alias("v")).where("v is not null"), row["count"], *row["near"]) if row["count"] else None
+        middle = None if middle is None or abs(middle) == float("inf") or middle != middle else middle
+        return df.sparkSession.createDataFrame([(*row[:-1], middle)], made.drop("near").withColumn("median", F.lit(None).cast("double")).schema)
     t = text_form(df, name)
     return df.agg(*base, F.approx_count_distinct(c).alias("approx_distinct"), F.min(t).alias("minimum"), F.max(t).alias("maximum"))
 

@@ -12,7 +12,7 @@ import zipfile
 from xml.sax.saxutils import escape
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -80,6 +80,10 @@ def cut_cells(df: DataFrame) -> DataFrame:
 
 
 def write(df: DataFrame, path: str, form: str = "parquet", overwrite: bool = False, compression: str = "zstd") -> None:
+    """A folder of one format; its own source is never written over."""
+    bare = lambda p: p.removeprefix("file://").removeprefix("file:").rstrip("/")
+    if overwrite and any(f"{bare(f)}/".startswith(f"{bare(path)}/") for f in df.inputFiles()):
+        raise SheetError(f"{path} is what the table is read from")
     w = df.write.mode("overwrite" if overwrite else "errorifexists")
     if form == "parquet":
         w.option("compression", compression).parquet(path)
@@ -91,6 +95,15 @@ def write(df: DataFrame, path: str, form: str = "parquet", overwrite: bool = Fal
         raise SheetError(f"unknown format {form!r}")
 
 
+def report(spark: SparkSession, path: str, rows: int, source_bytes: int | None = None) -> dict:
+    """What an export has written: files (name, bytes), rows, bytes, and how much smaller than its source it is."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = at.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(at)
+    files = sorted((f.getPath().getName(), f.getLen()) for f in found if not f.getPath().getName().startswith(("_", ".")))
+    total = sum(n for _, n in files)
+    return {"files": files, "rows": rows, "bytes": total, "compression_ratio": round(1 - total / source_bytes, 3) if source_bytes and total else None}
+
+
 #: Fixed values of the workbook format: the members every file has besides its sheet.
 _MAIN = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
 _RELATIONS = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"

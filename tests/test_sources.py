@@ -1,12 +1,15 @@
 """Text sources, conversions and errors on small files."""
 
+import random
+import statistics
+
 import pytest
 
 from sparksheet import adhoc, sinks
 from sparksheet.functions.columns import SheetError, unique_names
 from sparksheet.functions.convert import converted, failures, lossless, samples
-from sparksheet.operators import predicates
-from sparksheet.sources import text
+from sparksheet.operators import clean, pivot, predicates, profile
+from sparksheet.sources import sheet, text
 
 
 def test_typing_changes_no_value(spark, tmp_path):
@@ -82,6 +85,71 @@ def test_what_a_conversion_loses(spark):
     assert [tuple(r) for r in samples(df, "v", "number").collect()] == [("4", "4.0"), ("5", "5.0")]
 
 
+def test_opening_says_what_it_did(spark, tmp_path):
+    p = tmp_path / "visits.csv"
+    p.write_text("day,n\n04/05/2022,1\n05/04/2022,2\n31/12/2022,3\n")
+    got = sheet.open_sheet(spark, str(p))
+    assert got.rows == 3 and dict(got.df.dtypes)["day"] == "string" and len(got.warnings) == 1 and "2 dates" in got.warnings[0]
+    got = sheet.open_sheet(spark, str(p), layout="dd/MM/yyyy")
+    assert dict(got.df.dtypes) == {"day": "date", "n": "bigint"} and not got.warnings and len(got.notes) == 1
+    (tmp_path / "none.csv").write_text("a,b\n")
+    assert sheet.open_sheet(spark, str(tmp_path / "none.csv"), encoding="klingon").warnings == ["no rows"]
+    p.write_bytes(b"a,b\n1,\xff\n2,x\n" + "3,ü\n".encode() * 600)
+    assert "line 2" in sheet.open_sheet(spark, str(p), encoding="UTF-8").warnings[0]
+
+
+def test_exports_are_reported_and_spare_their_source(spark, tmp_path):
+    df = spark.range(100).repartition(2)
+    sinks.write(df, str(tmp_path / "out"), "csv")
+    got = sinks.report(spark, str(tmp_path / "out"), 100, 10_000)
+    assert len(got["files"]) == 2 and got["bytes"] == sum(n for _, n in got["files"]) and 0.9 < got["compression_ratio"] < 1
+    with pytest.raises(SheetError):
+        sinks.write(spark.read.csv(str(tmp_path / "out")), str(tmp_path / "out"), "csv", overwrite=True)
+
+
+@pytest.mark.parametrize("sql", ["SHOW TABLES", "REFRESH TABLE data", "SELECT java_method('java.lang.System', 'getProperty', 'user.home')", "SELECT reflect('java.util.UUID', 'randomUUID') FROM data", "SELECT * FROM other", "INSERT INTO data VALUES (1)", "SELECT 1; SELECT 2", "SELECT (SELECT max(x) FROM parquet.`/tmp/x`) FROM data"])
+def test_only_queries_run(spark, sql):
+    with pytest.raises(SheetError):
+        adhoc.query(spark.range(3), sql)
+
+
+def test_queries_run(spark):
+    got = adhoc.query(spark.range(5), "WITH a AS (SELECT id FROM data WHERE id IN (SELECT max(id) FROM data)) SELECT a.id, x.n FROM a CROSS JOIN (SELECT count(*) AS n FROM data) x UNION ALL SELECT 0, 0 ORDER BY 1")
+    assert [tuple(r) for r in got.collect()] == [(0, 0), (4, 5)]
+
+
+def test_patterns_are_those_that_run(spark):
+    df = spark.createDataFrame([("foo",)], "t string")
+    with pytest.raises(SheetError):
+        clean.find_replace(df, "(?P<n>o)", "x", regex=True)
+    assert clean.find_replace(df, "(?<n>o)+", "0", regex=True).first()[0] == "f0"
+
+
+def test_pivots_sort_cut_and_print(spark, tmp_path):
+    df = spark.createDataFrame([("b", 1, "x"), ("a", 5, "x, y"), ("a", 2, None), (None, 4, "x")], "g string, n long, h string")
+    made = pivot.pivot(df, ["g", "h"], values=[{"column": "n", "agg": "sum"}])
+    top, more = pivot.first_rows(made, 2, "v0")
+    assert more and [tuple(r) for r in top.select("r0", "r1", "v0").collect()] == [("a", "x, y", 5), (None, "x", 4), (None, None, 12)]
+    by_key = [tuple(r)[:2] for r in pivot.sort_rows(made).collect()]
+    assert by_key == [("a", "x, y"), ("a", None), ("a", None), ("b", "x"), ("b", None), (None, "x"), (None, None), (None, None)]
+    pivot.to_csv(pivot.tabular(df, made, ["g", "h"]), str(tmp_path / "p"))
+    body = next((tmp_path / "p").glob("part-*")).read_bytes()
+    assert body.decode() == '\ufeffg,h,v0\r\na,,7\r\n,"x, y",5\r\n,(blank),2\r\nb,,1\r\n,x,1\r\n(blank),,4\r\n,x,4\r\nGrand Total,,12\r\n'
+    with pytest.raises(SheetError):
+        pivot.sort_rows(made, "nope")
+
+
+@pytest.mark.parametrize("few", [20_000, 3])
+def test_medians(spark, monkeypatch, few):
+    monkeypatch.setattr(profile, "FEW", few)
+    r = random.Random(5)
+    for values in ([1.0], [1.0, 4.0], [7.0] * 50, [r.gauss(0, 1) for _ in range(999)], [float(r.randrange(4)) for _ in range(1000)], [1.0] * 500 + [2.0] * 500, [float("nan"), 1.0, float("inf"), 2.0, 3.0]):
+        df = spark.createDataFrame([(v,) for v in [*values, None]], "v double")
+        want = statistics.median(float("inf") if v != v else v for v in values)
+        assert profile.summary(df, "v").first()["median"] == pytest.approx(want, rel=1e-12)
+    assert profile.summary(df.where("v is null"), "v").first()["median"] is None
+
+
 def test_names():
     assert unique_names(["Key", "KEY", "x", "x", "x_2", " "]) == ["Key", "KEY_2", "x", "x_2", "x_2_2", "column6"]
 
