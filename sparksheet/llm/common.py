@@ -2,35 +2,48 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import ctypes
+import gc
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_own: dict[str, str] = {}
+from ..scratch import cut, discard, shared_dir  # noqa: F401
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); a temporary one only where it is unset."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = _own.setdefault("dir", tempfile.mkdtemp(prefix="sparksheet-"))
-    return base.rstrip("/")
+def tidy() -> None:
+    """Gives memory that a task is done with back to the system: workers live on, and several share an executor's memory."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Writes df as Parquet to the shared folder and rereads it: lineage ends there, so lost executors cost no recomputation."""
-    path = f"{shared_dir(df.sparkSession)}/sparksheet-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def tidily(run):
+    """A task function (an iterator to an iterator) that is tidy at its end."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            tidy()
+
+    return wrapped
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A name like this that no column of df has, whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def text_of(name: str = "text"):
     """The column with null read as the empty text."""
     return F.coalesce(F.col(f"`{name}`").cast("string"), F.lit(""))

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, chunks, text_of
+from .common import batch, chunks, text_of, tidily
 
 SIGNATURE = b"\x89PNG\r\n\x1a\n"  # fixed by the format
 
@@ -52,21 +52,22 @@ def encode_png(payload: bytes, width: int = 576, level: int = 1, gain: int = 16)
     return SIGNATURE + _chunk(b"IHDR", header) + _chunk(b"IDAT", zlib.compress(body.data, level)) + _chunk(b"IEND", b"")
 
 
-def _average(line: np.ndarray, up: np.ndarray) -> np.ndarray:
-    out, last = np.empty_like(line), 0
-    for i, (x, b) in enumerate(zip(line.tolist(), up.tolist(), strict=True)):
-        out[i] = last = (x + (last + b) // 2) & 255
-    return out
-
-
-def _paeth(line: np.ndarray, up: np.ndarray) -> np.ndarray:
-    out, a, c = np.empty_like(line), 0, 0
-    for i, (x, b) in enumerate(zip(line.tolist(), up.tolist(), strict=True)):
-        pa_, pb, pc = abs(b - c), abs(a - c), abs(a + b - 2 * c)
-        guess = a if pa_ <= pb and pa_ <= pc else b if pb <= pc else c
-        out[i] = a = (x + guess) & 255
-        c = b
-    return out
+def _by_diagonals(kind: int, body: np.ndarray, prior: np.ndarray) -> np.ndarray:
+    """Rows of Average (3) or Paeth (4): a sample needs its left and upper neighbours, so all of one diagonal are undone at once."""
+    h, w = body.shape
+    out = np.zeros((h + 1, w + 1), np.int16)
+    out[0, 1:] = prior
+    for d in range(h + w - 1):
+        i = np.arange(max(0, d - w + 1), min(h, d + 1))
+        j = d - i
+        left, up, corner = out[i + 1, j], out[i, j + 1], out[i, j]
+        if kind == 3:
+            guess = (left + up) >> 1
+        else:
+            to_left, to_up, to_corner = np.abs(up - corner), np.abs(left - corner), np.abs(left + up - 2 * corner)
+            guess = np.where((to_left <= to_up) & (to_left <= to_corner), left, np.where(to_up <= to_corner, up, corner))
+        out[i + 1, j + 1] = (body[i, j] + guess) & 255
+    return out[1:, 1:].astype(np.uint8)
 
 
 def unfilter(kinds: np.ndarray, body: np.ndarray) -> np.ndarray:
@@ -86,8 +87,7 @@ def unfilter(kinds: np.ndarray, body: np.ndarray) -> np.ndarray:
         elif kind == 2:
             out[lo:hi] = np.cumsum(body[lo:hi], axis=0, dtype=np.uint8) + prior
         else:
-            for i in range(lo, hi):
-                out[i] = prior = (_average if kind == 3 else _paeth)(body[i], prior)
+            out[lo:hi] = _by_diagonals(int(kind), body[lo:hi], prior)
     return out
 
 
@@ -154,7 +154,7 @@ def to_png(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
                 media.append(encode_png(raw + b"\xff" * (-len(raw) % width if raw else width), width, level))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(media, pa.binary())], names=[id_col, "n_bytes", "media"])
 
-    return df.select(F.col(f"`{id_col}`"), text_of(text_col).alias("t")).mapInArrow(run, f"`{id_col}` {kind}, n_bytes long, media binary")
+    return df.select(F.col(f"`{id_col}`"), text_of(text_col).alias("t")).mapInArrow(tidily(run), f"`{id_col}` {kind}, n_bytes long, media binary")
 
 
 FEATURES = [("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("hash", pa.binary()), ("feature", pa.string())]
