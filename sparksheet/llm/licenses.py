@@ -1,12 +1,14 @@
 """License scans by diagonal voting, in DataFrame functions only.
 
-A text's words are lower-cased (A-Z) runs of letters, digits and non-ASCII characters.  Every rolling k-gram of
-words is hashed and joined to the templates' k-grams; a hit votes for its diagonal (place in the text less place
-in the template).  Neighbouring diagonals (at most `slip` apart) are merged, so that a few inserted or dropped
-words do not split a match; a merged diagonal is a span if it covers `cover` of the template's k-grams within
-at most twice the template's length.  Fixed phrases are looked up beside that and always stay.
+A text's words are lower-cased (A-Z) runs of letters, digits and non-ASCII characters, cut once.  Every rolling k-gram of
+words is hashed and joined to the templates' k-grams; a hit, verified by the words themselves, votes for its diagonal
+(place in the text less place in the template).  Neighbouring diagonals (at most `slip` apart) are merged, so that a few
+inserted or dropped words do not split a match; chains of diagonals that run over more than the template's length are
+cut into stretches of that length, once from their start and once half a length off.  A merged diagonal is a span if it
+covers `cover` of the template's k-grams.  Fixed phrases are looked up beside that and always stay.
 
-Templates are a parameter table; their k-grams are broadcast up to `broadcast_grams` rows and shuffled beyond.
+Templates are a parameter table; their k-grams are broadcast up to `broadcast_grams` rows and shuffled beyond.  With the
+k-grams of a text goes one row for the text itself, so that one scan and one pass of shuffles serve both.
 
 Defined cases: null and empty texts have no words and no labels; equal rows (same id, same text) get equal
 values, each keeping its row; templates with fewer than k words are looked up with k cut to their length.
@@ -53,9 +55,11 @@ def words(text: Column) -> Column:
 
 
 def grams(ws: Column, k: int) -> Column:
-    """Hashes of all k-grams of words, by place; empty if there are fewer words."""
+    """All k-grams of words by place: at, k, gram (its words), hash; empty if there are fewer words."""
     n = F.size(ws) - k
-    return F.when(n >= 0, F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(0))), lambda i: F.xxhash64(*[F.get(ws, i + j) for j in range(k)]))).otherwise(F.array().cast("array<bigint>"))
+    gram = lambda i: F.concat_ws(" ", *[F.get(ws, i + j) for j in range(k)])
+    made = F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(0))), lambda i: F.struct(i.alias("at"), F.lit(k).alias("k"), gram(i).alias("gram")))
+    return F.when(n >= 0, made).otherwise(F.array().cast("array<struct<at:int,k:int,gram:string>>"))
 
 
 def places(ws: Column, phrase: str) -> Column:
@@ -73,28 +77,12 @@ def places(ws: Column, phrase: str) -> Column:
 
 
 def template_grams(spark: SparkSession, templates, k: int) -> DataFrame:
-    """template, label, grams (how many), words (how many), place, hash.  templates: (number, label, text), each of k words at least."""
-    t = spark.createDataFrame(list(templates), "template int, label string, text string")
-    t = t.withColumn("w", words(F.col("text"))).withColumn("words", F.size("w")).withColumn("g", grams(F.col("w"), k))
-    return t.select("template", "label", "words", F.size("g").alias("grams"), F.posexplode("g").alias("place", "hash"))
-
-
-def diagonal_spans(keyed: DataFrame, templates, k: int, slip: int, cover: float, broadcast_grams: int) -> DataFrame:
-    """key, label, template, first, last (words, inclusive), score: the verified spans.  keyed: key, ws."""
-    spark = keyed.sparkSession
-    known = template_grams(spark, templates, k)
-    if sum(len(t.split()) for *_, t in templates) <= broadcast_grams:
-        known = F.broadcast(known)
-    all_grams = keyed.select("key", F.posexplode(grams(F.col("ws"), k)).alias("at", "hash"))
-    hits = all_grams.join(known, "hash").select("key", "template", "label", "grams", "words", "place", "at", (F.col("at") - F.col("place")).alias("diagonal"))
-    by = ["key", "template", "label", "grams", "words"]
-    votes = hits.groupBy(*by, "diagonal").agg(F.collect_set("place").alias("placed"), F.min("at").alias("first"), F.max("at").alias("last"))
-    order = W.partitionBy("key", "template").orderBy("diagonal")
-    fresh = F.coalesce((F.col("diagonal") - F.lag("diagonal").over(order) > slip).cast("int"), F.lit(1))
-    merged = votes.withColumn("fresh", fresh).withColumn("run", F.sum("fresh").over(order)).groupBy(*by, "run")
-    spans = merged.agg(F.size(F.array_distinct(F.flatten(F.collect_list("placed")))).alias("placed"), F.min("first").alias("first"), (F.max("last") + k - 1).alias("last"))
-    score = F.col("placed") / F.col("grams")
-    return spans.withColumn("score", score).where((F.col("score") >= cover) & (F.col("last") - F.col("first") + 1 <= 2 * F.col("words"))).select("key", "label", "template", "first", "last", "score")
+    """template, label, words, grams (how many), hash, k, gram, place.  templates: (label, text); of fewer than k words: with k cut to their number."""
+    t = spark.createDataFrame([(i, *x) for i, x in enumerate(templates)], "template int, label string, text string")
+    t = t.withColumn("w", words(F.col("text"))).withColumn("words", F.size("w")).where("words > 0")
+    own = F.coalesce(*[F.when(F.col("words") == n, grams(F.col("w"), n)) for n in range(1, k)], grams(F.col("w"), k))
+    t = t.withColumn("g", own).select("template", "label", "words", F.size("g").alias("grams"), F.explode_outer("g").alias("x"))
+    return t.select("template", "label", "words", "grams", F.xxhash64("x.gram").alias("hash"), F.col("x.k").alias("k"), F.col("x.gram").alias("gram"), F.col("x.at").alias("place"))
 
 
 def _labelled(label: str):
@@ -103,18 +91,39 @@ def _labelled(label: str):
 
 def scan_licenses(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates=TEMPLATES, k: int = 3, slip: int = 2, cover: float = 0.6, broadcast_grams: int = 100_000) -> DataFrame:
     """id_col, n_words, base array<struct<at, label>> (phrases), spans array<struct<label, template, first, last, score>> for each row of df."""
+    known = template_grams(df.sparkSession, templates, k)
+    lengths = sorted({min(k, len(re.findall(WORD, text.lower()))) for _, text in templates} - {0}) or [k]
+    if sum(len(re.findall(WORD, text.lower())) for _, text in templates) <= broadcast_grams:
+        known = F.broadcast(known)
     rows = df.select(F.col(f"`{id_col}`").alias("id"), text_of(text_col).alias("t")).select("id", F.xxhash64("id", "t").alias("key"), words(F.col("t")).alias("ws"))
-    by_k: dict[int, list] = {}
-    for i, (label, text) in enumerate(templates):
-        by_k.setdefault(min(k, len(re.findall(WORD, text.lower()))), []).append((i, label, text))
-    by_k.pop(0, None)
+    base = F.array_sort(F.concat(*[F.transform(places(F.col("ws"), p), _labelled(label)) for p, label in PHRASES]))
+    own = F.struct(F.lit(-1).alias("at"), F.lit(0).alias("k"), F.lit("").alias("gram"))  # the text itself
+    facts = rows.select("id", "key", F.size("ws").cast("long").alias("n_words"), base.alias("base"), F.concat(F.array(own), *[grams(F.col("ws"), n) for n in lengths]).alias("xs"))
+    # There is always one: explode would test the arrays' sizes first, and make them twice for that.
+    each = facts.select("id", "key", "n_words", "base", F.explode_outer("xs").alias("x"))
+    is_text = F.col("x.at") < 0
+    each = each.select("id", "key", F.when(is_text, F.col("n_words")).alias("n_words"), F.when(is_text, F.col("base")).alias("base"), F.col("x.at").alias("at"), F.col("x.k").alias("k"), F.col("x.gram").alias("gram"), F.xxhash64("x.gram").alias("hash"))
+    hits = each.join(known, ["hash", "k", "gram"], "left").where("template is not null or at < 0")
+    by = ["key", "template", "label", "grams", "words"]
+    votes = hits.groupBy(*by, "k", (F.col("at") - F.col("place")).alias("diagonal")).agg(
+        F.collect_set("place").alias("placed"), F.min("at").alias("first"), F.max("at").alias("last"), F.first("id", ignorenulls=True).alias("id"), F.max("n_words").alias("n_words"), F.first("base", ignorenulls=True).alias("base"), F.count(F.lit(1)).alias("rows")
+    )
+    order = W.partitionBy("key", "template").orderBy("diagonal")
     # A template of fewer than k words has one gram: nothing to merge, so each place is a span of its own.
-    parts = [diagonal_spans(rows.select("key", "ws"), mine, n, slip if n == k else 0, cover, broadcast_grams) for n, mine in sorted((by_k or {k: []}).items())]
-    spans = parts[0]
-    for more in parts[1:]:
-        spans = spans.unionByName(more)
-    found = spans.groupBy("key").agg(F.array_sort(F.collect_set(F.struct("label", "template", "first", "last", "score"))).alias("spans"))
-    base = F.concat(*[F.transform(places(F.col("ws"), p), _labelled(label)) for p, label in PHRASES])
-    mine = rows.select("id", "key", F.size("ws").cast("long").alias("n_words"), F.array_sort(base).alias("base"))
-    out = mine.join(found, "key", "left")
-    return out.select(F.col("id").alias(id_col), "n_words", "base", F.coalesce("spans", F.array().cast(found.schema["spans"].dataType)).alias("spans"))
+    reach = F.when(F.col("words") < k, 0).otherwise(slip)
+    fresh = F.coalesce((F.col("diagonal") - F.lag("diagonal").over(order) > reach).cast("int"), F.lit(1))
+    chained = votes.withColumn("fresh", fresh).withColumn("run", F.sum("fresh").over(order))
+    chain = W.partitionBy("key", "template", "run")
+    low, high = F.min("diagonal").over(chain), F.max("diagonal").over(chain)
+    chained = chained.withColumn("low", low).withColumn("long", high - F.col("low") >= F.col("words"))
+    shift = lambda half: F.floor((F.col("diagonal") - F.col("low") + half) / F.col("words")).cast("int")
+    chained = chained.withColumn("cells", F.when(F.col("long"), F.array(2 * shift(F.lit(0)), 2 * shift(F.col("words") / 2) + 1)).otherwise(F.array(F.lit(0))))
+    stretches = chained.withColumn("cell", F.explode("cells")).groupBy(*by, "k", "run", "cell").agg(
+        F.size(F.array_distinct(F.flatten(F.collect_list("placed")))).alias("placed"), F.min("first").alias("first"), (F.max("last") + F.col("k") - 1).alias("last"), F.first("id", ignorenulls=True).alias("id"), F.max("n_words").alias("n_words"), F.first("base", ignorenulls=True).alias("base"), F.max("rows").alias("rows")
+    )
+    score = F.col("placed") / F.col("grams")
+    is_span = F.col("template").isNotNull() & (score >= cover)
+    span = F.when(is_span, F.struct("label", "template", "first", "last", score.alias("score")))
+    of_text = F.col("template").isNull()
+    out = stretches.groupBy("key").agg(F.first("id", ignorenulls=True).alias("id"), F.max("n_words").alias("n_words"), F.first("base", ignorenulls=True).alias("base"), F.max(F.when(of_text, F.col("rows"))).alias("rows"), F.array_sort(F.collect_set(span)).alias("spans"))
+    return out.select(F.col("id").alias(id_col), "n_words", "base", "spans", F.explode(F.sequence(F.lit(1), F.col("rows").cast("int")))).select(id_col, "n_words", "base", "spans")
