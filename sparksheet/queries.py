@@ -215,10 +215,10 @@ def _rejects(spark: SparkSession, d: str) -> DataFrame:
     path, df = fresh_path(spark, "text"), spark.read.parquet(f"{d}/customer.parquet")
     lines = _line(",", _key, lambda df: F.when(F.col("c_custkey") % 9 == 4, F.encode(F.lit("Genève"), "ISO-8859-1").cast("string")).otherwise(F.lit("Genève")))(df)
     lines.coalesce(1).write.text(path)
-    return text.rejected(spark, path).select("rejected", "lines")
+    return text.rejected(spark, path).select("rejected", F.array_join(F.col("lines").cast("array<string>"), ",").alias("lines"))
 
 
-QUERIES["source_rejects"], ORACLES["source_rejects"] = _rejects, "SELECT count(*) AS rejected, list_slice(list(c_custkey + 1 ORDER BY c_custkey), 1, 5) AS lines FROM customer WHERE c_custkey % 9 = 4"
+QUERIES["source_rejects"], ORACLES["source_rejects"] = _rejects, "SELECT count(*) AS rejected, array_to_string(list_slice(list(c_custkey + 1 ORDER BY c_custkey), 1, 5), ',') AS lines FROM customer WHERE c_custkey % 9 = 4"
 
 
 def _roundtrip(form: str):
