@@ -10,14 +10,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparksheet.llm import lines, mixing, neardup, packing, quality
-from sparksheet.llm.common import cut, table
+from sparksheet.llm.common import cut, discard, free_name, table
 from sparksheet.llm.queries import tokenizer_path
 
 
 def _without(docs: DataFrame, out: DataFrame) -> DataFrame:
     """docs less the ids of out."""
-    gone = out.select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == F.col("_gone"), "left_anti")
+    name = free_name(docs, "gone")
+    gone = out.select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone, docs["doc_id"] == F.col(name), "left_anti")
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,7 +29,8 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines repeated within one edit go, but for the first; a document left without lines stays as an empty one."""
     clean = lines.dedup_lines(docs)
-    return clean.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))).select(docs.columns)
+    n_chars = F.when(F.col("n_removed") > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    return clean.withColumn("n_chars", n_chars).select(docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,17 +45,20 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of at most 2048 tokens."""
-    return packing.pack(packing.tokenize(docs, tokenizer_path()))
+    return packing.pack(packing.tokenize(docs, tokenizer_path(spark)))
 
 
 STAGES = [("quality", quality_filter), ("lines", line_dedup), ("near_duplicates", near_dedup), ("mixing", mix_sources), ("packing", pack_sequences)]
 
-#: No stage can be said in SQL; tests hold each against brute force.
+#: No stage can be said in SQL; tests hold each, and run(), against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
+    before = []
     for _, stage in STAGES[:-1]:
         docs = cut(stage(spark, docs, sf_dir))
+        discard(*before)
+        before = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)

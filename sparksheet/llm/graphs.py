@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, discard
 
 
 def _toward(pairs: DataFrame, larger: bool) -> DataFrame:
@@ -22,16 +22,17 @@ def _toward(pairs: DataFrame, larger: bool) -> DataFrame:
     return out.where("a <> b").distinct()
 
 
+def _settled(links: DataFrame) -> bool:
+    """Whether every larger end has one smaller end, which is no larger end itself: then each component is a star about its smallest node."""
+    ends = links.select(F.col("a").alias("node"), F.lit(1).alias("down"), F.lit(0).alias("up")).unionByName(links.select(F.col("b").alias("node"), F.lit(0).alias("down"), F.lit(1).alias("up")))
+    return ends.groupBy("node").agg(F.sum("down").alias("down"), F.max("up").alias("up")).where("down > 1 or down + up > 1").isEmpty()
+
+
 def components(links: DataFrame) -> DataFrame:
     """links (a, b) of longs -> (node, label): label is the smallest node reachable.  Nodes without links are not listed; no links, no rows."""
     now = cut(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    print_of = lambda x: x.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first()
-    seen = print_of(now)
-    while seen[0]:
+    while not _settled(now):
         after = cut(_toward(_toward(now, larger=True), larger=False))
-        fresh = print_of(after)
-        now, done = after, fresh == seen
-        if done:
-            break
-        seen = fresh
-    return now.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("label"))).distinct()
+        discard(now)
+        now = after
+    return now.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, cut, text_of
+from .common import chunks, cut, text_of, tidily
 from .graphs import components
 from .hashing import batches_of, mix, shingle_sets
 
@@ -65,7 +65,7 @@ def signatures(df: DataFrame, width: int, id_col: str, text_col: str) -> DataFra
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(f, pa.int64()), *[pa.array(grid[:, i]) for i in range(len(PACKED))]], names=["id", "n", "f", *PACKED])
 
     rows = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), text_of(text_col).alias("t"))
-    return rows.mapInArrow(run, "id long, n long, f long, " + ", ".join(f"{p} long" for p in PACKED))
+    return rows.mapInArrow(tidily(run), "id long, n long, f long, " + ", ".join(f"{p} long" for p in PACKED))
 
 
 def set_hash(s: np.ndarray) -> int:
@@ -83,7 +83,7 @@ def sets_of(df: DataFrame, width: int) -> DataFrame:
                 sets = shingle_sets(texts[lo:hi], width)
                 yield pa.RecordBatch.from_arrays([pa.array([set_hash(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["f", "words"])
 
-    return df.mapInArrow(run, "f long, words array<long>")
+    return df.mapInArrow(tidily(run), "f long, words array<long>")
 
 
 def _value(i: int, side: str = "") -> Column:
@@ -102,11 +102,22 @@ def entries(classes: DataFrame) -> DataFrame:
     return classes.select("f", F.explode(F.array(*keys)).alias("key"))
 
 
+def _differing(a: str, b: str) -> Column:
+    """How many of the 32 values differ: each long holds four, and the lowest bit of each says whether any of its 16 bits differs."""
+
+    def of(p: str) -> Column:
+        x = F.col(f"{a}{p}").bitwiseXOR(F.col(f"{b}{p}"))
+        for by in (8, 4, 2, 1):
+            x = x.bitwiseOR(F.shiftrightunsigned(x, by))
+        return F.bit_count(x.bitwiseAND(0x0001000100010001))
+
+    return sum((of(p) for p in PACKED), F.lit(0))
+
+
 def _near(a: str, b: str, least: int) -> Column:
     """Signature distance at most FAR and sizes that allow the similarity."""
-    same = sum(((_value(i, a) == _value(i, b)).cast("int") for i in range(VALUES)), F.lit(0))
     small, large = F.least(f"{a}n", f"{b}n"), F.greatest(f"{a}n", f"{b}n")
-    return (100 * small >= least * large) & (same >= VALUES - FAR)
+    return (100 * small >= least * large) & (_differing(a, b) <= FAR)
 
 
 def _as(df: DataFrame, side: str) -> DataFrame:
@@ -132,10 +143,10 @@ def _shared_shingles(members: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _overlaps(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """f, rare, g0.. : how many of a class's shingles fewer than FEW (but at least two) of the members hold, and, in GROUPS groups by hash, how many at least FEW hold."""
+    """f, rare, groups: how many of a class's shingles fewer than FEW (but at least two) of the members hold, and, in GROUPS groups by hash, how many at least FEW hold."""
     many = F.col("df") >= FEW
-    counts = [F.count(F.when(many & (F.pmod("w", F.lit(GROUPS)) == i), 1)).cast("int").alias(f"g{i}") for i in range(GROUPS)]
-    return _shared_shingles(members, sets).groupBy("f").agg(F.count(F.when(~many, 1)).alias("rare"), *counts)
+    counts = [F.count(F.when(many & (F.pmod("w", F.lit(GROUPS)) == i), 1)).cast("int") for i in range(GROUPS)]
+    return _shared_shingles(members, sets).groupBy("f").agg(F.count(F.when(~many, 1)).alias("rare"), F.array(*counts).alias("groups"))
 
 
 def _few(members: DataFrame, sets: DataFrame) -> DataFrame:
@@ -145,17 +156,21 @@ def _few(members: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.groupBy(F.col("a_f").alias("a"), F.col("b_f").alias("b")).agg(F.count(F.lit(1)).alias("k"))
 
 
+def _sum(xs: Column) -> Column:
+    return F.aggregate(xs, F.lit(0), lambda s, x: s + x)
+
+
 def _enough(k: Column, least: int, rare: bool = False) -> Column:
     """Whether two sets' overlap can reach the similarity: group by group it is at most the smaller number of common
     shingles, and besides them the rare ones they share (k; with rare=True all that the poorer one has)."""
-    common = sum((F.least(f"a_g{i}", f"b_g{i}") for i in range(GROUPS)), F.lit(0))
+    common = _sum(F.zip_with("a_groups", "b_groups", lambda x, y: F.least(x, y)))
     more = F.least("a_rare", "b_rare") if rare else k
     return (100 + least) * (common + more) >= least * (F.col("a_n") + F.col("b_n"))
 
 
 def _common(side: str = "") -> Column:
     """How many shingles of a class are held by many."""
-    return sum((F.col(f"{side}g{i}") for i in range(GROUPS)), F.lit(0))
+    return _sum(F.col(f"{side}groups"))
 
 
 def _fits(least: int) -> Column:
@@ -200,31 +215,29 @@ def near_duplicates(df: DataFrame, width: int = 5, least: int = 80, id_col: str
     rest = cut(_apart(labelled(wide)))
     facts = cut(_overlaps(rest, sets).join(facts, "f"))
     able = cut(rest.select("key", "f").join(facts, "f"))
-    centre = able.groupBy("key").agg(F.max(F.struct((sum((F.col(f"g{i}") for i in range(GROUPS)), F.col("rare"))) / F.col("n"), "f")).alias("c")).select("key", F.col("c.f").alias("b"))
+    centre = able.groupBy("key").agg(F.max(F.struct((_common() + F.col("rare")) / F.col("n"), "f")).alias("c")).select("key", F.col("c.f").alias("b"))
     second = able.select("key", "f").join(centre, "key").where("f <> b").select(F.col("f").alias("a"), "b").distinct()
     more = cut(confirmed(_both(second, facts).where(_near("a_", "b_", least) & _enough(F.lit(0), least, rare=True)).select("a", "b")))
-    links = links.unionByName(more)
-    label = cut(components(links))
+    # Components so far are stars about their labels: these stand for their links.
+    as_links = lambda x: x.where("node <> label").select(F.col("node").alias("a"), F.col("label").alias("b"))
+    label = cut(components(as_links(label).unionByName(more)))
     # Then classes of different components meet if their overlap can suffice: through the shingles that many
     # share, or through those that few share, where a pair has some.
     last = cut(labelled(able.select("key", "f")))
     left = cut(_apart(last.select("key", "f", "label")).join(facts, "f"))
     fit = cut(_apart(left.where(_fits(least))))
     main = fit.groupBy("key", "label").agg(F.count(F.lit(1)).alias("k")).groupBy("key").agg(F.max(F.struct("k", "label")).alias("top")).select("key", F.col("top.label").alias("main"))
-    spare, groups, values = _spare(least).alias("spare"), F.array(*[f"g{i}" for i in range(GROUPS)]).alias("groups"), F.array(*[_value(i) for i in range(VALUES)]).alias("values")
-    fit = cut(fit.join(main, "key").select("key", "f", "label", "n", (F.col("label") != F.col("main")).alias("minor"), spare, groups, values))
-    # Cheap tests stand first; arrays keep the generated code of the others small enough to be compiled.
-    common = F.aggregate(F.zip_with("a_groups", "b_groups", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
-    same = F.aggregate(F.zip_with("a_values", "b_values", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
+    fit = cut(fit.join(main, "key").select("key", "f", "label", "n", (F.col("label") != F.col("main")).alias("minor"), _spare(least).alias("spare"), "groups", *PACKED))
+    # Cheap tests stand first.
     cheap = (F.col("a_label") != F.col("b_label")) & (F.col("a_minor") | F.col("b_minor")) & (F.col("a_spare") + F.col("b_spare") >= 0)
-    dear = ((100 + least) * common >= least * (F.col("a_n") + F.col("b_n"))) & (same >= VALUES - FAR)
+    dear = _enough(F.lit(0), least) & (_differing("a_", "b_") <= FAR)
     met = _as(fit.where("spare >= 0"), "a_").join(_as(fit, "b_"), (F.col("a_key") == F.col("b_key")) & cheap & dear)
     few = _few(left.select("f", "label").distinct(), sets)
     close = _both(few, facts).where(_enough(F.col("k"), least) & _near("a_", "b_", least)).select("a", "b")
     final = met.select(F.least("a_f", "b_f").alias("a"), F.greatest("a_f", "b_f").alias("b")).unionByName(close).distinct()
     more = cut(confirmed(final))
     if not more.isEmpty():
-        label = cut(components(links.unionByName(more)))
+        label = components(as_links(label).unionByName(more))
     named = classes.select("f", "id").join(label.withColumnRenamed("node", "f"), "f", "left").select("f", "id", F.coalesce("label", "f").alias("label"))
     least_id = named.groupBy("label").agg(F.min("id").alias("component"))
     of_class = named.join(least_id, "label").select("f", "component")
