@@ -16,7 +16,7 @@ Linked lines and equal lines are one class; the first row of a class (smallest i
 
 Defined cases: null texts count as empty; shorter lines always stay; a text of which all lines go becomes empty, its
 row stays; rows of equal id are one owner, each losing its own repeats; rows with a null id stay as they are; an empty
-table gives no rows.
+table gives no rows; other columns stay, but those named n_lines, n_removed or removed are replaced.
 """
 
 from __future__ import annotations
@@ -26,47 +26,56 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, cut, text_of
+from .common import chunks, cut, free_name, text_of, tidily
 from .graphs import components
 from .hashing import Rolling, batches_of, mix
 
 
-def edit_within(a: str, b: str, most: int) -> bool:
-    """Whether the edit distance is at most `most`: what lies between the common ends goes through Myers' bit-parallel columns, banded and left early."""
-    if abs(len(a) - len(b)) > most:
-        return False
-    n = min(len(a), len(b))
-    lo = 0
-    for step in (1 << k for k in range(n.bit_length(), -1, -1)):
-        if lo + step <= n and a[lo : lo + step] == b[lo : lo + step]:
-            lo += step
-    end = 0
-    for step in (1 << k for k in range((n - lo).bit_length(), -1, -1)):
-        if end + step <= n - lo and a[len(a) - end - step : len(a) - end] == b[len(b) - end - step : len(b) - end]:
-            end += step
-    a, b = a[lo : len(a) - end], b[lo : len(b) - end]
-    if min(len(a), len(b)) == 0:
-        return max(len(a), len(b)) <= most
-    if most <= 1:
-        return most == len(a) == len(b) == 1
-    # Myers' columns as whole numbers: bit i of plus and minus says whether row i + 1 is one more or one less than row i.
-    # Rows below the band |i - j| <= most cannot lead to a distance of at most `most`: their matches are masked off.
-    places: dict[str, int] = {}
-    for i, c in enumerate(a):
-        places[c] = places.get(c, 0) | 1 << i
-    full, score = (1 << len(a)) - 1, len(a)
-    plus, minus, top = full, 0, 1 << (len(a) - 1)
-    for j, c in enumerate(b):
-        eq = places.get(c, 0) & ((1 << (j + most + 1)) - 1)
-        x = eq | minus
-        d = (((eq & plus) + plus) ^ plus) | eq
-        up, down = minus | ~(d | plus) & full, plus & d
-        score += bool(up & top) - bool(down & top)
-        if score - (len(b) - 1 - j) > most:
-            return False
-        up, down = (up << 1 | 1) & full, (down << 1) & full
-        plus, minus = down | ~(x | up) & full, up & x
-    return score <= most
+def _grid(texts: list[str], width: int, fill: int) -> np.ndarray:
+    """Texts as rows of code points, filled up to width."""
+    out = np.full((len(texts), width), fill, np.uint32)
+    sizes = np.array([len(t) for t in texts])
+    out[np.arange(width) < sizes[:, None]] = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    return out
+
+
+def edits_within(xs: list[str], ys: list[str], most: int, cells: int = 1 << 19) -> np.ndarray:
+    """For each pair (x, y) whether its edit distance is at most `most`, by banded bit-parallel columns, many pairs at once.
+
+    Each pair has one 64-bit word for each kind of difference between neighbouring cells.  Its highest bit is the cell
+    `most` rows below the diagonal, and with every column the band moves down a row.  The distance is followed along the
+    band's lower edge to the last row of x, and along that row to the last column."""
+    if not 0 <= most <= 31:
+        raise ValueError("a threshold of 0 to 31 edits")
+    m, n = np.array([len(x) for x in xs], np.int64), np.array([len(y) for y in ys], np.int64)
+    out = np.zeros(len(xs), bool)
+    near = np.flatnonzero(np.abs(m - n) <= most)
+    near = near[np.argsort(n[near], kind="stable")]
+    one, top, lo = np.uint64(1), np.uint64(63), 0
+    while lo < len(near):
+        hi = lo + 1
+        while hi < len(near) and (hi + 1 - lo) * (n[near[hi]] + 1) <= cells:
+            hi += 1
+        at, lo = near[lo:hi], hi
+        rows, columns = m[at], n[at]
+        width = int(columns.max())
+        x = np.pad(_grid([xs[i] for i in at], width + most, 0xFFFFFFFF), ((0, 0), (most, most + 1)), constant_values=0xFFFFFFFF)
+        y = _grid([ys[i] for i in at], width, 0xFFFFFFFE)
+        x, y = np.ascontiguousarray(x.T), np.ascontiguousarray(y.T)
+        distance = np.where(rows > 0, np.minimum(rows, most), columns)
+        plus, minus = np.full(len(at), np.uint64((~0 << (63 - most)) & (2**64 - 1))), np.zeros(len(at), np.uint64)
+        for j in range(width):
+            same = np.zeros(len(at), np.uint64)
+            for k in range(2 * most + 1):
+                same |= (x[j + k] == y[j]).astype(np.uint64) << np.uint64(63 - 2 * most + k)
+            level = (((same & plus) + plus) ^ plus) | same | minus
+            up, down = minus | ~(level | plus), level & plus
+            place = np.clip(63 - (j + most - (rows - 1)), 0, 63).astype(np.uint64)
+            step = np.where(j < rows - most, (level >> top ^ one).astype(np.int64), (up >> place & one).astype(np.int64) - (down >> place & one).astype(np.int64))
+            distance += np.where((j < columns) & (rows > 0), step, 0)
+            plus, minus = down | ~(level >> one | up), (level >> one) & up
+        out[at] = distance <= most
+    return out
 
 
 def plan(threshold: int) -> list[tuple[int, int, int]]:
@@ -122,7 +131,7 @@ def line_rows(df: DataFrame, threshold: int, min_chars: int) -> DataFrame:
                     cols.append(pa.array(keys[keep].view(np.int64), mask=~fits[keep]))
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(x.text[keep] + lo)), pa.array(x.number[keep].astype(np.int32)), *cols], names=["id", "line", *names])
 
-    return df.mapInArrow(run, "id long, line int, " + ", ".join(f"{n} long" for n in names))
+    return df.mapInArrow(tidily(run), "id long, line int, " + ", ".join(f"{n} long" for n in names))
 
 
 def texts_of(docs: DataFrame) -> DataFrame:
@@ -135,7 +144,7 @@ def texts_of(docs: DataFrame) -> DataFrame:
                 f = Lines(texts[lo:hi]).hashes().view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(f), pa.array([s for t in texts[lo:hi] for s in t.split("\n")])], names=["f", "s"])
 
-    return docs.mapInArrow(run, "f long, s string")
+    return docs.mapInArrow(tidily(run), "f long, s string")
 
 
 def without_one(members: DataFrame) -> DataFrame:
@@ -156,7 +165,7 @@ def without_one(members: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (fs, vs, places)], names=["f", "v", "place"])
                     fs, vs, places = [], [], []
 
-    return members.select("f", "s").mapInArrow(run, "f long, v long, place int")
+    return members.select("f", "s").mapInArrow(tidily(run), "f long, v long, place int")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
@@ -165,11 +174,11 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
     full = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
 
     def run(batches):
-        for b in batches:
-            hit = [edit_within(x, y, threshold) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(hit, pa.bool_()))
+        for b in chunks(batches, 4000):
+            hit = edits_within(b.column(2).to_pylist(), b.column(3).to_pylist(), threshold)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(hit))
 
-    return full.mapInArrow(run, "a long, b long")
+    return full.mapInArrow(tidily(run), "a long, b long")
 
 
 def dedup_lines(df: DataFrame, threshold: int = 1, min_chars: int = 20, wide: int = 32, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -209,8 +218,10 @@ def dedup_lines(df: DataFrame, threshold: int = 1, min_chars: int = 20, wide: in
     # In the owner's own text the first line of the class stays; in other texts none does.
     stays = found.where("id = owner").groupBy("id", "label").agg(F.min("line").alias("first"))
     gone = found.join(stays, ["id", "label"], "left").where("first is null or line > first")
-    removed = gone.groupBy("id").agg(F.array_sort(F.collect_set("line")).alias("_gone")).withColumnRenamed("id", "_id")
-    out = df.join(removed, key_col == F.col("_id"), "left").drop("_id")
-    parts, none = F.split(text_of(text_col), "\n", -1), F.array().cast("array<int>")
-    kept = F.array_join(F.filter(parts, lambda s, i: ~F.array_contains("_gone", i)), "\n")
-    return out.withColumns({"n_lines": F.size(parts), "n_removed": F.coalesce(F.size("_gone"), F.lit(0)), "removed": F.coalesce("_gone", none), text_col: F.when(F.col("_gone").isNotNull(), kept).otherwise(F.col(f"`{text_col}`"))}).drop("_gone")
+    mine, gone_of = free_name(df, "id"), free_name(df, "gone")
+    removed = gone.groupBy(F.col("id").alias(mine)).agg(F.array_sort(F.collect_set("line")).alias(gone_of))
+    out = df.join(removed, key_col == F.col(mine), "left").drop(mine)
+    lost, parts, none = F.col(gone_of), F.split(text_of(text_col), "\n", -1), F.array().cast("array<int>")
+    left = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), lost)
+    kept = F.array_join(F.transform(left, lambda i: F.get(parts, i)), "\n")
+    return out.withColumns({"n_lines": F.size(parts), "n_removed": F.coalesce(F.size(lost), F.lit(0)), "removed": F.coalesce(lost, none), text_col: F.when(lost.isNotNull(), kept).otherwise(F.col(f"`{text_col}`"))}).drop(gone_of)
