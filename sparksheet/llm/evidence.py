@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import chunks, tidily
+
 GRAMS = 4096
 #: Bytes by kind: letters of either case, digits, blank, line end, bytes of non-ASCII letters; other signs as they are.
 _SHAPE = np.arange(256, dtype=np.uint8)
@@ -50,7 +52,7 @@ def gram_counts(df: DataFrame) -> DataFrame:
             at = np.flatnonzero(n)
             yield pd.DataFrame({"label": label, "gram": at, "n": n[at]})
 
-    return df.mapInPandas(run, "label string, gram long, n long").groupBy("label", "gram").agg(F.sum("n").alias("n"))
+    return df.mapInPandas(tidily(run), "label string, gram long, n long").groupBy("label", "gram").agg(F.sum("n").alias("n"))
 
 
 def feature_counts(df: DataFrame) -> DataFrame:
@@ -64,7 +66,7 @@ def feature_counts(df: DataFrame) -> DataFrame:
         at = np.flatnonzero(sums[:, 0])
         yield pd.DataFrame({"feature": at, "n": sums[at, 0], "y": sums[at, 1], "z": sums[at, 2]})
 
-    return df.mapInPandas(run, "feature long, n double, y double, z double").groupBy("feature").agg(F.sum("n").alias("n"), F.sum("y").alias("y"), F.sum("z").alias("z"))
+    return df.mapInPandas(tidily(run), "feature long, n double, y double, z double").groupBy("feature").agg(F.sum("n").alias("n"), F.sum("y").alias("y"), F.sum("z").alias("z"))
 
 
 def odds(n: np.ndarray, ones: np.ndarray, rows: float, total: float, clear: float = 15.0) -> np.ndarray:
@@ -75,27 +77,28 @@ def odds(n: np.ndarray, ones: np.ndarray, rows: float, total: float, clear: floa
     return np.where((chi >= clear) & (n >= 3), llr, 0.0)
 
 
-def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and shift of a logistic fit with a little ridge."""
-    a, b = 1.0, 0.0
+def logistic(x: np.ndarray, y: np.ndarray) -> list[float]:
+    """A slope for each column of x and a shift, of a logistic fit with a little ridge toward slopes of 1."""
+    x = np.column_stack([x, np.ones(len(x))])
+    toward, ridge = np.append(np.ones(x.shape[1] - 1), 0.0), np.append(np.ones(x.shape[1] - 1), 0.1)
+    w = toward.copy()
     for _ in range(60):
-        p = 1 / (1 + np.exp(-np.clip(a * x + b, -30, 30)))
-        w = p * (1 - p) + 1e-9
-        g = np.array([((p - y) * x).sum() + (a - 1), (p - y).sum() + 0.1 * b])
-        h = np.array([[(w * x * x).sum() + 1, (w * x).sum()], [(w * x).sum(), w.sum() + 0.1]])
-        s = np.clip(np.linalg.solve(h, g), -1, 1)
-        a, b = a - s[0], b - s[1]
-    return float(a), float(b)
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        g = x.T @ (p - y) + ridge * (w - toward)
+        h = (x * (p * (1 - p) + 1e-9)[:, None]).T @ x + np.diag(ridge)
+        w = w - np.clip(np.linalg.solve(h, g), -1, 1)
+    return w.tolist()
 
 
-def scored(df: DataFrame, columns: str, score, names: list[str]) -> DataFrame:
-    """df (columns..., t) with t replaced by what score(text) returns, a tuple of doubles named names."""
+def scored(df: DataFrame, columns: str, score, names: list[str], beside: str | None = None) -> DataFrame:
+    """df (columns..., t) with t replaced by what score(text) returns, a tuple of doubles named names; beside: a column whose value score takes too."""
     keep = [c for c in df.columns if c != "t"]
 
     def run(batches):
-        for b in batches:
-            out = [score(t.as_py()) for t in b.column(b.schema.get_field_index("t"))]
+        for b in chunks(batches, 2000):
+            at = lambda c: b.column(b.schema.get_field_index(c))  # noqa: B023, E731
+            out = [score(*x) for x in zip(*[at(c).to_pylist() for c in (["t", beside] if beside else ["t"])], strict=True)]
             grid = np.array(out, float).reshape(-1, len(names))
-            yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index(c)) for c in keep] + [pa.array(grid[:, i]) for i in range(len(names))], names=keep + names)
+            yield pa.RecordBatch.from_arrays([at(c) for c in keep] + [pa.array(grid[:, i]) for i in range(len(names))], names=keep + names)
 
-    return df.mapInArrow(run, columns + "".join(f", `{n}` double" for n in names))
+    return df.mapInArrow(tidily(run), columns + "".join(f", `{n}` double" for n in names))

@@ -2,9 +2,11 @@
 
 A document's own evidence is a naive-Bayes score over hashed words and character shapes (features with a clear
 chi-square only), learned from a bounded sample of labelled documents (`train_rows`, the smallest hashes of their
-ids; two thirds fit, a third calibrates by a logistic fit).  Sites add theirs: over all labelled documents, grouped
-by path, host and in total, a path's share of ones is shrunk toward its host's and a host's toward the global one,
-each as strongly as the spread between sites says (method of moments).  Log odds add up.
+ids; two thirds fit, a third calibrates).  Sites add theirs: over all labelled documents, grouped by path, host and
+in total, a path's share of ones is shrunk toward its host's and a host's toward the global one, each as strongly as
+the spread of paths about their host's share, and of hosts about the global one, says (method of moments).  A
+document's own labels do not count for its site.  Log odds add up, weighted by one logistic fit over both on the held
+third, so that the sum is calibrated.
 
 Defined cases: null texts count as empty; null hosts or paths are sites of their own; unlabelled documents and
 documents of unlabelled sites get the shrunk (at last the global) prior; without labels all keep (p_quality 1,
@@ -28,16 +30,35 @@ def _logit(p: Column) -> Column:
     return F.log(p / (1 - p))
 
 
-def _strength(groups: DataFrame, ones: str, mean: float) -> float:
-    """How many documents the prior of a site is worth: by the spread of the sites' shares beyond what chance explains; 1 to 10,000."""
-    share = F.col(ones) / F.col("n")
-    got = groups.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("k"), F.sum(F.col("n") * (share - mean) ** 2).alias("s"), F.sum(F.col("n") ** 2).alias("nn")).first()
-    if not got["n"] or got["k"] < 2:
+def _strength(groups: DataFrame, parent: Column, ones: str) -> float:
+    """How many documents a parent's share is worth as its groups' prior: by the spread of their shares about it beyond what chance explains; 1 to 10,000."""
+    n, x = F.col("n").cast("double"), F.col(ones)
+    per = groups.groupBy(parent.alias("parent")).agg(F.sum(n).alias("n"), F.sum(x).alias("x"), F.count(F.lit(1)).alias("k"), F.sum(x * x / n).alias("xx"), F.sum(n * n).alias("nn"))
+    m = F.col("x") / F.col("n")
+    got = per.agg(F.sum("n").alias("n"), F.sum(F.col("xx") - F.col("n") * m * m).alias("s"), F.sum((F.col("k") - 1) * m * (1 - m)).alias("chance"), F.sum(F.col("n") - F.col("nn") / F.col("n")).alias("room"), F.sum(F.col("n") * m * (1 - m)).alias("level")).first()
+    if not got["n"] or not got["room"] or got["room"] <= 0:
         return 10_000.0
-    chance = mean * (1 - mean)
-    room = got["n"] - got["nn"] / got["n"]
-    between = (got["s"] - (got["k"] - 1) * chance) / max(room, 1e-9)
-    return float(np.clip((chance - between) / max(between, 1e-9), 1, 10_000))
+    between = (got["s"] - got["chance"]) / got["room"]
+    return float(np.clip((got["level"] / got["n"] - between) / max(between, 1e-9), 1, 10_000))
+
+
+def site_evidence(own: DataFrame) -> tuple[DataFrame, dict[str, float]]:
+    """own (host, path, own_n, own_y, own_z: a document's labels, how many and their sums; ..) with site_y and site_z, what the
+    other documents of its site make of its log odds; and the labels' means, none without labels."""
+    by_path = cut(own.where("own_n > 0").groupBy("host", "path").agg(*[F.sum(f"own_{c}").alias(c) for c in ("n", "y", "z")]))
+    by_host = by_path.groupBy("host").agg(*[F.sum(c).alias(c) for c in ("n", "y", "z")])
+    everything = by_host.agg(*[F.sum(c).alias(c) for c in ("n", "y", "z")]).first()
+    if not everything["n"]:
+        return own, {}
+    rename = lambda x, side: x.select(F.col(side), *[F.col(c).alias(f"{side}_{c}") for c in ("n", "y", "z")])
+    full = own.join(rename(by_path, "path"), "path", "left").join(rename(by_host, "host"), "host", "left")
+    others = lambda side, c: F.coalesce(F.col(f"{side}_{c}") - F.col(f"own_{c}"), F.lit(0.0))
+    means, site = {c: everything[c] / everything["n"] for c in ("y", "z")}, {}
+    for c, mean in means.items():
+        k_host, k_path = _strength(by_host, F.lit(0), c), _strength(by_path, F.col("host"), c)
+        h = (others("host", c) + k_host * mean) / (others("host", "n") + k_host)
+        site[c] = _logit((others("path", c) + k_path * h) / (others("path", "n") + k_path)) - _logit(F.lit(mean))
+    return full.select(*own.columns, site["y"].alias("site_y"), site["z"].alias("site_z")), means
 
 
 def classify(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", path_cols: tuple[str, ...] = ("lang",), good: str = "quality", bad: str = "toxic", train_rows: int = 30_000, cutoff: float = 0.5) -> DataFrame:
@@ -56,26 +77,20 @@ def classify(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         weights[counts["feature"].to_numpy(int), i] = odds(counts["n"].to_numpy(), counts[c].to_numpy(), total[0], total[i + 1] or 0)
     kind = df.schema[id_col].dataType.simpleString()
     own = cut(scored(docs, f"id {kind}, host string, path string", lambda t: tuple(weights[features(t)].sum(axis=0)), ["good", "bad"]))
-    held = own.join(F.broadcast(sample.where("held")), "id").select("good", "bad", "y", "z").toPandas()
-    seen = own.select("id", "host", "path").join(known, "id")
-    by_path = cut(seen.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("y"), F.sum("z").alias("z")))
-    by_host = by_path.groupBy("host").agg(*[F.sum(c).alias(c) for c in ("n", "y", "z")])
-    everything = by_host.agg(*[F.sum(c).alias(c) for c in ("n", "y", "z")]).first()
-    if not everything["n"]:
+    labelled = known.groupBy("id").agg(F.count(F.lit(1)).alias("own_n"), F.sum("y").alias("own_y"), F.sum("z").alias("own_z"))
+    own = own.join(labelled, "id", "left").fillna(0, ["own_n", "own_y", "own_z"])
+    full, means = site_evidence(own)
+    if not means:
         return own.select(F.col("id").alias(id_col), "host", "path", F.lit(1.0).alias("p_quality"), F.lit(0.0).alias("p_toxic"), F.lit(True).alias("keep"))
-    odds_of, priors = {}, {}
+    # At most train_rows small rows.
+    held = full.join(F.broadcast(sample.where("held")), "id").select("good", "bad", "site_y", "site_z", "y", "z").toPandas()
+    p = {}
     for c, name in (("y", "good"), ("z", "bad")):
-        mean = everything[c] / everything["n"]
-        k_host, k_path = _strength(by_host, c, mean), _strength(by_path, c, mean)
-        h = (F.coalesce(F.col(f"host_{c}"), F.lit(0.0)) + k_host * mean) / (F.coalesce("host_n", F.lit(0)) + k_host)
-        priors[c] = (F.coalesce(F.col(f"path_{c}"), F.lit(0.0)) + k_path * h) / (F.coalesce("path_n", F.lit(0)) + k_path)
-        slope, shift = logistic(held[name].to_numpy(), held[c].to_numpy()) if len(held) else (1.0, float(np.log(max(mean, EDGE) / max(1 - mean, EDGE))))
-        # The fit's shift holds the global prior; a site adds what its own prior differs by.
-        odds_of[c] = slope * F.col(name) + shift + _logit(priors[c]) - _logit(F.lit(mean))
-    rename = lambda x, side: x.select(F.col(side), *[F.col(c).alias(f"{side}_{c}") for c in ("n", "y", "z")])
-    sites = rename(by_path, "path").join(by_path.select("path", "host"), "path").join(rename(by_host, "host"), "host").drop("host")
-    full = own.join(sites, "path", "left").join(rename(by_host, "host").select("host", *[F.col(f"host_{c}").alias(f"h_{c}") for c in ("n", "y", "z")]), "host", "left")
-    for c in ("n", "y", "z"):
-        full = full.withColumn(f"host_{c}", F.coalesce(f"host_{c}", f"h_{c}"))
-    p = {c: 1 / (1 + F.exp(-F.least(F.greatest(o, F.lit(-50.0)), F.lit(50.0)))) for c, o in odds_of.items()}
+        mean = means[c]
+        if len(held):
+            a, s, b = logistic(held[[name, f"site_{c}"]].to_numpy(float), held[c].to_numpy(float))
+        else:
+            a, s, b = 1.0, 1.0, float(np.log(max(mean, EDGE) / max(1 - mean, EDGE)))
+        sum_of = a * F.col(name) + s * F.col(f"site_{c}") + b
+        p[c] = 1 / (1 + F.exp(-F.least(F.greatest(sum_of, F.lit(-50.0)), F.lit(50.0))))
     return full.select(F.col("id").alias(id_col), "host", "path", p["y"].alias("p_quality"), p["z"].alias("p_toxic")).withColumn("keep", (F.col("p_quality") >= cutoff) & (F.col("p_toxic") < cutoff))
