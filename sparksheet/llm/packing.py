@@ -1,11 +1,12 @@
 """Best-fit packing of tokenised documents into sequences of fixed length.
 
 Tokens: every document's ids by the given tokenizer without special tokens, then the id 0; only documents
-longer than a sequence are cut.  Packing is hierarchical: each partition packs its pieces best-fit and closes
-the bins that are nearly full; bins with room left go up a tree as items, where groups of `fan_in` partitions
-(then of groups) are packed best-fit again, until one group is left.  After a best-fit round at most one bin
-of a group is half empty or more, so that of each group only the `carry` bins with the most room go up: what
-one task of the tree reads is bounded by fan_in * carry bins at any size of input.
+longer than a sequence are cut.  Packing is hierarchical: each partition packs its pieces best-fit and emits
+the bins that are nearly full; underfull bins go up a tree, where the pieces of those of `fan_in` partitions
+(then of groups) are items again and packed best-fit once more, until one group is left.  After a best-fit
+round at most one bin of a group is half empty or more, and bins with much room mean that no small pieces are
+left to fill them; so of each group the emptiest bins go up, as long as they hold `carry` pieces at most: what
+one task of the tree reads is bounded by fan_in * carry pieces at any size of input.
 
 Defined cases: null and empty texts are one piece of one token (the 0); equal rows are packed each on its own;
 an empty table gives no rows; other columns are ignored.
@@ -14,17 +15,18 @@ an empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import array
+import os
 import re
 import zlib
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import SparkFiles, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, chunks, cut, text_of
+from .common import batch, chunks, cut, text_of, tidily
 
 #: Byte-level BPE shows bytes as characters: printable ones as they are, the rest as characters from 256 on.
 _SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -37,7 +39,7 @@ _PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-zß-
 class WordIds(dict):
     """Blank-separated piece of text -> its ids as little-endian bytes.  No token of the vocabulary spans a blank, so whole texts are looked up piece by piece; the most frequent pieces come first and stay, and beyond `most` entries nothing more is kept (it is computed each time)."""
 
-    def __init__(self, path: str, most: int = 600_000):
+    def __init__(self, path: str, most: int = 220_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most, self.words = Tokenizer.from_file(path), most, {}
@@ -78,9 +80,9 @@ _known: dict[str, WordIds] = {}
 
 
 def word_ids(path: str) -> WordIds:
-    """One for each worker process, kept between its tasks."""
+    """One for each worker process, kept between its tasks.  A path that this machine lacks is looked up among the files shipped with the job (SparkContext.addFile)."""
     if path not in _known:
-        _known[path] = WordIds(path)
+        _known[path] = WordIds(path if os.path.exists(path) else SparkFiles.get(os.path.basename(path)))
     return _known[path]
 
 
@@ -109,7 +111,7 @@ def tokenize(df: DataFrame, tokenizer: str, capacity: int = 2048, id_col: str =
             yield pa.RecordBatch.from_arrays(columns, names=[id_col, *out.schema.names] + ["ids"] * ids)
 
     schema = f"`{id_col}` {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * ids
-    return df.select(F.col(f"`{id_col}`"), text_of(text_col).alias("t")).mapInArrow(run, schema)
+    return df.select(F.col(f"`{id_col}`"), text_of(text_col).alias("t")).mapInArrow(tidily(run), schema)
 
 
 def best_fit(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -135,22 +137,26 @@ def best_fit(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray,
     return bins, offsets, np.array(fill, np.int64)
 
 
-def pack(pieces: DataFrame, capacity: int = 2048, size_col: str = "length", slack: int = 8, block: int = 200_000, fan_in: int = 16, carry: int = 512) -> DataFrame:
-    """pieces with sequence_id long, offset long (gapless from 0 in each sequence).  Sizes must lie in 1..capacity."""
+def pack(pieces: DataFrame, capacity: int = 2048, size_col: str = "length", slack: int = 0, block: int = 200_000, fan_in: int = 16, carry: int = 20_000) -> DataFrame:
+    """pieces with sequence_id long, offset long (gapless from 0 in each sequence).  Sizes must lie in 1..capacity.  Bins with at most `slack` room are full."""
     names = pieces.columns
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
-    schema = f"{kinds}, sequence_id long, offset long, _fill long, _group long, _open boolean"
+    schema = f"{kinds}, sequence_id long, offset long, _group long, _open boolean"
+
+    def packed(x: pd.DataFrame, first_id: int, group: int) -> tuple[pd.DataFrame, int]:
+        bins, offsets, fill = best_fit(x[size_col].to_numpy(), capacity)
+        emptiest = np.argsort(fill, kind="stable")
+        up = np.zeros(len(fill), bool)
+        up[emptiest[np.cumsum(np.bincount(bins, minlength=len(fill))[emptiest]) <= carry]] = True
+        return x.assign(sequence_id=first_id + bins, offset=offsets, _group=group, _open=(up & (fill < capacity - slack))[bins]), len(fill)
 
     def first(frames):
-        base, task, held, n, made = 0, TaskContext.get().partitionId(), [], 0, 0
+        base, task, held, n = 0, TaskContext.get().partitionId(), [], 0
 
         def flush():
-            nonlocal base, made
-            x = pd.concat(held, ignore_index=True)
-            bins, x["offset"], fill = best_fit(x[size_col].to_numpy(), capacity)
-            x["sequence_id"], x["_fill"], x["_group"] = (task << 36) + base + bins, fill[bins], task
-            x["_open"] = opened(fill)[bins]
-            base, made = base + len(fill), made + 1
+            nonlocal base
+            x, made = packed(pd.concat(held, ignore_index=True), (task << 36) + base, task)
+            base += made
             return x
 
         for x in frames:
@@ -161,27 +167,13 @@ def pack(pieces: DataFrame, capacity: int = 2048, size_col: str = "length", slac
         if n:
             yield flush()
 
-    def opened(fill: np.ndarray) -> np.ndarray:
-        """Which bins go up: not nearly full, and among the `carry` emptiest."""
-        out = np.zeros(len(fill), bool)
-        out[np.argsort(fill, kind="stable")[:carry]] = True
-        return out & (fill < capacity - slack)
-
     def again(level: int):
         def merge(key, x: pd.DataFrame) -> pd.DataFrame:
-            items, at = np.unique(x["sequence_id"].to_numpy(), return_inverse=True)
-            sizes = np.zeros(len(items), np.int64)
-            sizes[at] = x["_fill"].to_numpy()
-            bins, offsets, fill = best_fit(sizes, capacity)
-            x = x.drop(columns="_up")
-            x["offset"] += offsets[at]
-            x["sequence_id"], x["_fill"] = (level << 56) + (int(key[0]) << 28) + bins[at], fill[bins[at]]
-            x["_group"], x["_open"] = int(key[0]), opened(fill)[bins[at]]
-            return x
+            return packed(x.drop(columns="_up"), (level << 56) + (int(key[0]) << 28), int(key[0]))[0]
 
         return merge
 
-    done, rest, level = [], cut(pieces.mapInPandas(first, schema)), 0
+    done, rest, level = [], cut(pieces.mapInPandas(tidily(first), schema)), 0
     groups = (rest.agg(F.max("_group")).first()[0] or 0) + 1
     while groups > 1:
         done.append(rest.where("not _open"))

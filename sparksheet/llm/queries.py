@@ -9,19 +9,26 @@ from . import langid, licenses, lines, media, mixing, neardup, packing, quality,
 from .common import table, text_of
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(spark: SparkSession | None = None) -> str:
+    """Where the tokenizer lies; given a session, it is shipped with its jobs too."""
     import public_tokenizers
 
-    return public_tokenizers.path("word_bpe_49k.json")
+    path = public_tokenizers.path("word_bpe_49k.json")
+    if spark:
+        spark.sparkContext.addFile(path)
+    return path
 
 
 def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All pages with all four kinds of evidence, and all documents: their source is the host, and the language given for them the declaration."""
+    """All pages, and all documents with their source as the host.  Each half of the documents is judged by grams learned from the other half; their given language is no evidence there.  Pages are judged by all."""
     docs, pages = table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages")
-    langs, grams = langid.learn(docs, "lang", "text")
-    web = langid.of_pages(pages).select(F.lit(None).cast("long").alias("doc_id"), "page_id", "t", "declared", "address", "host", "domain")
-    own = docs.select("doc_id", F.lit(None).cast("long").alias("page_id"), text_of().alias("t"), F.col("lang").alias("declared"), F.lit("").alias("address"), F.col("source").alias("host"), F.lit("(documents)").alias("domain"))
-    return langid.identify(web.unionByName(own), langs, grams, ["doc_id", "page_id"])
+    half = F.pmod(F.xxhash64("doc_id", "text"), F.lit(2)).cast("int")
+    counts = [langid.learn_counts(docs.where(half == i), "lang", "text") for i in (0, 1)]
+    langs, by_all = langid.likelihoods(*counts)
+    tables = [langid.likelihoods(counts[1], langs=langs)[1], langid.likelihoods(counts[0], langs=langs)[1], by_all]
+    web = langid.of_pages(pages).select(F.lit(None).cast("long").alias("doc_id"), "page_id", "t", "declared", "address", "host", "domain", F.lit(2).alias("fold"))
+    own = docs.select("doc_id", F.lit(None).cast("long").alias("page_id"), text_of().alias("t"), F.lit("").alias("declared"), F.lit("").alias("address"), F.col("source").alias("host"), F.lit("").alias("domain"), half.alias("fold"))
+    return langid.identify(web.unionByName(own), langs, tables, ["doc_id", "page_id"])
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,7 +44,7 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = packing.tokenize(table(spark, sf_dir, "documents"), tokenizer_path())
+    pieces = packing.tokenize(table(spark, sf_dir, "documents"), tokenizer_path(spark))
     return packing.pack(pieces)
 
 
@@ -74,4 +81,25 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op1_langid": op1_langid, "op2_mixing": op2_mixing, "op4_lines": op4_lines, "op5_quality": op5_quality, "op3_pack": op3_pack, "op6_neardup": op6_neardup, "op7_secrets": op7_secrets, "op8_topk": op8_topk, "op9_media": op9_media, "op10_licenses": op10_licenses}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op8_topk": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS w FROM embeddings
+            WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+        s AS (
+            SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(generate_series(1, least(len(q.w), len(c.w))), lambda i: q.w[i] * c.w[i])) AS BIGINT) AS score
+            FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0),
+        r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank FROM s)
+        SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10""",
+    "op6_neardup": r"""
+        WITH RECURSIVE w AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+        s AS (
+            SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) >= 4 THEN list_transform(generate_series(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 3], ' ')) WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS g FROM w),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        k AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+        l AS (SELECT a, b FROM k JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 80 * (x.n + y.n - k)),
+        r(doc_id, other) AS (SELECT doc_id, doc_id FROM w UNION SELECT r.doc_id, l.b FROM r JOIN l ON l.a = r.other),
+        c AS (SELECT doc_id, min(other) AS component_id FROM r GROUP BY doc_id)
+        SELECT doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept FROM c LEFT JOIN n USING (doc_id)""",
+}
