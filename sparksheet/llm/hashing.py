@@ -44,12 +44,17 @@ class Rolling:
         return (self.sums[hi] - self.sums[lo]) * self.inverse[lo]
 
 
-def word_hashes(raw: bytes, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Words (runs without blank or control 9 to 13, A-Z lower-cased) of texts joined in raw, each followed by a newline; ends: where each text's newline stands.  Returns each word's hash and its text's number."""
+#: Of which bytes words and terms consist: all but the blank and controls 9 to 13; or letters, digits and all outside ASCII.
+WORD = np.array([not (c == 32 or 9 <= c <= 13) for c in range(256)])
+TERM = np.array([c >= 128 or chr(c).isalnum() for c in range(256)])
+
+
+def word_hashes(raw: bytes, ends: np.ndarray, made_of: np.ndarray = WORD) -> tuple[np.ndarray, np.ndarray]:
+    """Words (longest runs of the bytes they are made of, A-Z lower-cased) of texts joined in raw, each followed by a newline; ends: where each text's newline stands.  Returns each word's hash and its text's number."""
     a = np.frombuffer(raw, np.uint8)
     a = a + ((a >= 65) & (a <= 90)) * np.uint8(32)
     inside = np.zeros(len(a) + 2, bool)
-    inside[1:-1] = ~((a == 32) | ((a >= 9) & (a <= 13)))
+    inside[1:-1] = made_of[a]
     edge = np.flatnonzero(inside[1:] != inside[:-1])
     lo, hi = edge[::2], edge[1::2]
     roll = Rolling(a)

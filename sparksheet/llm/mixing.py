@@ -8,7 +8,9 @@ that no total can meet (for want of cells) are met as nearly as the rounds allow
 Every document is then kept or not by its own probability and a hash of its id (the same on every run).
 
 Topics, unless the caller has their own, are learned from all documents: each becomes a random projection of the words it
-holds, weighted by how few documents hold them (counted over all), and Spark's k-means groups these.
+holds, weighted by how few documents hold them (counted over all), in whole numbers.  Spherical k-means groups these: it starts
+from `pool` different vectors (those of the smallest hashes), and its rounds are sums of whole numbers, so topics, and with
+them the result, are the same however the rows are partitioned and in whatever order they come.
 
 The cells are one grouped aggregation.  Up to `driver_cells` of them are raked on the driver; more stay a table and
 are raked by one grouped aggregation for each marginal and round: the same arithmetic, at any number of cells.
@@ -22,17 +24,17 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, cut, text_of, tidily
+from .common import chunks, cut, discard, text_of, tidily
 from .hashing import batches_of, word_hashes
 
 DIMS = ("source", "lang", "topic")
 #: Words fall into this many classes by hash; a text's vector has AXES numbers.
 CLASSES, AXES = 1 << 15, 24
+#: Vectors of length 1 have whole components of this size.
+UNIT = 1 << 14
 
 
 def _classes(texts: list[str]):
@@ -66,7 +68,7 @@ def document_counts(texts: DataFrame) -> np.ndarray:
 
 
 def vectors(docs: DataFrame) -> DataFrame:
-    """docs with t replaced by tokens long and x array<float>: the text's words and its vector of length 1 (null without words)."""
+    """docs with t replaced by tokens long and x array<int>: the text's words and its vector of length UNIT (null without words)."""
     n = document_counts(docs)
     weight = np.log((1 + n[CLASSES]) / (1 + n[:CLASSES]))
     axes = np.random.default_rng(5).standard_normal((CLASSES, AXES)).astype(np.float32) * weight.astype(np.float32)[:, None]
@@ -79,25 +81,79 @@ def vectors(docs: DataFrame) -> DataFrame:
                 tokens.append(len(c))
                 x = axes[np.unique(c)].sum(axis=0) if len(c) else None
                 size = 0 if x is None else float(np.sqrt((x * x).sum()))
-                xs.append(x / size if size else None)
-            yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index(k)) for k in keep] + [pa.array(tokens, pa.int64()), pa.array(xs, pa.list_(pa.float32()))], names=keep + ["tokens", "x"])
+                xs.append(np.rint(x * (UNIT / size)).astype(np.int32) if size else None)
+            yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index(k)) for k in keep] + [pa.array(tokens, pa.int64()), pa.array(xs, pa.list_(pa.int32()))], names=keep + ["tokens", "x"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "t")
-    return docs.mapInArrow(tidily(run), f"{kinds}, tokens long, x array<float>")
+    return docs.mapInArrow(tidily(run), f"{kinds}, tokens long, x array<int>")
+
+
+def assigned(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each vector's nearest centre, the first of equally near ones, and their product; products of whole numbers this small are exact."""
+    like = x.astype(float) @ centres.T.astype(float)
+    return like.argmax(axis=1), like.max(axis=1)
+
+
+def sums_of(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Each centre's vectors added up."""
+    sums = np.zeros(centres.shape, np.int64)
+    np.add.at(sums, assigned(x, centres)[0], x)
+    return sums
+
+
+def moved(centres: np.ndarray, sums: np.ndarray) -> np.ndarray:
+    """The centres of such sums; one without vectors stays where it is."""
+    size = np.sqrt((sums.astype(float) ** 2).sum(axis=1, keepdims=True))
+    return np.where(size > 0, np.rint(sums * UNIT / np.maximum(size, 1)), centres).astype(np.int64)
+
+
+def seeds(pool: np.ndarray, k: int, starts: int = 20, rounds: int = 12) -> np.ndarray:
+    """k centres of the pool: the best of some starts, each of vectors far apart, moved to the middle of those nearest to them."""
+    best = (-np.inf, pool[:k])
+    for start in range(starts if len(pool) > k else 0):
+        draw = np.random.default_rng(start)
+        now = pool[[draw.integers(len(pool))]]
+        while len(now) < k:
+            far = np.maximum(UNIT * UNIT - assigned(pool, now)[1], 0)
+            now = np.vstack([now, pool[np.searchsorted(far.cumsum(), draw.random() * far.sum(), side="right").clip(0, len(pool) - 1)]])
+        for _ in range(rounds):
+            now = moved(now, sums_of(pool, now))
+        fit = float(assigned(pool, now)[1].sum())
+        if fit > best[0]:
+            best = (fit, now)
+    return best[1]
+
+
+def centres_of(made: DataFrame, topics: int, rounds: int = 8, pool: int = 512) -> np.ndarray:
+    """Whole centres (length UNIT) of the vectors x."""
+    usable = made.where("x is not null").select("x")
+    some = usable.distinct().orderBy(F.xxhash64("x"), "x").limit(pool).collect()
+    now = seeds(np.array([r["x"] for r in some], np.int64).reshape(len(some), AXES), topics)
+    for _ in range(rounds if len(now) else 0):
+        centres = now
+
+        def run(batches, centres=centres):
+            sums = sum((sums_of(b.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, AXES).astype(np.int64), centres) for b in batches), np.zeros(centres.shape, np.int64))
+            topic, axis = np.nonzero(sums)
+            yield pa.RecordBatch.from_arrays([pa.array(topic), pa.array(axis), pa.array(sums[topic, axis])], names=["topic", "axis", "n"])
+
+        sums = np.zeros(centres.shape, np.int64)
+        for r in usable.mapInArrow(run, "topic long, axis long, n long").groupBy("topic", "axis").agg(F.sum("n").alias("n")).collect():  # topics * AXES rows at most
+            sums[r["topic"], r["axis"]] = r["n"]
+        now = moved(centres, sums)
+        if (now == centres).all():
+            break
+    return now
 
 
-def with_topics(docs: DataFrame, topics: int = 12, seed: int = 17) -> DataFrame:
+def with_topics(docs: DataFrame, topics: int = 12) -> DataFrame:
     """docs (.., t) with tokens and topic instead of t."""
     made = cut(vectors(docs))
-    usable = made.where("x is not null").select(array_to_vector("x").alias("features"))
-    different = usable.limit(topics + 1).count()  # fewer rows than topics: all are one
-    if different <= topics:
-        return made.withColumn("topic", F.when(F.col("x").isNotNull(), "t0").otherwise("(none)")).drop("x")
-    model = KMeans(k=topics, maxIter=8, seed=seed, distanceMeasure="cosine", initSteps=2).fit(usable)
-    centres = np.array(model.clusterCenters())
-    centres = (centres / np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-12)).round(9)
-    fit = [F.aggregate(F.zip_with("x", F.lit([float(v) for v in c]), lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v) for c in centres]
-    best = F.array_position(F.array(*fit), F.array_max(F.array(*fit)))
+    centres = centres_of(made, topics)
+    if not len(centres):
+        return made.withColumn("topic", F.lit("(none)")).drop("x")
+    fit = F.array(*[F.aggregate(F.zip_with("x", F.lit([int(v) for v in c]), lambda a, b: a.cast("long") * b), F.lit(0).cast("long"), lambda s, v: s + v) for c in centres])
+    best = F.array_position(fit, F.array_max(fit))
     return made.withColumn("topic", F.when(F.col("x").isNotNull(), F.concat(F.lit("t"), (best - 1).cast("string"))).otherwise("(none)")).drop("x")
 
 
@@ -147,8 +203,10 @@ def rake_table(cells: DataFrame, targets: list[DataFrame], total: float, rounds:
             sums = x.groupBy(d).agg(F.sum("w").alias("now")).join(goal, d, "left")
             factor = sums.select(d, F.when(F.col("now") > 0, F.col("goal") * total / F.col("now")).otherwise(1.0).alias("factor"))
             x = x.join(factor, d).withColumn("w", F.least(F.col("w") * F.col("factor"), "tokens")).drop("factor")
-        now = cut(x)
-        if (now.join(before, list(DIMS)).agg(F.max(F.abs(F.col("w") - F.col("was")))).first()[0] or 0) <= close * max(total, 1):
+        now, old = cut(x), now
+        moved = (now.join(before, list(DIMS)).agg(F.max(F.abs(F.col("w") - F.col("was")))).first()[0] or 0)
+        discard(old)
+        if moved <= close * max(total, 1):
             break
     return now
 
@@ -196,7 +254,7 @@ def plan(cells: DataFrame, share: float, power: float, asked: dict[str, dict], r
         sums = [g.agg(F.sum("goal")).first()[0] for g in goals]
         goals = [cut(g.withColumn("goal", F.col("goal") / (s or 1))) for g, s in zip(goals, sums, strict=True)]
         return rake_table_within(cells, goals, total, rounds, close), goals
-    x = cells.toPandas()
+    x = cells.toPandas().sort_values(list(DIMS), ignore_index=True)  # sums in one order, whatever the partitions
     at, wanted, small = [], [], []
     for d, g in zip(DIMS, goals, strict=True):
         g = g.toPandas().sort_values(d, ignore_index=True)
@@ -215,7 +273,7 @@ def mix(df: DataFrame, share: float = 0.8, power: float = 0.7, targets: dict[str
     name = lambda c: F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("(none)"))
     docs = df.select(F.col(f"`{id_col}`").alias("id"), name(source_col).alias("source"), name(lang_col).alias("lang"), *([F.coalesce(topic, F.lit("(none)")).alias("topic")] if topic is not None else []), text_of(text_col).alias("t"))
     if topic is None:
-        docs = with_topics(docs, topics, seed)
+        docs = with_topics(docs, topics)
     else:
         docs = docs.withColumn("tokens", F.regexp_count("t", F.lit(r"[^\x20\x09-\x0D]+")).cast("long")).drop("t")
     docs = cut(docs)  # ids and counts only

@@ -19,6 +19,8 @@ compared by 64-bit hashes.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -114,10 +116,14 @@ def _differing(a: str, b: str) -> Column:
     return sum((of(p) for p in PACKED), F.lit(0))
 
 
-def _near(a: str, b: str, least: int) -> Column:
-    """Signature distance at most FAR and sizes that allow the similarity."""
-    small, large = F.least(f"{a}n", f"{b}n"), F.greatest(f"{a}n", f"{b}n")
-    return (100 * small >= least * large) & (_differing(a, b) <= FAR)
+def _close(a: str, b: str) -> Column:
+    """Signature distance at most FAR."""
+    return _differing(a, b) <= FAR
+
+
+def _sizes_fit(a: str, b: str, least: int) -> Column:
+    """Whether the sizes allow the similarity."""
+    return 100 * F.least(f"{a}n", f"{b}n") >= least * F.greatest(f"{a}n", f"{b}n")
 
 
 def _as(df: DataFrame, side: str) -> DataFrame:
@@ -188,12 +194,24 @@ def near_duplicates(df: DataFrame, width: int = 5, least: int = 80, id_col: str
     """id_col, n_shingles long, component_id long, kept boolean for each row of df: linked are documents with
     100 * intersection >= least * union of their shingle sets; kept is the smallest id of each component."""
     base = cut(signatures(df, width, id_col, text_col))
-    usable = base.where("f is not null and id is not null")
-    classes = cut(usable.groupBy("f").agg(F.min("id").alias("id"), F.max("n").alias("n"), *[F.max(p).alias(p) for p in PACKED]))
-    facts = classes.select("f", "n", *PACKED)
+    classes = cut(classes_of(base))
     each = entries(classes)
     ends = each.groupBy("key").agg(F.min("f").alias("low"), F.max("f").alias("high"), F.count(F.lit(1)).alias("rows")).where("rows > 1")
     shared = cut(each.join(ends, "key"))
+    out = grouped(df, base, classes, shared, _close, width, least, id_col, text_col)
+    return out.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"))
+
+
+def classes_of(base: DataFrame) -> DataFrame:
+    """The different sets of base (id, n, f, packed signature), each with its smallest id."""
+    return base.where("f is not null and id is not null").groupBy("f").agg(F.min("id").alias("id"), F.max("n").alias("n"), *[F.max(p).alias(p) for p in PACKED])
+
+
+def grouped(df: DataFrame, base: DataFrame, classes: DataFrame, shared: DataFrame, close: Callable[[str, str], Column], width: int, least: int, id_col: str, text_col: str) -> DataFrame:
+    """id, n_shingles, component_id for each row of base.  shared (key, f, low, high, rows): the entries in which linked classes meet, with
+    their smallest and largest class; close: whether the signatures of two sides (prefixes of columns) allow a link."""
+    may_link = lambda: _sizes_fit("a_", "b_", least) & close("a_", "b_")
+    facts = classes.select("f", "n", *PACKED)
     involved = shared.select("f").distinct().join(classes.select("f", "id"), "f")
     texts = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), text_of(text_col).alias("t"))
     owners = involved.select("id").distinct()
@@ -206,7 +224,7 @@ def near_duplicates(df: DataFrame, width: int = 5, least: int = 80, id_col: str
         return full.where(100 * both >= least * (F.size("a_words") + F.size("b_words") - both)).select("a", "b")
 
     stars = shared.select(F.col("low").alias("a"), F.col("f").alias("b")).unionByName(shared.select(F.col("f").alias("a"), F.col("high").alias("b"))).where("a <> b").distinct()
-    near = _both(stars, facts).where(_near("a_", "b_", least)).select("a", "b")
+    near = _both(stars, facts).where(may_link()).select("a", "b")
     links = cut(confirmed(near))
     label = cut(components(links))
     # What is still apart in an entry of three or more classes meets the entry's most central class first.
@@ -217,7 +235,7 @@ def near_duplicates(df: DataFrame, width: int = 5, least: int = 80, id_col: str
     able = cut(rest.select("key", "f").join(facts, "f"))
     centre = able.groupBy("key").agg(F.max(F.struct((_common() + F.col("rare")) / F.col("n"), "f")).alias("c")).select("key", F.col("c.f").alias("b"))
     second = able.select("key", "f").join(centre, "key").where("f <> b").select(F.col("f").alias("a"), "b").distinct()
-    more = cut(confirmed(_both(second, facts).where(_near("a_", "b_", least) & _enough(F.lit(0), least, rare=True)).select("a", "b")))
+    more = cut(confirmed(_both(second, facts).where(may_link() & _enough(F.lit(0), least, rare=True)).select("a", "b")))
     # Components so far are stars about their labels: these stand for their links.
     as_links = lambda x: x.where("node <> label").select(F.col("node").alias("a"), F.col("label").alias("b"))
     label = cut(components(as_links(label).unionByName(more)))
@@ -230,10 +248,10 @@ def near_duplicates(df: DataFrame, width: int = 5, least: int = 80, id_col: str
     fit = cut(fit.join(main, "key").select("key", "f", "label", "n", (F.col("label") != F.col("main")).alias("minor"), _spare(least).alias("spare"), "groups", *PACKED))
     # Cheap tests stand first.
     cheap = (F.col("a_label") != F.col("b_label")) & (F.col("a_minor") | F.col("b_minor")) & (F.col("a_spare") + F.col("b_spare") >= 0)
-    dear = _enough(F.lit(0), least) & (_differing("a_", "b_") <= FAR)
+    dear = _enough(F.lit(0), least) & close("a_", "b_")
     met = _as(fit.where("spare >= 0"), "a_").join(_as(fit, "b_"), (F.col("a_key") == F.col("b_key")) & cheap & dear)
     few = _few(left.select("f", "label").distinct(), sets)
-    close = _both(few, facts).where(_enough(F.col("k"), least) & _near("a_", "b_", least)).select("a", "b")
+    close = _both(few, facts).where(_enough(F.col("k"), least) & may_link()).select("a", "b")
     final = met.select(F.least("a_f", "b_f").alias("a"), F.greatest("a_f", "b_f").alias("b")).unionByName(close).distinct()
     more = cut(confirmed(final))
     if not more.isEmpty():
@@ -242,5 +260,4 @@ def near_duplicates(df: DataFrame, width: int = 5, least: int = 80, id_col: str
     least_id = named.groupBy("label").agg(F.min("id").alias("component"))
     of_class = named.join(least_id, "label").select("f", "component")
     out = base.select("id", "n", F.when(F.col("id").isNotNull(), F.col("f")).alias("f")).join(of_class, "f", "left")
-    component = F.coalesce("component", "id")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"))
+    return out.select("id", F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))

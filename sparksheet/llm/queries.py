@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, licenses, lines, media, mixing, neardup, packing, quality, secrets, topk
+from . import langid, lexical, licenses, lines, media, mixing, neardup, negatives, packing, parity, quality, secrets, topk
 from .common import table, text_of
 
 
@@ -80,7 +80,21 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_langid": op1_langid, "op2_mixing": op2_mixing, "op4_lines": op4_lines, "op5_quality": op5_quality, "op3_pack": op3_pack, "op6_neardup": op6_neardup, "op7_secrets": op7_secrets, "op8_topk": op8_topk, "op9_media": op9_media, "op10_licenses": op10_licenses}
+def op11_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every seventh vector bears the next label, so that its anchors' negatives are as near as can be."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(table(spark, sf_dir, "embeddings").withColumn("label", label))
+
+
+def op12_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parity.jaccard_groups(table(spark, sf_dir, "documents"))
+
+
+def op13_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {"op1_langid": op1_langid, "op2_mixing": op2_mixing, "op4_lines": op4_lines, "op5_quality": op5_quality, "op3_pack": op3_pack, "op6_neardup": op6_neardup, "op7_secrets": op7_secrets, "op8_topk": op8_topk, "op9_media": op9_media, "op10_licenses": op10_licenses, "op11_negatives": op11_negatives, "op12_jaccard": op12_jaccard, "op13_lexical": op13_lexical}
 ORACLES: dict[str, str] = {
     "op8_topk": """
         WITH v AS (
@@ -102,4 +116,25 @@ ORACLES: dict[str, str] = {
         r(doc_id, other) AS (SELECT doc_id, doc_id FROM w UNION SELECT r.doc_id, l.b FROM r JOIN l ON l.a = r.other),
         c AS (SELECT doc_id, min(other) AS component_id FROM r GROUP BY doc_id)
         SELECT doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept FROM c LEFT JOIN n USING (doc_id)""",
+    "op11_negatives": """
+        WITH v AS (
+            SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS w FROM embeddings
+            WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND label IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+        s AS (
+            SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same, CAST(list_sum(list_transform(generate_series(1, least(len(a.w), len(c.w))), lambda i: a.w[i] * c.w[i])) AS BIGINT) AS score
+            FROM v a JOIN v c ON a.vec_id <> c.vec_id WHERE a.vec_id % 50 = 0),
+        p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+        SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS INT) AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+        FROM p JOIN s USING (anchor_id) WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score QUALIFY rank <= 3""",
+    "op13_lexical": r"""
+        WITH t AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ws FROM documents),
+        s AS (SELECT count(*) FILTER (len(ws) > 0) AS n, CAST(sum(len(ws)) AS BIGINT) AS l FROM t),
+        m AS (SELECT r, doc_id, 25 + (75 * len(ws) * s.n) // s.l AS m FROM t, s WHERE len(ws) > 0),
+        p AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(ws) AS term FROM t) GROUP BY ALL),
+        w AS (SELECT term, CAST(floor(1000 * ln((2.0 * s.n + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM p, s GROUP BY term, s.n),
+        q AS (SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+        a AS (SELECT item_id, r, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score FROM q JOIN w USING (term) JOIN p USING (term) JOIN m USING (r) GROUP BY ALL),
+        k AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INT) AS rank, doc_id, score FROM a JOIN m USING (r) WHERE score > 0)
+        SELECT item_id, rank, doc_id, score FROM k WHERE rank <= 10""",
 }
+ORACLES["op12_jaccard"] = ORACLES["op6_neardup"].replace("100 * k >= 80", "100 * k >= 85").replace(", doc_id = component_id AS kept", "")
