@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
+#: Lets Spark delete a job's shuffle files when it ends; without it they stay until the driver collects garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -27,9 +29,15 @@ def fresh_path(spark: SparkSession, kind: str = "sparksheet") -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Writes df there as Parquet and rereads it: lineage ends there, so lost executors cost no recomputation and every later read sees the same rows."""
-    path = fresh_path(df.sparkSession)
-    df.write.parquet(path)
+    """Writes df there as Parquet and rereads it: lineage ends there, so lost executors cost no recomputation and every later read sees the same rows.
+    The job's shuffle files go with its end: nothing reads them once the table is there."""
+    conf, path = df.sparkSession.conf, fresh_path(df.sparkSession)
+    before = conf.get(CLEANUP, None)
+    conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.set(CLEANUP, before) if before is not None else conf.unset(CLEANUP)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._scratch = path
     return out
