@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import chunks, cut, text_of, tidily
+from .common import chunks, cut, discard, text_of, tidily
 from .hashing import batches_of, mix, shingle_sets
 from .neardup import PACKED, classes_of, grouped, set_hash
 
@@ -106,11 +106,14 @@ def jaccard_groups(df: DataFrame, width: int = 4, least: int = 85, id_col: str =
     of their shingle sets."""
     if least < 51:
         raise ValueError("least must be 51 or more")
-    base = cut(sketches(df, width, least, id_col, text_col))
+    full = cut(sketches(df, width, least, id_col, text_col))
+    base = cut(full.drop("keys"))
     classes = cut(classes_of(base))
-    each = base.join(classes.select("f", "id"), ["f", "id"], "left_semi").select("f", F.explode("keys").alias("key"))
+    each = full.join(classes.select("f", "id"), ["f", "id"], "left_semi").select("f", F.explode("keys").alias("key"))
     # An entry's share of all rows is at most that of one document in one of its many chunks.
     ends = W.partitionBy("key")
     shared = each.select("key", "f", F.min("f").over(ends).alias("low"), F.max("f").over(ends).alias("high"), F.count(F.lit(1)).over(ends).alias("rows"))
-    out = grouped(df, base, classes, cut(shared.where("low <> high")), close(least), width, least, id_col, text_col)
+    shared = cut(shared.where("low <> high"))
+    discard(full)  # the entries are the larger part of it
+    out = grouped(df, base, classes, shared, close(least), width, least, id_col, text_col)
     return out.select(F.col("id").alias(id_col), "n_shingles", "component_id")
