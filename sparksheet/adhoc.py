@@ -22,23 +22,26 @@ def refuse(spark, sql: str) -> None:
         tree = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
     except Exception as e:
         raise SheetError(f"not one statement: {str(e).splitlines()[0]}") from e
-    own, names, todo = {"data"}, set(), [tree]
 
     def seq(x) -> list:
         return [x.apply(i) for i in range(x.size())]
 
+    # Each node with the names that its own and the enclosing WITHs give it.
+    todo = [(tree, frozenset({"data"}))]
     while todo:
-        node = todo.pop()
+        node, known = todo.pop()
         kind = node.getClass().getSimpleName()
         if kind not in NODES:
             raise SheetError(f"only queries are allowed, not {kind}")
         if kind == "UnresolvedWith":
-            pairs = seq(node.cteRelations())
-            own |= {p._1().lower() for p in pairs}
-            todo += [p._2() for p in pairs]
-        if kind == "UnresolvedRelation":
-            names.add(".".join(seq(node.multipartIdentifier())).lower())
-        todo += seq(node.children())
+            inner = known
+            for pair in seq(node.cteRelations()):  # each sees those before it
+                todo.append((pair._2(), inner))
+                inner = inner | {pair._1().lower()}
+            known = inner
+        if kind == "UnresolvedRelation" and (name := ".".join(seq(node.multipartIdentifier())).lower()) not in known:
+            raise SheetError(f"no table {name!r}: there is data only")
+        todo += [(child, known) for child in seq(node.children())]
         exprs = seq(node.expressions())
         while exprs:
             e = exprs.pop()
@@ -46,16 +49,29 @@ def refuse(spark, sql: str) -> None:
             if what == "UnresolvedFunction" and (name := ".".join(seq(e.nameParts())).lower()).rpartition(".")[2] in FORBIDDEN:
                 raise SheetError(f"{name} is not allowed")
             if what in SUBQUERIES:
-                todo.append(e.plan())
+                todo.append((e.plan(), known))
             elif "Subquery" in what and what != "InSubquery":  # its own query is among its children
                 raise SheetError(f"only queries are allowed, not {what}")
             exprs += seq(e.children())
-    if names - own:
-        raise SheetError(f"no table {sorted(names - own)[0]!r}: there is data only")
 
 
 def query(df: DataFrame, sql: str, limit: int = 1000) -> DataFrame:
-    """The first rows of a query; statements that are not queries, or name another table than data, are refused before they run."""
-    refuse(df.sparkSession, sql)
+    """The first rows of a query; statements that are not queries, or name another table than data, are refused before they run.  A view `data` of the session's own stays as it was."""
+    return answer(df, sql, limit)[0]
+
+
+def answer(df: DataFrame, sql: str, limit: int = 1000) -> tuple[DataFrame, DataFrame]:
+    """The first rows of a query, and those with one more: if there are more of these, rows were cut off."""
+    spark = df.sparkSession
+    refuse(spark, sql)
+    before = spark.table("data") if spark.catalog.tableExists("data") and any(t.name == "data" and t.isTemporary for t in spark.catalog.listTables()) else None
     df.createOrReplaceTempView("data")
-    return df.sparkSession.sql(sql).limit(min(limit, MOST_ROWS))
+    try:
+        made = spark.sql(sql)
+    finally:
+        if before is None:
+            spark.catalog.dropTempView("data")
+        else:
+            before.createOrReplaceTempView("data")
+    most = min(limit, MOST_ROWS)
+    return made.limit(most), made.limit(most + 1)

@@ -149,9 +149,12 @@ def lossless(df: DataFrame, names: list[str] | None = None, layout: str | None =
     """Types text columns: the first of bigint, double, date, timestamp that fits every value of all rows without
     changing any; values with leading zeros keep a column text.  One aggregate over all columns decides.
     layout: one pattern that dates are written in, tried beside the usual two."""
+    return typed(df, names, layout)[0]
+
+
+def typed(df: DataFrame, names: list[str] | None = None, layout: str | None = None) -> tuple[DataFrame, int, dict[str, int]]:
+    """lossless(df), how many rows there are, and for each column that stays text how many of its dates could be day or month first: by the same aggregate."""
     names = names or [n for n, t in df.dtypes if t == "string"]
-    if not names:
-        return df
     day = lambda c: F.when(c.rlike(_DATE), c.try_cast("date"))
     stamp = lambda c: F.when(c.rlike(_STAMP) | c.rlike(_DATE), c.try_cast("timestamp"))
     given = lambda c: F.try_to_timestamp(F.trim(c), F.lit(layout))
@@ -159,9 +162,11 @@ def lossless(df: DataFrame, names: list[str] | None = None, layout: str | None =
     forms = [("a", lambda c: c.rlike(_WHOLE) & _long(c).isNotNull(), _long), ("b", lambda c: c.rlike(_REAL) & _same_double(c), lambda c: F.trim(c).try_cast("double")), ("c", lambda c: day(c).isNotNull(), day), ("d", lambda c: stamp(c).isNotNull(), stamp)]
     if layout:
         forms += [("e", lambda c: F.coalesce(midnight(c), F.lit(False)), lambda c: given(c).cast("date")), ("f", lambda c: given(c).isNotNull(), given)]
-    aggs = []
+    aggs = [F.count(F.lit(1)).alias("rows")]
+    both = lambda t: F.coalesce(day_month(t, True) != day_month(t, False), F.lit(False))
     for i, n in enumerate(names):
         c = col(df, n)
+        aggs.append(F.count(F.when(c.rlike(r"^\s*\d{1,2}[/.-]\d{1,2}[/.-]\d{2}"), F.when(both(F.trim(c)), 1))).alias(f"m{i}"))
         aggs += [F.count(c).alias(f"n{i}"), F.count(F.when(c.rlike("^[+-]?0[0-9]"), 1)).alias(f"z{i}")]
         aggs += [F.count(F.when(c.isNotNull() & ~F.coalesce(fits(c), F.lit(False)), 1)).alias(f"{k}{i}") for k, fits, _ in forms]
     row = df.agg(*aggs).first()
@@ -171,4 +176,5 @@ def lossless(df: DataFrame, names: list[str] | None = None, layout: str | None =
             if not row[f"{k}{i}"] and (k in "cdef" or not row[f"z{i}"]):
                 out[n] = make(col(df, n))
                 break
-    return df.withColumns(out) if out else df
+    two_ways = {n: row[f"m{i}"] for i, n in enumerate(names) if n not in out and row[f"m{i}"]}
+    return df.withColumns(out) if out else df, row["rows"], two_ways

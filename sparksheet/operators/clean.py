@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass
 
 from pyspark.errors import IllegalArgumentException
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.columns import SheetError, col, kind, unique_names
 from ..functions.convert import converted
+from ..scratch import cut, discard
 from .paging import ROW_KEY
 from .predicates import delete, keep
 
@@ -107,3 +109,72 @@ def apply_recipe(df: DataFrame, steps: list[dict]) -> DataFrame:
             raise SheetError(f"unknown step {s.get('op')!r}")
         df = STEPS[s["op"]](df, **s.get("params", {}))
     return df
+
+
+@dataclass
+class Version:
+    """A table after a step (the first: before any), the written table it is made from, and how many rows it has, once known."""
+
+    df: DataFrame
+    base: DataFrame | None
+    step: dict | None = None
+    rows: int | None = None
+
+
+class History:
+    """A table under cleaning: steps are applied one by one and the last `most` can be undone.
+
+    A version is a plan over an earlier one; every `every` steps one is written down, so that no plan grows long, and the rows of
+    the versions since are counted on the way.  A written table is deleted when no version is made from it any more."""
+
+    def __init__(self, df: DataFrame, most: int = 12, every: int = 4):
+        self.most, self.every, self.pending = most, every, []
+        self.versions = [Version(df, None)]
+
+    @property
+    def table(self) -> DataFrame:
+        return self.versions[-1].df
+
+    def recipe(self) -> list[dict]:
+        """The steps that can be undone, in order."""
+        return [v.step for v in self.versions[1:]]
+
+    def apply(self, op: str, **params) -> DataFrame:
+        step, last = {"op": op, "params": params}, self.versions[-1]
+        made = Version(apply_recipe(last.df, [step]), last.base, step)
+        self.versions.append(made)
+        self.pending.append(made)
+        if len(self.pending) == self.every:
+            self._write()
+        self._drop([self.versions.pop(0) for _ in range(len(self.versions) - self.most - 1)])
+        return self.table
+
+    def undo(self) -> DataFrame:
+        if len(self.versions) == 1:
+            raise SheetError("nothing to undo")
+        gone = self.versions.pop()
+        self.pending = [v for v in self.pending if v is not gone]
+        self._drop([gone])
+        return self.table
+
+    def close(self) -> None:
+        """Deletes all that was written; the versions cannot be read after that."""
+        gone, self.versions, self.pending = self.versions, [], []
+        self._drop(gone)
+
+    def _write(self) -> None:
+        """Writes the last version down; the rows after each step since the last time are counted by the same job."""
+        df, seen = self.versions[-1 - self.every].df, []
+        for v in self.pending:
+            seen.append(Observation())
+            df = apply_recipe(df, [v.step]).observe(seen[-1], F.count(F.lit(1)).alias("rows"))
+        last = self.pending[-1]
+        last.df = last.base = cut(df)
+        for v, counted in zip(self.pending, seen, strict=True):
+            v.rows = counted.get["rows"]
+        self.pending = []
+
+    def _drop(self, gone: list[Version]) -> None:
+        held = {id(v.base) for v in self.versions}
+        for base in {id(v.base): v.base for v in gone if v.base is not None and id(v.base) not in held}.values():
+            discard(base)

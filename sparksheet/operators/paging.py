@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.columns import SheetError, col, text_form
-from ..scratch import cut
+from ..scratch import cut, discard
 from .predicates import keep
 
 ROW_KEY = "_row_key"
@@ -74,11 +74,15 @@ class SortedCopy:
         return self.table.join(F.broadcast(base), "_p").withColumn("_at", F.col("_start") + F.col("_m")).drop("_p", "_m", "_start")
 
     def page(self, offset: int, limit: int) -> DataFrame:
-        wanted = F.lit(False)
+        """Part p was written by task p, whose files bear its number: only those of the parts that hold the page are opened."""
+        wanted, parts = F.lit(False), []
         for (p, lo), (_, hi) in zip(self.starts, [*self.starts[1:], (0, 1 << 62)], strict=True):
             if lo < offset + limit and hi > offset:
+                parts.append(p)
                 wanted = wanted | ((F.col("_p") == p) & (F.col("_m") >= offset - lo) & (F.col("_m") < offset + limit - lo))
-        return self.table.where(wanted).orderBy("_p", "_m").drop("_p", "_m")
+        folder = "".join("\\" + c if c in "[]{}*?" else c for c in self.table._scratch)
+        held = self.table.sparkSession.read.schema(self.table.schema).parquet(*[f"{folder}/part-{p:05d}-*" for p in parts]) if parts else self.table
+        return held.where(wanted).coalesce(1).sortWithinPartitions("_p", "_m").drop("_p", "_m")  # a page: 5,000 rows at most
 
 
 def sorted_copy(df: DataFrame, keys: list[Column]) -> SortedCopy:
@@ -108,6 +112,55 @@ def page(df: DataFrame, offset: int = 0, limit: int = 200, sort: list[dict] = ()
     return shown((rows.orderBy(*keys) if keys else rows).offset(offset).limit(limit))
 
 
+class Pages:
+    """Pages of one table: sorted copies are kept by filters and sort, the `most` used last, so only the first deep page of an order sorts.
+
+    Unsorted pages of Parquet files read by `keyed` are looked up by row numbers: a count of each file's rows, then the page's ranges.
+    The table must not change while its pages are read; `close` deletes the copies."""
+
+    def __init__(self, df: DataFrame, most: int = 4):
+        self.df, self.most = df, most
+        self.copies: dict[str, SortedCopy] = {}
+        self.files: list[tuple[str, int]] | None = None
+
+    def page(self, offset: int = 0, limit: int = 200, sort: list[dict] = (), filters: list[dict] = (), tiebreak: list[str] = ()) -> DataFrame:
+        """The same rows as page()."""
+        if offset < 0 or not 1 <= limit <= 5000:
+            raise SheetError("offset must be 0 or more, limit 1 to 5000")
+        if not sort and not tiebreak and not filters and (held := self._by_rows(offset, limit)) is not None:
+            return shown(held)
+        rows = keep(self.df, filters)
+        keys = sort_keys(rows, list(sort), tiebreak)
+        if not keys or offset <= DEEP:
+            return shown((rows.orderBy(*keys) if keys else rows).offset(offset).limit(limit))
+        name = repr((list(sort), list(filters), list(tiebreak)))
+        copy = self.copies.pop(name, None) or sorted_copy(rows, keys)
+        self.copies[name] = copy  # the last used stands last
+        while len(self.copies) > self.most:
+            discard(self.copies.pop(next(iter(self.copies))).table)
+        return shown(copy.page(offset, limit))
+
+    def _by_rows(self, offset: int, limit: int) -> DataFrame | None:
+        """A page in file order by each file's row numbers; None if rows have none, or some are missing."""
+        if ROW_KEY not in self.df.columns or "row_index" not in self.df.schema[ROW_KEY].dataType.names:
+            return None
+        at = F.col(ROW_KEY)
+        if self.files is None:
+            found = self.df.groupBy(at["file_path"].alias("file")).agg(F.count(F.lit(1)).alias("n"), F.max(at["row_index"]).alias("last")).collect()  # one row a file
+            self.files = sorted((r["file"], r["n"]) for r in found) if all(r["last"] == r["n"] - 1 for r in found) else []
+        start, wanted = 0, F.lit(False)
+        for file, n in self.files:
+            low, high = max(offset - start, 0), min(offset + limit - start, n)
+            if low < high:
+                wanted = wanted | ((at["file_path"] == file) & (at["row_index"] >= low) & (at["row_index"] < high))
+            start += n
+        return self.df.where(wanted).orderBy(at) if self.files else None
+
+    def close(self) -> None:
+        discard(*[c.table for c in self.copies.values()])
+        self.copies = {}
+
+
 def counts(df: DataFrame, filters: list[dict] = ()) -> DataFrame:
     """One row beside a page: total_rows, filtered_rows."""
     total, kept = df.agg(F.count(F.lit(1)).alias("total_rows")), keep(df, list(filters)).agg(F.count(F.lit(1)).alias("filtered_rows"))

@@ -1,9 +1,11 @@
 """Pivot tables: subtotals and totals from base rows, overflow headers in an Other column, shares, running totals, ranks.
 
 A table is made in two steps.  Base rows are first summed up by row keys and header: one shuffle, of partial sums, however
-many headers there are.  Measures that can be carried on from sums (sum, counts, least, greatest, average) get their
-subtotals from these; the others (median, distinct count, deviation, first) are grouped again from base rows for every
-level.  Only what is left after that, a row for each group and header, is spread into columns.
+many headers there are.  Most measures get their subtotals from these.  Medians and distinct counts need the different values:
+base rows are summed up by row keys, header and value, and levels are made of these sums, so base rows are read
+and shuffled once and never copied for a level.  A median is found by its rank among the values' counts, by ranges of values
+where a group has many, so that no task holds a group (`medians`).  Only what is left after that, a row for each
+group and header, is spread into columns.
 """
 
 from __future__ import annotations
@@ -12,19 +14,20 @@ from functools import reduce
 from operator import or_
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import SheetError, col, kind
+from ..scratch import cut as written
 from .paging import ROW_KEY, running, sorted_copy
 from .predicates import keep
 
 GROUPS = ("year", "quarter", "month", "week", "day", "hour")
-AGGREGATES = {
-    "sum": F.sum, "count": F.count, "count_distinct": F.count_distinct, "avg": F.avg, "min": F.min, "max": F.max,
-    "median": F.median, "stddev": F.stddev_samp, "first": F.first,
-}
-CARRIED = ("sum", "count", "count_all", "avg", "min", "max")
+CARRIED = ("sum", "count", "count_all", "avg", "min", "max", "stddev", "first")
+BY_VALUE = ("median", "count_distinct")
+#: Medians of groups of more different values than this are looked for by ranges of values.
+FEW = 200_000
 LABELS = {"sum": "Sum", "count": "Count Numbers", "count_all": "Count", "count_distinct": "Distinct Count", "avg": "Average", "min": "Min", "max": "Max", "median": "Median", "stddev": "StdDev", "first": "First"}
 
 
@@ -44,32 +47,49 @@ def field(df: DataFrame, spec: str | dict) -> Column:
     return c
 
 
-def measure(spec: dict, c: Column | None, key: Column | None = None) -> Column:
-    """One aggregate of base rows.  Whole numbers are summed as decimals, so that no sum overflows; first goes by the row key, if there is one."""
-    agg = spec.get("agg", "sum")
-    if agg == "count_all":
-        return F.count(F.lit(1))
-    if agg not in AGGREGATES:
-        raise SheetError(f"unknown aggregate {agg!r}")
-    if agg == "first" and key is not None:
-        return F.min_by(c, key)
-    return AGGREGATES[agg](c)
+def _partials(agg: str, c: Column | None, key: Column | None, shift: float) -> list[Column]:
+    """What a measure that can be carried on is summed up from.  Deviations are summed from `shift`, a value of the column, so that squares lose no digits."""
+    d = c.cast("double") - F.lit(shift) if agg == "stddev" else c
+    return {
+        "sum": lambda: [F.sum(c)], "count": lambda: [F.count(c)], "count_all": lambda: [F.count(F.lit(1))], "min": lambda: [F.min(c)], "max": lambda: [F.max(c)], "avg": lambda: [F.sum(c.cast("double")), F.count(c)],
+        "stddev": lambda: [F.count(d), F.sum(d), F.sum(d * d)], "first": lambda: [F.first(c) if key is None else F.min(F.struct(key.alias("k"), c.alias("x")))],
+    }[agg]()
 
 
-def _partials(agg: str, c: Column | None) -> list[Column]:
-    """What a measure that can be carried on is summed up from."""
-    return {"sum": lambda: [F.sum(c)], "count": lambda: [F.count(c)], "count_all": lambda: [F.count(F.lit(1))], "min": lambda: [F.min(c)], "max": lambda: [F.max(c)], "avg": lambda: [F.sum(c.cast("double")), F.count(c)]}[agg]()
-
-
-def _carried(agg: str, parts: list[Column]) -> Column:
-    """The measure, from such partial results."""
+def _carried(agg: str, parts: list[Column], ordered: bool) -> Column:
+    """The measure, from such partial results; first goes by the row key, if there is one."""
     if agg == "avg":
         return F.try_divide(F.sum(parts[0]), F.sum(parts[1]))
     if agg in ("count", "count_all"):
         return F.coalesce(F.sum(parts[0]), F.lit(0)).cast("bigint")
+    if agg == "stddev":
+        n, total, squares = (F.sum(p).cast("double") for p in parts)
+        return F.when(n > 1, F.sqrt(F.greatest(F.lit(0.0), (squares - total * total / n) / (n - 1))))
+    if agg == "first":
+        return F.min(parts[0])["x"] if ordered else F.first(parts[0], ignorenulls=True)
     return {"sum": F.sum, "min": F.min, "max": F.max}[agg](parts[0])
 
 
+def medians(cells: DataFrame, group: list[str]) -> DataFrame:
+    """group.., x: the exact medians of groups of numbers v that occur k times each (cells of group.., v, k).
+
+    If no group has more than FEW different values, each group's are gathered.  Else cells are dealt by ranges of (group, value):
+    counts of the ranges tell in which one or two of a group's ranges its middle ranks are, and only these are numbered."""
+    held = written(cells.withColumn("v", F.col("v").cast("double")))
+    if (held.groupBy(*group).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0) <= FEW:
+        return held.groupBy(*group).agg(F.percentile("v", F.lit(0.5), F.col("k")).alias("x"))
+    of = F.struct(F.lit(0).alias("_"), *[F.col(c) for c in group]).alias("g")
+    placed = written(held.select(of, "v", "k").repartitionByRange("g", "v").select("*", F.spark_partition_id().alias("p")))
+    ranges, every = placed.groupBy("g", "p").agg(F.sum("k").alias("n")), W.partitionBy("g")
+    before = F.coalesce(F.sum("n").over(every.orderBy("p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    ranges = ranges.select("g", "p", "n", before.alias("before"), F.sum("n").over(every).alias("all"))
+    ranges = ranges.select("g", "p", "n", "before", F.expr("(all - 1) div 2").alias("low"), F.expr("all div 2").alias("high")).where((F.col("before") <= F.col("high")) & (F.col("before") + F.col("n") > F.col("low")))
+    upto = F.col("before") + F.sum("k").over(W.partitionBy("g", "p").orderBy("v").rowsBetween(W.unboundedPreceding, W.currentRow))
+    hit = lambda rank: F.when((F.col("upto") - F.col("k") <= F.col(rank)) & (F.col(rank) < F.col("upto")), F.col("v") / 2)
+    found = placed.join(ranges.drop("n"), ["g", "p"]).withColumn("upto", upto).groupBy("g").agg((F.sum(hit("low")) + F.sum(hit("high"))).alias("x"))
+    return found.select(*[F.col("g")[c].alias(c) for c in group], "x")
+
+
 def _finite(df: DataFrame) -> DataFrame:
     """Measures that are no number become null."""
     out = {f.name: F.when(F.isnan(f.name) | (F.abs(f.name) == float("inf")), None).otherwise(F.col(f.name)) for f in df.schema if f.name[0] == "v" and isinstance(f.dataType, (T.DoubleType, T.FloatType))}
@@ -97,7 +117,8 @@ def pivot(df: DataFrame, rows: list, columns: list = (), values: list[dict] = ()
     rows, columns = list(rows), list(columns)
     picked = [field(df, f).alias(f"r{i}") for i, f in enumerate(rows)] + [field(df, f).alias(f"c{i}") for i, f in enumerate(columns)]
     for j, v in enumerate(values):
-        measure(v, F.lit(0))  # an unknown one is refused here
+        if v.get("agg", "sum") not in CARRIED + BY_VALUE:
+            raise SheetError(f"unknown aggregate {v.get('agg')!r}")
         if v.get("column"):
             c = col(df, v["column"])
             picked.append((c.cast("decimal(20,0)") if v.get("agg", "sum") == "sum" and isinstance(df.schema[v["column"]].dataType, T.LongType) else c).alias(f"m{j}"))
@@ -113,32 +134,57 @@ def pivot(df: DataFrame, rows: list, columns: list = (), values: list[dict] = ()
     of = lambda j: F.col(f"m{j}") if values[j].get("column") else None
     kinds = [v.get("agg", "sum") for v in values]
     levels = [keys[:n] for n in range(len(keys), -1 if subtotals or not keys else len(keys) - 1, -1)]
-    if all(k in CARRIED for k in kinds):
-        parts = [[p.alias(f"p{j}_{i}") for i, p in enumerate(_partials(k, of(j)))] for j, k in enumerate(kinds)]
-        fine = base.groupBy(*keys, "_at").agg(*[p for ps in parts for p in ps])
+    key = F.col(ROW_KEY) if ordered else None
+    shifts = [_some(base, f"m{j}") if k == "stddev" else 0.0 for j, k in enumerate(kinds)]
+    plain = [j for j, k in enumerate(kinds) if k in CARRIED]
+    parts = {j: [p.alias(f"p{j}_{i}") for i, p in enumerate(_partials(kinds[j], of(j), key, shifts[j]))] for j in plain}
+    partials = [p for ps in parts.values() for p in ps]
+    if len(plain) == n_values:
+        fine = base.groupBy(*keys, "_at").agg(*partials)
         where = [F.col("_at") == i for i in range(n_headers)] + [F.lit(True)]
-        aggs = [_carried(k, [F.when(w, F.col(f"p{j}_{i}")) for i in range(len(parts[j]))]).alias(f"v{at * n_values + j}") for at, w in enumerate(where) for j, k in enumerate(kinds)]
+        aggs = [_carried(k, [F.when(w, F.col(f"p{j}_{i}")) for i in range(len(parts[j]))], ordered).alias(f"v{at * n_values + j}") for at, w in enumerate(where) for j, k in enumerate(kinds)]
         found = fine.groupingSets([[F.col(k) for k in level] for level in levels], *keys) if keys else fine.groupBy()
         depth = sum((F.grouping(k).cast("int") for k in keys), F.lit(0))
         return _finite(found.agg(depth.alias("_depth"), *aggs).select(*keys, "_depth", *[f"v{i}" for i in range(len(aggs))]))
-    key = F.col(ROW_KEY) if ordered else None
-    plain = [measure(v, of(j), key).alias(f"x{j}") for j, v in enumerate(values)]
+    group = [*keys, *["_at"] * bool(n_headers)]
     sets = [[F.col(k) for k in level] + own for level in levels for own in (([F.col("_at")], []) if n_headers else ([],))]
-    if keys or n_headers:
-        cut = [*keys, *["_at"] * bool(n_headers)]
-        flags = [F.grouping(k).cast("int").alias(f"g_{k}") for k in cut]
-        found = base.groupingSets(sets, *cut).agg(*plain, *flags)
-    else:
-        found = base.groupBy().agg(*plain)
+    flags = [F.grouping(k).cast("int").alias(f"g_{k}") for k in group]
     depth = sum((F.col(f"g_{k}") for k in keys), F.lit(0)).cast("int").alias("_depth")
-    found = found.select(*keys, depth, (F.when(F.col("g__at") == 1, n_headers).otherwise(F.col("_at")) if n_headers else F.lit(0)).alias("_at"), *[f"x{j}" for j in range(n_values)])
-    spread = [F.max(F.when(F.col("_at") == at, F.col(f"x{j}"))) for at in range(n_headers + 1) for j in range(n_values)]
-    # A group has no row of its own for a header that it lacks: counts are 0 there.
+    at = (F.when(F.col("g__at") == 1, n_headers).otherwise(F.col("_at")) if n_headers else F.lit(0)).alias("_at")
+
+    def by_level(table: DataFrame, aggs: list[Column], more: tuple = ()) -> DataFrame:
+        """The table's groups of every level, with flags; more: further columns to group by."""
+        return table.groupingSets([[*s, *map(F.col, more)] for s in sets], *group, *more).agg(*aggs, *flags) if group else table.groupBy(*more).agg(*aggs)
+
+    # One table of sums by group and value for each column whose values count; the first one has the other measures' sums too.
+    first, long = True, None
+    for name in dict.fromkeys(values[j]["column"] for j in range(n_values) if j not in plain):
+        js = [j for j in range(n_values) if j not in plain and values[j]["column"] == name]
+        summed = written(base.groupBy(*group, F.col(f"m{js[0]}").alias("v")).agg(F.count(F.lit(1)).alias("k"), *(partials if first else [])))
+        cells = by_level(summed.where("v is not null").select(*group, "v", "k"), [F.sum("k").alias("k")], ("v",))
+        names = [*group, *[f"g_{k}" for k in group]]
+        made = [by_level(summed, [F.sum("k").alias("_rows"), *[_carried(kinds[j], [F.col(f"p{j}_{i}") for i in range(len(parts[j]))], ordered).alias(f"x{j}") for j in plain]])] if first else []
+        if any(kinds[j] == "median" for j in js):
+            cells = written(cells)
+        made += [medians(cells, names).withColumnRenamed("x", f"x{j}") if kinds[j] == "median" else cells.groupBy(*names).agg(F.count(F.lit(1)).alias(f"x{j}")) for j in js]
+        for x in made:
+            x = x.select(*keys, depth, at, *[c for c in x.columns if c[0] == "x"])
+            long = x if long is None else long.unionByName(x, allowMissingColumns=True)
+        first = False
+    spread = [F.max(F.when(F.col("_at") == place, F.col(f"x{j}"))) for place in range(n_headers + 1) for j in range(n_values)]
+    # A group has no row of its own for a header or values that it lacks: counts are 0 there.
     spread = [F.coalesce(s, F.lit(0)) if kinds[i % n_values].startswith("count") else s for i, s in enumerate(spread)]
-    out = found.groupBy(*keys, "_depth").agg(*[s.alias(f"v{i}") for i, s in enumerate(spread)])
+    out = long.groupBy(*keys, "_depth").agg(*[s.alias(f"v{i}") for i, s in enumerate(spread)])
     return _finite(out.select(*keys, "_depth", *[f"v{i}" for i in range(len(spread))]))
 
 
+def _some(base: DataFrame, name: str) -> float:
+    """A value of a column, 0 if it has none that is a number."""
+    d = F.col(name).cast("double")
+    row = base.select(d.alias("d")).where(d.isNotNull() & ~F.isnan(d) & (F.abs(d) < float("inf"))).limit(1).first()
+    return row["d"] if row else 0.0
+
+
 def sort_rows(result: DataFrame, key: str | None = None, direction: str = "desc") -> DataFrame:
     """A pivot's rows in order: by keys, each subtotal under what it totals; by a row field (r0..), then the other keys; or by a measure (v0..) within each depth."""
     keys = [c for c in result.columns if c[0] == "r"]
@@ -191,6 +237,21 @@ def tabular(df: DataFrame, result: DataFrame, rows: list) -> DataFrame:
     return result.orderBy(*order).select(*labels, level.alias("_level"), *[c for c in result.columns if c[0] == "v"])
 
 
+def with_totals(df: DataFrame, result: DataFrame, rows: list) -> DataFrame:
+    """The pivot as a flat table in order: every row with its parents' labels, Total in the first key that a subtotal sums over, Grand total last."""
+    keys, n = [f"r{i}" for i in range(len(rows))], len(rows)
+    level = F.lit(n) - F.col("_depth")
+    labels = [F.when(level > i, key_label(df, f, F.col(k))).when(level == i, F.lit("Total" if i else "Grand total")).otherwise(F.lit("")).alias(field_label(f)) for i, (f, k) in enumerate(zip(rows, keys, strict=True))]
+    order = [x for i, k in enumerate(keys) for x in ((level <= i).asc(), F.asc_nulls_last(k))]
+    return result.orderBy(*order).select(*labels, *[c for c in result.columns if c[0] == "v"])
+
+
+def value_labels(kept: list[tuple], more: bool, values: list[dict]) -> list[str]:
+    """What v0.. are called, header by header (those of headers(), then Other and the row's total)."""
+    heads = [", ".join("(blank)" if x is None else str(x) for x in k) for k in kept] + ["Other"] * more
+    return [f"{h} — {label(v)}" for h in heads for v in values] + [f"Total — {label(v)}" if heads else label(v) for v in values]
+
+
 def to_csv(table: DataFrame, path: str, overwrite: bool = False) -> None:
     """A tabular pivot as one file for spreadsheet programs: UTF-8 with a byte-order mark, lines ended by CR LF, the header first."""
     quoted = lambda c: F.when(c.rlike('[",\n\r]'), F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(c)

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.columns import col, kind, text_form
+from ..functions.columns import SheetError, col, kind, text_form
 
 
 def finite(c: Column) -> Column:
@@ -89,3 +90,39 @@ def histograms(df: DataFrame, names: list[str], bins: int = 24) -> DataFrame:
     counted = values.join(F.broadcast(edges), "column").groupBy("column", place.cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
     slots = edges.select("column", "lo", "w", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("bin"))
     return slots.join(counted, ["column", "bin"], "left").select("column", "bin", (F.col("lo") + F.col("bin") * F.col("w")).alias("low"), F.coalesce("n", F.lit(0)).alias("n"))
+
+
+#: Values a sketch tracks for each column, and how many of the most frequent are counted again.
+TRACKED, CANDIDATES = 10_000, 100
+
+
+def frequent(df: DataFrame, names: list[str], limit: int = 12) -> DataFrame:
+    """column, value (text form), n: each column's most frequent values with their exact counts, ties by value (blanks last).
+
+    Two scans for all columns: sketches name candidates, which the second scan counts.  A value that is none of them occurs no more often than
+    the last candidate's estimate and the sketch's error allow; a column whose counts do not exceed that is counted in full."""
+    if not 1 <= limit <= CANDIDATES // 2:
+        raise SheetError(f"limit must be 1 to {CANDIDATES // 2}")
+    spark, texts = df.sparkSession, [text_form(df, n) for n in names]
+    base = df.select(*[t.alias(f"t{i}") for i, t in enumerate(texts)])
+    row = base.agg(F.count(F.lit(1)).alias("n"), *[F.expr(f"approx_top_k(t{i}, {CANDIDATES}, {TRACKED})").alias(f"k{i}") for i in range(len(names))]).first()
+    found = [[(x["item"], x["count"]) for x in row[f"k{i}"]] for i in range(len(names))]
+    held = lambda i: F.coalesce(F.col(f"t{i}").isin(*[v for v, _ in found[i] if v is not None]), F.lit(False)) | F.col(f"t{i}").isNull()
+    some = base.select(F.explode(F.filter(F.array(*[F.when(held(i), F.struct(F.lit(i).alias("c"), F.col(f"t{i}").alias("value"))) for i in range(len(names))]), lambda x: x.isNotNull())).alias("x")).select("x.*")
+    exact: dict[int, dict] = {i: {} for i in range(len(names))}
+    for r in some.groupBy("c", "value").agg(F.count(F.lit(1)).alias("n")).collect():  # CANDIDATES rows a column
+        exact[r["c"]][r["value"]] = r["n"]
+    rows, rest = [], []
+    for i, name in enumerate(names):
+        top = sorted(exact[i].items(), key=lambda x: (-x[1], x[0] is None, x[0] or ""))
+        other = max(found[i][-1][1] if len(found[i]) == CANDIDATES else 0, -(-7 * row["n"] // (2 * TRACKED)))
+        if sum(exact[i].values()) == row["n"] or (len(top) >= limit and top[limit - 1][1] > other):
+            rows += [(name, v, n) for v, n in top[:limit]]
+        else:
+            rest.append(i)
+    out = spark.createDataFrame(rows, "column string, value string, n long")
+    if rest:
+        full = base.select(F.explode(F.array(*[F.struct(F.lit(names[i]).alias("column"), F.col(f"t{i}").alias("value")) for i in rest])).alias("x")).select("x.*").groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+        place = F.row_number().over(W.partitionBy("column").orderBy(F.desc("n"), F.asc_nulls_last("value")))
+        out = out.unionByName(full.withColumn("place", place).where(F.col("place") <= limit).drop("place"))
+    return out

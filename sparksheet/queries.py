@@ -124,6 +124,17 @@ _add("adhoc_sql", "lineitem", lambda df: adhoc.query(df, "SELECT l_returnflag, c
 _IN_ORDER = "(SELECT *, row_number() OVER () AS place FROM {})"
 _add("page_file_order", "lineitem", lambda df: paging.page(paging.keyed(df), 1000, 100), "SELECT * FROM lineitem LIMIT 100 OFFSET 1000")
 _add("page_deep", "lineitem", lambda df: paging.page(df, 40_000, 200, [{"column": "l_extendedprice", "direction": "desc"}], tiebreak=["l_orderkey", "l_linenumber"]), "SELECT * FROM lineitem ORDER BY l_extendedprice DESC NULLS LAST, l_orderkey, l_linenumber LIMIT 200 OFFSET 40000")
+_LINES = ["l_orderkey", "l_linenumber"]
+
+
+def _two_pages(df: DataFrame) -> DataFrame:
+    """Two deep pages of one order: the second is read from what the first has sorted."""
+    pages, sort = paging.Pages(df), [{"column": "l_extendedprice", "direction": "desc"}]
+    return pages.page(40_000, 100, sort, tiebreak=_LINES).unionByName(pages.page(12_000, 100, sort, tiebreak=_LINES))
+
+
+_add("page_index", "lineitem", _two_pages, "(SELECT * FROM lineitem ORDER BY l_extendedprice DESC NULLS LAST, l_orderkey, l_linenumber LIMIT 100 OFFSET 40000) UNION ALL (SELECT * FROM lineitem ORDER BY l_extendedprice DESC NULLS LAST, l_orderkey, l_linenumber LIMIT 100 OFFSET 12000)")
+_add("page_by_rows", "lineitem", lambda df: paging.Pages(paging.keyed(df)).page(30_000, 200), "SELECT * FROM lineitem LIMIT 200 OFFSET 30000")
 _add("page_counts", "orders", lambda df: paging.counts(df, [{"op": "gt", "column": "o_totalprice", "value": 250000}]), "SELECT count(*) AS total_rows, count(*) FILTER (WHERE o_totalprice > 250000) AS filtered_rows FROM orders")
 _add("checklist_first", "customer", lambda df: paging.checklist(df, "c_nationkey", 5)[0], "SELECT CAST(c_nationkey AS VARCHAR) AS value, count(*) AS n FROM customer GROUP BY 1 ORDER BY n DESC, value LIMIT 5")
 _add("dedupe_file_order", "orders", lambda df: paging.shown(clean.remove_duplicates(paging.keyed(df), ["o_custkey", "o_orderstatus"])), "SELECT * EXCLUDE (place) FROM " + _IN_ORDER.format("orders") + " QUALIFY row_number() OVER (PARTITION BY o_custkey, o_orderstatus ORDER BY place) = 1")
@@ -142,6 +153,11 @@ _add("pivot_pct_column", "orders", lambda df: pivot.show_as(pivot.pivot(df, ["o_
 _add("pivot_running_fine", "lineitem", lambda df: _rounded(pivot.show_as(pivot.pivot(df, ["l_suppkey", {"column": "l_shipdate", "group": "month"}], values=[{"column": "l_quantity", "agg": "sum"}]), "v0", "running")), "WITH p AS (SELECT l_suppkey AS r0, date_trunc('month', l_shipdate) AS r1, CAST(grouping(l_suppkey) + grouping(date_trunc('month', l_shipdate)) AS INT) AS _depth, sum(l_quantity) AS v FROM lineitem GROUP BY ROLLUP(l_suppkey, date_trunc('month', l_shipdate))) SELECT r0, strftime(r1, '%Y-%m-%d') AS r1, _depth, round(CASE WHEN _depth = 0 THEN sum(v) OVER (PARTITION BY _depth ORDER BY r0 NULLS LAST, r1 NULLS LAST ROWS UNBOUNDED PRECEDING) ELSE v END, 2) AS v0 FROM p")
 _add("drill_period", "orders", lambda df: pivot.drill(df, [{"column": "o_orderdate", "group": "quarter"}], ["1995-04-01"]).select("o_orderkey"), "SELECT o_orderkey FROM orders WHERE date_trunc('quarter', o_orderdate) = DATE '1995-04-01'")
 _add("profile_histograms", "lineitem", lambda df: profile.histograms(df, ["l_quantity", "l_discount"]).select("column", "bin", F.round("low", 4).alias("low"), "n"), " UNION ALL ".join(f"(WITH e AS (SELECT min({c}) lo, (max({c})-min({c}))/24 w FROM lineitem), b AS (SELECT CAST(least(floor(({c}-lo)/w), 23) AS INT) AS bin, count(*) n FROM lineitem, e WHERE {c} IS NOT NULL GROUP BY 1) SELECT '{c}' AS \"column\", CAST(s.i AS INT) AS bin, round(lo + s.i*w, 4) AS low, coalesce(n, 0) AS n FROM range(24) s(i) CROSS JOIN e LEFT JOIN b ON b.bin = s.i)" for c in ("l_quantity", "l_discount")))
+_FREQUENT = ["l_suppkey", "l_orderkey", "l_returnflag", "l_shipdate"]
+_add("profile_frequent", "lineitem", lambda df: profile.frequent(df.withColumn("l_shipdate", F.col("l_shipdate").cast("date")), _FREQUENT), " UNION ALL ".join(f"(SELECT '{c}' AS \"column\", CAST({e} AS VARCHAR) AS value, count(*) AS n FROM lineitem GROUP BY ALL ORDER BY n DESC, value LIMIT 12)" for c, e in zip(_FREQUENT, ["l_suppkey", "l_orderkey", "l_returnflag", "CAST(l_shipdate AS DATE)"], strict=True)))
+_add("approx_distinct_error", "events", lambda df: df.agg(F.count_distinct("user_id").alias("n"), (F.abs(F.approx_count_distinct("user_id") - F.count_distinct("user_id")) <= 0.15 * F.count_distinct("user_id")).alias("within")), "SELECT count(DISTINCT user_id) AS n, true AS within FROM events")
+_add("pivot_distinct_levels", "lineitem", lambda df: pivot.pivot(df, ["l_returnflag", "l_linestatus"], values=[{"column": "l_suppkey", "agg": "count_distinct"}, {"column": "l_suppkey", "agg": "median"}, {"column": "l_quantity", "agg": "stddev"}]).withColumn("v2", F.round("v2", 6)), "SELECT l_returnflag AS r0, l_linestatus AS r1, CAST(grouping(l_returnflag) + grouping(l_linestatus) AS INT) AS _depth, count(DISTINCT l_suppkey) AS v0, median(l_suppkey) AS v1, round(stddev_samp(l_quantity), 6) AS v2 FROM lineitem GROUP BY ROLLUP(l_returnflag, l_linestatus)")
+_add("pivot_flat_totals", "orders", lambda df: _rounded(pivot.with_totals(df, pivot.pivot(df, ["o_orderstatus", "o_orderpriority"], values=[{"column": "o_totalprice", "agg": "sum"}]), ["o_orderstatus", "o_orderpriority"])), "SELECT CASE WHEN grouping(o_orderstatus) = 1 THEN 'Grand total' ELSE o_orderstatus END AS o_orderstatus, CASE WHEN grouping(o_orderstatus) = 1 THEN '' WHEN grouping(o_orderpriority) = 1 THEN 'Total' ELSE o_orderpriority END AS o_orderpriority, round(sum(o_totalprice), 2) AS v0 FROM orders GROUP BY ROLLUP(o_orderstatus, o_orderpriority)")
 _add("convert_failures", "orders", lambda df: failures(df.select(F.when(F.col("o_orderkey") % 3 == 0, F.col("o_orderkey").cast("string")).otherwise(F.col("o_orderpriority")).alias("x")), "x", "number"), "SELECT o_orderpriority AS value, count(*) AS n FROM orders WHERE o_orderkey % 3 <> 0 GROUP BY 1 ORDER BY n DESC, value LIMIT 12")
 _add("convert_samples", "orders", lambda df: samples(df.select(F.date_format("o_orderdate", "MMM d yyyy").alias("x")), "x", "date"), "SELECT DISTINCT strftime(o_orderdate, '%b %-d %Y') AS before, strftime(o_orderdate, '%Y-%m-%d') AS after FROM orders ORDER BY before LIMIT 5")
 _add("convert_ambiguous", "orders", lambda df: preview(df.select(F.date_format("o_orderdate", "MM/dd/yyyy").alias("x")), "x", "date").select("rows", "converted", "ambiguous"), "SELECT count(*) AS rows, count(o_orderdate) AS converted, count(*) FILTER (WHERE day(o_orderdate) <= 12 AND day(o_orderdate) <> month(o_orderdate)) AS ambiguous FROM orders")
@@ -185,6 +201,8 @@ _SOURCES = {
     "source_leading_zeros": _file(lambda s, p: text.read_text(s, p, header=False).toDF("k", "code", "day"), "SELECT c_custkey AS k, lpad(CAST(c_custkey AS VARCHAR), 12, '0') AS code, DATE '2020-01-01' + CAST(c_custkey % 1000 AS INT) AS day FROM customer", _line(",", _key, lambda df: F.lpad(F.col("c_custkey").cast("string"), 12, "0"), lambda df: F.date_add(F.lit("2020-01-01").cast("date"), (F.col("c_custkey") % 1000).cast("int")).cast("string"))),
     "source_given_layout": _file(lambda s, p: lossless(text.read_text(s, p, header=False, all_text=True), layout="dd/MM/yyyy").toDF("k", "day"), "SELECT c_custkey AS k, DATE '2020-01-01' + CAST(c_custkey % 1000 AS INT) AS day FROM customer", _line(",", _key, lambda df: F.date_format(F.date_add(F.lit("2020-01-01").cast("date"), (F.col("c_custkey") % 1000).cast("int")), "dd/MM/yyyy"))),
     "source_decimal_comma": _file(lambda s, p: clean.change_type(text.read_text(s, p, ";", header=False).toDF("k", "v"), "v", "number"), "SELECT c_custkey AS k, round(c_acctbal, 2) AS v FROM customer", _line(";", _key, _comma)),
+    # Quoted fields that go on over line ends.
+    "source_multiline": _file(lambda s, p: text.read_text(s, p, header=False).toDF("k", "quoted", "v"), "SELECT c_custkey AS k, c_name || chr(10) || '\"' || c_mktsegment || '\",' || chr(10) AS quoted, round(c_acctbal, 2) AS v FROM customer", _line(",", _key, lambda df: F.concat(F.lit('"'), F.col("c_name"), F.lit('\n""'), F.col("c_mktsegment"), F.lit('"",\n"')), _money)),
     "source_line_numbers": _file(lambda s, p: text.numbered_lines(s, p).groupBy("file").agg(F.count(F.lit(1)).alias("n"), F.min("line").alias("low"), F.max("line").alias("high"), F.count_distinct("line").alias("different")).agg(F.sum("n").alias("n"), F.max("low").alias("low"), (F.sum("high") == F.sum("different")).alias("dense")), "SELECT count(*) AS n, CAST(1 AS BIGINT) AS low, true AS dense FROM customer", _line(",", _key, _name)),
 }
 for _k, (_run, _sql) in _SOURCES.items():

@@ -4,15 +4,13 @@ from __future__ import annotations
 
 import datetime
 import io
-import itertools
 import math
 import re
 import uuid
 import zipfile
 from xml.sax.saxutils import escape
 
-import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -72,19 +70,24 @@ def cell_rules(df: DataFrame) -> DataFrame:
     return df.withColumns(out) if out else df
 
 
+def _too_long(df: DataFrame, name: str) -> Column:
+    return F.char_length(F.replace(col(df, name).cast("string"), F.lit("\r\n"), F.lit("\n"))) > MOST_CHARS
+
+
 def cut_cells(df: DataFrame) -> DataFrame:
     """One row: for each text column how many cells are longer than a workbook's cells may be."""
     names = [f.name for f in df.schema if kind(f.dataType) == "text"]
-    long = lambda n: F.char_length(F.replace(col(df, n).cast("string"), F.lit("\r\n"), F.lit("\n"))) > MOST_CHARS
-    return df.agg(*[F.count(F.when(long(n), 1)).alias(n) for n in names]) if names else df.sparkSession.range(1).select()
+    return df.agg(*[F.count(F.when(_too_long(df, n), 1)).alias(n) for n in names]) if names else df.sparkSession.range(1).select()
 
 
-def write(df: DataFrame, path: str, form: str = "parquet", overwrite: bool = False, compression: str = "zstd") -> None:
-    """A folder of one format; its own source is never written over."""
+def write(df: DataFrame, path: str, form: str = "parquet", overwrite: bool = False, compression: str = "zstd") -> dict:
+    """A folder of one format; its own source is never written over.  Returns how many rows were written, and of each text column how many of
+    its cells are longer than a workbook's may be: counted on the way."""
     bare = lambda p: p.removeprefix("file://").removeprefix("file:").rstrip("/")
     if overwrite and any(f"{bare(f)}/".startswith(f"{bare(path)}/") for f in df.inputFiles()):
         raise SheetError(f"{path} is what the table is read from")
-    w = df.write.mode("overwrite" if overwrite else "errorifexists")
+    seen, texts = Observation(), [f.name for f in df.schema if kind(f.dataType) == "text"]
+    w = df.observe(seen, F.count(F.lit(1)).alias("rows"), *[F.count(F.when(_too_long(df, n), 1)).alias(f"n{i}") for i, n in enumerate(texts)]).write.mode("overwrite" if overwrite else "errorifexists")
     if form == "parquet":
         w.option("compression", compression).parquet(path)
     elif form in ("csv", "tsv"):
@@ -93,6 +96,8 @@ def write(df: DataFrame, path: str, form: str = "parquet", overwrite: bool = Fal
         w.option("ignoreNullFields", "false").json(path)
     else:
         raise SheetError(f"unknown format {form!r}")
+    got = seen.get
+    return {"rows": got["rows"], "long_cells": {n: got[f"n{i}"] for i, n in enumerate(texts) if got[f"n{i}"]}}
 
 
 def report(spark: SparkSession, path: str, rows: int, source_bytes: int | None = None) -> dict:
@@ -135,53 +140,52 @@ def cell(v) -> str:
     return f'<c t="inlineStr"><is><t xml:space="preserve">{escape(clean)}</t></is></c>'
 
 
+def save_workbook(out, names: list[str], rows) -> int:
+    """One sheet with a header, written to an open stream as its rows come; how many these were."""
+    n = 0
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED, compresslevel=1) as book:
+        for member, xml in MEMBERS.items():
+            book.writestr(member, xml)
+        with book.open("xl/worksheets/sheet1.xml", "w", force_zip64=True) as raw, io.TextIOWrapper(raw, "utf-8") as f:
+            body = ((f"<row>{''.join(map(cell, row))}</row>") for row in rows)
+            for n, row in enumerate(body, 1):
+                if n == 1:
+                    f.write(f'<worksheet xmlns="{_MAIN}"><sheetData><row>{"".join(map(cell, names))}</row>')
+                f.write(row)
+            if not n:
+                f.write(f'<worksheet xmlns="{_MAIN}"><sheetData><row>{"".join(map(cell, names))}</row>')
+            f.write("</sheetData></worksheet>")
+    return n
+
+
 def write_workbooks(df: DataFrame, order: list[str], folder: str, stem: str, rows_per_file: int = MOST_ROWS, style: str = "alpha", overwrite: bool = False) -> DataFrame:
     """df as workbooks of exactly rows_per_file rows (the last: the rest), in order, each with the header; one task a file.
 
-    Returns the report: part, file, rows, bytes.  A file is written beside its place and moved there when whole, so a
-    task that is run again replaces it.  Folders are local (shared) paths or whatever store pyarrow opens by its URI.
-    Existing files are refused unless overwrite.  An empty df gives one file with the header."""
+    Returns the report: part, file, rows, bytes.  All files are there when the write has ended, or none: tasks write aside, the commit
+    moves (`sources.workbook_source`).  Folders are shared paths or whatever store pyarrow opens by its URI; on a cluster, name one
+    that all machines see.  Existing files are refused unless overwrite.  An empty df gives one file with the header."""
     from pyarrow import fs
 
-    ready = precise(cell_rules(df))[0]
+    from .sources import workbook_source
+
+    spark, ready = df.sparkSession, precise(cell_rules(df))[0]
     names, sheet = ready.columns, numbered(ready, order)
     total = df.count()
     todo = plan(total, len(names), rows_per_file)
     parts, size = todo["parts"], todo["rows_per_file"]
-    store, base = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
+    store, base = workbook_source.store_of(folder)
     store.create_dir(base, recursive=True)
-    taken = [x.path for x in store.get_file_info([f"{base}/{part_name(stem, i, parts, style)}.xlsx" for i in range(parts)]) if x.type != fs.FileType.NotFound]
+    files = [f"{base}/{part_name(stem, i, parts, style)}.xlsx" for i in range(parts)]
+    taken = [x.path for x in store.get_file_info(files) if x.type != fs.FileType.NotFound]
     if taken and not overwrite:
         raise SheetError(f"{taken[0]} exists")
-    head = "<row>" + "".join(cell(n) for n in names) + "</row>"
-
-    def save(part: int, rows) -> tuple[str, int, int]:
-        target, n = f"{base}/{part_name(stem, part, parts, style)}.xlsx", 0
-        where = fs.FileSystem.from_uri(folder)[0] if "://" in folder else fs.LocalFileSystem()
-        aside = f"{target}.{uuid.uuid4().hex}"
-        with where.open_output_stream(aside) as out:
-            with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED, compresslevel=1) as book:
-                for member, xml in MEMBERS.items():
-                    book.writestr(member, xml)
-                with book.open("xl/worksheets/sheet1.xml", "w", force_zip64=True) as raw, io.TextIOWrapper(raw, "utf-8") as f:
-                    f.write(f'<worksheet xmlns="{_MAIN}"><sheetData>{head}')
-                    for row in rows:
-                        f.write("<row>" + "".join(map(cell, row)) + "</row>")
-                        n += 1
-                    f.write("</sheetData></worksheet>")
-        where.move(aside, target)
-        return target, n, where.get_file_info(target).size
-
-    def run(batches):
-        rows = ((r[0], r[1:]) for b in batches for i in range(0, b.num_rows, 1000) for r in zip(*[c.to_pylist() for c in b.slice(i, 1000).columns], strict=True))
-        for part, group in itertools.groupby(rows, key=lambda r: r[0]):
-            file, n, held = save(part, (r for _, r in group))
-            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([file]), pa.array([n], pa.int64()), pa.array([held], pa.int64())], names=["part", "file", "rows", "bytes"])
-
-    form = "part int, file string, rows long, bytes long"
-    if not total:
-        file, n, held = save(0, [])
-        return df.sparkSession.createDataFrame([(0, file, n, held)], form)
-    dealt = sheet.withColumn("_part", F.floor(F.col("_at") / size).cast("int")).repartitionByRange(parts, "_part").sortWithinPartitions("_part", "_at")
-    done = dealt.select("_part", *[col(dealt, n) for n in names]).mapInArrow(run, form).collect()  # one row a file
-    return df.sparkSession.createDataFrame(done, form)
+    if total:
+        dealt = sheet.withColumn("_part", F.floor(F.col("_at") / size).cast("int")).repartitionByRange(parts, "_part").sortWithinPartitions("_part", "_at")
+        workbook_source.register(spark)
+        out = dealt.select("_part", *[col(dealt, n) for n in names]).write.format(workbook_source.NAME).mode("append")
+        out.options(folder=folder, stem=stem, style=style, parts=parts, job=uuid.uuid4().hex).save()
+    else:
+        with store.open_output_stream(files[0]) as f:
+            save_workbook(f, names, [])
+    held = store.get_file_info(files)
+    return spark.createDataFrame([(i, f.path, min(size, total - i * size), f.size) for i, f in enumerate(held)], "part int, file string, rows long, bytes long")

@@ -1,8 +1,13 @@
-"""Workbooks (.xlsx): one task reads one file's sheet and streams its rows; the format itself bounds a sheet's size."""
+"""Workbooks (.xlsx): one task reads one sheet of one file and streams its rows; the format itself bounds a sheet's size.
+
+Files that pyarrow opens are read by ranges (`workbook_source`); others by Spark's own reader of whole files, up to 2 GB each.
+"""
 
 from __future__ import annotations
 
 import io
+import itertools
+import json
 import posixpath
 import re
 import zipfile
@@ -16,6 +21,8 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import SheetError, unique_names
 from ..functions.convert import lossless
+from ..scratch import cut
+from . import workbook_source
 from .text import literal_path
 
 #: Fixed values of the format: the built-in number formats that show dates or times.
@@ -85,9 +92,9 @@ def _cell(c, strings: list[str], dates: set[int], since_1904: bool) -> str | Non
     return v
 
 
-def sheet_rows(content: bytes, sheet: str | None) -> Iterator[list[str | None]]:
-    """The sheet's rows that are not blank, every cell as text."""
-    with zipfile.ZipFile(io.BytesIO(content)) as book:
+def sheet_rows(file, sheet: str | None) -> Iterator[list[str | None]]:
+    """The rows that are not blank of a sheet of a file that can be sought in, every cell as text."""
+    with zipfile.ZipFile(file) as book:
         sheets = _sheets(book)
         name = sheet if sheet is not None else next(iter(sheets), None)
         if name not in sheets:
@@ -107,55 +114,81 @@ def sheet_rows(content: bytes, sheet: str | None) -> Iterator[list[str | None]]:
                 yield cells
 
 
-def sheet_names(spark: SparkSession, path: str) -> DataFrame:
-    """file, sheet, at: every sheet of every workbook."""
+def _files(spark: SparkSession, path: str) -> list[str]:
+    """The workbooks' paths: one row a file."""
+    return [r["path"] for r in spark.read.format("binaryFile").load(literal_path(path)).select("path").orderBy("path").collect()]
 
-    def run(batches):
+
+def _over_files(spark: SparkSession, path: str, make, form: str) -> DataFrame:
+    """make(file's name, open file) -> Arrow batches, for each file: one task a file opens it by ranges, or has its content from Spark where pyarrow cannot."""
+    files = _files(spark, path)
+    if files and all(map(workbook_source.opens, files[:1])):
+
+        def run(batches):
+            for b in batches:
+                for file in b.column(0).to_pylist():
+                    store, at = workbook_source.store_of(file)
+                    with store.open_input_file(at) as f:
+                        yield from make(file, f)
+
+        return spark.createDataFrame([(f,) for f in files], "path string").repartition(len(files)).mapInArrow(run, form)
+
+    def whole(batches):
         for b in batches:
             for file, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                with zipfile.ZipFile(io.BytesIO(content)) as book:
-                    names = list(_sheets(book))
-                yield pa.RecordBatch.from_arrays([pa.array([file] * len(names), pa.string()), pa.array(names, pa.string()), pa.array(range(len(names)), pa.int32())], names=["file", "sheet", "at"])
+                yield from make(file, io.BytesIO(content))
+
+    return spark.read.format("binaryFile").load(literal_path(path)).select("path", "content").mapInArrow(whole, form)
+
 
-    return spark.read.format("binaryFile").load(literal_path(path)).select("path", "content").mapInArrow(run, "file string, sheet string, at int")
+def sheet_names(spark: SparkSession, path: str) -> DataFrame:
+    """file, sheet, at: every sheet of every workbook."""
+
+    def make(file: str, f):
+        with zipfile.ZipFile(f) as book:
+            names = list(_sheets(book))
+        yield pa.RecordBatch.from_arrays([pa.array([file] * len(names), pa.string()), pa.array(names, pa.string()), pa.array(range(len(names)), pa.int32())], names=["file", "sheet", "at"])
+
+    return _over_files(spark, path, make, "file string, sheet string, at int")
+
+
+def _cells(spark: SparkSession, path: str, sheet: str | None, files: list[str], head: bool = False) -> DataFrame:
+    """file, at, cells of one sheet of each file; head: their first rows alone."""
+    if files and workbook_source.opens(files[0]):
+        workbook_source.register(spark)
+        return spark.read.format(workbook_source.NAME).options(sheets=json.dumps([(f, sheet) for f in files]), head="1" if head else "0").load()
 
+    def make(file: str, f):
+        rows = enumerate(sheet_rows(f, sheet))
+        while part := list(itertools.islice(rows, 1 if head else BATCH)):
+            at, cells = zip(*part, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array([file] * len(at), pa.string()), pa.array(at, pa.int64()), pa.array(cells, pa.list_(pa.string()))], names=["file", "at", "cells"])
+            if head:
+                break
 
-def read_workbooks(spark: SparkSession, path: str, sheet: str | None = None, all_text: bool = False) -> DataFrame:
+    return _over_files(spark, path, make, workbook_source.CELLS).where(F.col("file").isin(*files) if len(files) == 1 else F.lit(True))
+
+
+def read_workbooks(spark: SparkSession, path: str, sheet: str | None = None, all_text: bool = False, about: dict | None = None) -> DataFrame:
     """One sheet (the first, if not named) of a workbook or of each workbook of a folder, which share a header.
 
     Blank rows are left out; the first other row of the first file names the columns, every file's first one is skipped;
-    rows are padded or trimmed to the header's width and typed without loss.  A sheet that is missing or empty is refused."""
-    files = spark.read.format("binaryFile").load(literal_path(path))
-    first = files.select("path").agg(F.min("path")).first()[0]
-    if first is None:
+    rows are padded or trimmed to the header's width and typed without loss.  Each file is parsed once: its cells are written down as
+    text, and types are told from these.  A sheet that is missing or empty is refused.  about: given notes of the other sheets."""
+    files = _files(spark, path)
+    if not files:
         raise SheetError(f"no workbook at {path}")
-
-    def rows(only_first: bool):
-        def run(batches):
-            for b in batches:
-                for file, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                    at, held = [], []
-                    for i, cells in enumerate(sheet_rows(content, sheet)):
-                        at.append(i)
-                        held.append(cells)
-                        if only_first or len(at) == BATCH:
-                            yield pa.RecordBatch.from_arrays([pa.array([file] * len(at), pa.string()), pa.array(at, pa.int64()), pa.array(held, pa.list_(pa.string()))], names=["file", "at", "cells"])
-                            at, held = [], []
-                        if only_first:
-                            break
-                    if at:
-                        yield pa.RecordBatch.from_arrays([pa.array([file] * len(at), pa.string()), pa.array(at, pa.int64()), pa.array(held, pa.list_(pa.string()))], names=["file", "at", "cells"])
-
-        return run
-
-    form = "file string, at long, cells array<string>"
-    known = [r["sheet"] for r in sheet_names(spark, path).where(F.col("file") == first).orderBy("at").collect()]  # one file's sheets
+    first = files[0]
+    known = [r["sheet"] for r in sheet_names(spark, first).orderBy("at").collect()]  # one file's sheets
     if not known or (sheet is not None and sheet not in known):
         raise SheetError(f"no sheet {sheet!r}; there are {known}")
-    head = files.where(F.col("path") == first).select("path", "content").mapInArrow(rows(True), form).first()
+    if about is not None and len(known) > 1:
+        read = sheet if sheet is not None else known[0]
+        about["notes"] = [f"sheet {read!r} was read; the others are {', '.join(map(repr, [k for k in known if k != read][:20]))}"]
+    head = _cells(spark, first, sheet, [first], head=True).first()
     if head is None:
         raise SheetError("the sheet is empty")
     names = unique_names([x or "" for x in head["cells"]])
-    body = files.select("path", "content").mapInArrow(rows(False), form).where("at > 0")
+    body = _cells(spark, path, sheet, files).where("at > 0")
     df = body.select(*[F.get("cells", F.lit(i)).alias(n) for i, n in enumerate(names)])
-    return df if all_text else lossless(df)
+    return df if all_text else lossless(cut(df))

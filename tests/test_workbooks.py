@@ -68,3 +68,25 @@ def test_zip_members(spark, tmp_path):
         z.writestr("book.xlsx", b"")
         z.writestr("data.csv", "id,region,amount\r\n1,é,1.5\r\n2,W,2.5,extra\r\n".encode("cp1252"))
     assert [tuple(r) for r in text.read_any(spark, p).collect()] == [(1, "é", 1.5, None), (2, "W", 2.5, "extra")]
+
+
+def test_other_sheets_are_named_and_files_share_the_work(spark, tmp_path):
+    from sparksheet.sources import sheet
+
+    cells = lambda *xs: "<row>" + "".join(f'<c t="inlineStr"><is><t>{x}</t></is></c>' for x in xs) + "</row>"
+    for k in range(5):
+        book(tmp_path / f"{k}.xlsx", {"Main": cells("id", "v") + "".join(cells(f"{k + 1}{i}", i) for i in range(4)), "Extra": cells("z"), "More": cells("y")})
+    got = sheet.open_sheet(spark, str(tmp_path / "0.xlsx"))
+    assert got.rows == 4 and got.notes == ["sheet 'Main' was read; the others are 'Extra', 'More'"]
+    assert workbook._cells(spark, str(tmp_path), None, workbook._files(spark, str(tmp_path))).rdd.getNumPartitions() == 5
+    assert sorted(r["id"] for r in workbook.read_workbooks(spark, str(tmp_path)).collect()) == [10 * k + i for k in range(1, 6) for i in range(4)]
+    assert workbook.sheet_names(spark, str(tmp_path)).count() == 15
+
+
+def test_files_that_only_spark_opens(spark, tmp_path, monkeypatch):
+    """Where pyarrow does not know the store, content comes from Spark's own reader."""
+    cells = lambda *xs: "<row>" + "".join(f'<c t="inlineStr"><is><t>{x}</t></is></c>' for x in xs) + "</row>"
+    for k in range(2):
+        book(tmp_path / f"{k}.xlsx", {"S": cells("id") + cells(k)})
+    monkeypatch.setattr(workbook.workbook_source, "opens", lambda path: False)
+    assert sorted(r["id"] for r in workbook.read_workbooks(spark, str(tmp_path)).collect()) == [0, 1]
