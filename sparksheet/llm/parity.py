@@ -3,11 +3,11 @@
 A document's set of shingles becomes a bit sketch: each shingle picks one bit and flips it.  Two sketches differ in at most
 as many bits as the sets differ in shingles, and the similarity allows a pair of sizes (x, y) at most
 d = (x + y) * (100 - least) / (100 + least) different shingles.  Sketches grow with the sets: documents of one size band
-(sizes from a power of two to the next) have sketches of k chunks of 64 bits, k a tenth over the most differences in the band.
+(sizes from a power of two to the next) have sketches of k chunks of 64 bits, k a fifth over the most differences in the band.
 Of two linked sketches at most d chunks differ, so k - d are equal: by pigeonhole, if each enters its d + 1 chunks
-that come first in an order which all share, they meet in one of them.  That order puts chunks with most bits first, so
-the poor chunks, which many documents have by chance, are not entered.  A document whose larger partners can lie in the
-next band enters there too, as cut for that band.
+that come first in an order which all share, they meet in one of them.  That order is by how many documents have the
+chunk, the rarest first: what many have by chance or by a common passage is not entered, and a document of which d + 1
+chunks are its own meets no other.  A document whose larger partners can lie in the next band enters there too, as cut for that band.
 
 Documents that meet are tested by sizes and by a sketch of 512 bits, then verified on their full sets.  Equal sets are one class
 from the start, and entries that many classes share are not expanded into pairs (`neardup.grouped`).
@@ -38,32 +38,55 @@ def most_apart(x: int, y: int, least: int) -> int:
     return (100 - least) * (x + y) // (100 + least)
 
 
-def chunk_keys(s: np.ndarray, band: int, d: int, least: int) -> np.ndarray:
-    """The d + 1 chunks that a set (sorted hashes) enters in a band, each as a hash of band, place and bits."""
+def chunk_count(band: int, least: int) -> int:
+    """How many chunks a band's sketches have."""
     high = (1 << band) - 1
-    k = -(-11 * (most_apart(high, high, least) + 1) // 10)
+    return -(-6 * (most_apart(high, high, least) + 1) // 5)
+
+
+def chunk_keys(s: np.ndarray, band: int, least: int) -> np.ndarray:
+    """The chunks of a set (sorted hashes) as cut for a band, each as a hash of band, place and bits, of which the last bit tells whether the band is odd."""
+    k = chunk_count(band, least)
     at = ((s >> np.uint64(32)) * np.uint64(k * CHUNK_BITS) >> np.uint64(32)).astype(np.int64)  # sorted, as s is
     chunk = at // CHUNK_BITS
     starts = np.flatnonzero(np.diff(chunk, prepend=-1))
     bits = np.zeros(k, np.uint64)
     bits[chunk[starts]] = np.bitwise_xor.reduceat(np.uint64(1) << (at % CHUNK_BITS).astype(np.uint64), starts)
     keys = mix(bits ^ mix(np.arange(k, dtype=np.uint64) + np.uint64(band << 48)))
-    poor = (CHUNK_BITS - np.bitwise_count(bits)).astype(np.uint64)
-    order = (poor << np.uint64(57)) | (keys >> np.uint64(7))
-    return keys[np.argsort(order, kind="stable")[: d + 1]]
+    return keys & ~np.uint64(1) | np.uint64(band & 1)
 
 
 def entries_of(s: np.ndarray, least: int) -> np.ndarray:
-    """All entries of a set: in its own band and, where larger partners can lie there, in the next.  A set whose partners could only equal it has none."""
+    """The chunks of a set in its own band and, where larger partners can lie there, in the next.  A set whose partners could only equal it has none."""
     n = len(s)
     band, reach = n.bit_length(), 100 * n // least
-    own = most_apart(n, min(reach, (1 << band) - 1), least)
-    out = [chunk_keys(s, band, own, least)] if own else []
-    if reach >> band and (d := most_apart(n, reach, least)):
-        out.append(chunk_keys(s, band + 1, d, least))
+    out = [chunk_keys(s, band, least)] if most_apart(n, min(reach, (1 << band) - 1), least) else []
+    if reach >> band and most_apart(n, reach, least):
+        out.append(chunk_keys(s, band + 1, least))
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
+def skipped(n: Column, key: Column, least: int) -> Column:
+    """How many of a set's k chunks in the band of an entry are not entered: all but the first d + 1."""
+    band = F.length(F.bin(n))
+    own = F.pmod(key, F.lit(2)) == F.pmod(band, F.lit(2))
+    high = F.call_function("shiftleft", F.lit(1).cast("long"), F.when(own, band).otherwise(band + 1)) - 1
+    apart = lambda x, y: F.floor((100 - least) * (x + y) / (100 + least)).cast("long")  # noqa: E731  far below 2**53
+    d = apart(n, F.least(F.floor(100 * n / least).cast("long"), high))
+    return F.ceil(6 * (apart(high, high) + 1) / 5).cast("long") - d - 1
+
+
+def meeting(each: DataFrame, classes: DataFrame, least: int) -> DataFrame:
+    """each (key, f): all chunks of all sets -> key, f, low, high, rows: the entries in which sets meet, with their smallest and largest set."""
+    # A chunk's share of all rows is at most that of one document in one of its many chunks.
+    counted = each.select("key", "f", F.count(F.lit(1)).over(W.partitionBy("key")).alias("held")).where("held > 1")
+    held = counted.distinct().join(classes.select("f", "n"), "f")
+    place = F.row_number().over(W.partitionBy("f", F.pmod("key", F.lit(2))).orderBy(F.desc("held"), "key"))
+    entered = held.withColumn("place", place).where(F.col("place") > skipped(F.col("n"), F.col("key"), least)).select("key", "f")
+    ends = W.partitionBy("key")
+    return entered.select("key", "f", F.min("f").over(ends).alias("low"), F.max("f").over(ends).alias("high"), F.count(F.lit(1)).over(ends).alias("rows")).where("low <> high")
+
+
 def sketch(s: np.ndarray) -> np.ndarray:
     """The parity sketch of 512 bits as 8 longs."""
     odd = np.bincount((s & np.uint64(SKETCH_BITS - 1)).astype(np.int64), minlength=SKETCH_BITS) & 1
@@ -110,10 +133,7 @@ def jaccard_groups(df: DataFrame, width: int = 4, least: int = 85, id_col: str =
     base = cut(full.drop("keys"))
     classes = cut(classes_of(base))
     each = full.join(classes.select("f", "id"), ["f", "id"], "left_semi").select("f", F.explode("keys").alias("key"))
-    # An entry's share of all rows is at most that of one document in one of its many chunks.
-    ends = W.partitionBy("key")
-    shared = each.select("key", "f", F.min("f").over(ends).alias("low"), F.max("f").over(ends).alias("high"), F.count(F.lit(1)).over(ends).alias("rows"))
-    shared = cut(shared.where("low <> high"))
+    shared = cut(meeting(each, classes, least))
     discard(full)  # the entries are the larger part of it
     out = grouped(df, base, classes, shared, close(least), width, least, id_col, text_col)
     return out.select(F.col("id").alias(id_col), "n_shingles", "component_id")

@@ -67,20 +67,29 @@ def test_negatives_beyond_doubles(spark):
     assert sorted(tuple(x) for x in negatives.mine(df, every=10).collect()) == want and want
 
 
-def test_sketches_meet_every_link():
-    """Sets at the edge of the similarity share an entry, and their sketches never differ in more bits than the sets in shingles."""
+def test_sketches_meet_every_link(spark):
+    """Sets at the edge of the similarity meet, whatever else shares their chunks, and their sketches never differ in more bits than the sets in shingles."""
     r = np.random.default_rng(7)
+    sets, links = [], []
+    common = [r.integers(0, 2**64, 60, dtype=np.uint64) for _ in range(3)]
     for n in [*range(1, 40), 63, 64, 127, 128, 300, 1023, 1025, 4000]:
-        for _ in range(20):
-            a = np.unique(r.integers(0, 2**64, n, dtype=np.uint64))
-            m = parity.most_apart(n, n, 85)
-            gone, more = int(r.integers(0, m + 1)), int(r.integers(0, m + 1))
-            b = np.unique(np.concatenate([r.permutation(a)[gone:], r.integers(0, 2**64, more, dtype=np.uint64)]))
+        for i in range(8):
+            a = np.unique(np.concatenate([r.integers(0, 2**64, n, dtype=np.uint64), common[i % 3][: n // 2]]))
+            m = parity.most_apart(len(a), len(a), 85)
+            b = np.unique(np.concatenate([r.permutation(a)[int(r.integers(0, m + 1)) :], r.integers(0, 2**64, int(r.integers(0, m + 1)), dtype=np.uint64)]))
             both = len(np.intersect1d(a, b))
             bits = int(np.bitwise_count((parity.sketch(a) ^ parity.sketch(b)).view(np.uint64)).sum())
             assert bits <= len(a) + len(b) - 2 * both
-            if both < n and 100 * both >= 85 * (len(a) + len(b) - both):
-                assert np.intersect1d(parity.entries_of(a, 85), parity.entries_of(b, 85)).size
+            if 0 < both < max(len(a), len(b)) and 100 * both >= 85 * (len(a) + len(b) - both):
+                links.append((len(sets), len(sets) + 1))
+            sets += [a, b]
+    rows = [(int(k), f) for f, s in enumerate(sets) for k in parity.entries_of(s, 85).view(np.int64)]
+    each = spark.createDataFrame(rows, "key long, f long")
+    classes = spark.createDataFrame([(f, len(s)) for f, s in enumerate(sets)], "f long, n long")
+    met = {}
+    for x in parity.meeting(each, classes, 85).collect():
+        met.setdefault(x["f"], set()).add(x["key"])
+    assert len(links) > 60 and all(met.get(a, set()) & met.get(b, set()) for a, b in links) and sum(map(len, met.values())) < 0.5 * len(rows)
 
 
 def test_jaccard_of_families_and_odd_rows(spark):
