@@ -135,7 +135,7 @@ _DATE, _STAMP = r"^\d{4}-\d{2}-\d{2}$", r"^\d{4}-\d{2}-\d{2}[ T]\d{2}:\d{2}(:\d{
 
 
 def _long(c: Column) -> Column:
-    return F.regexp_replace(F.trim(c), r"\.0*$", "").try_cast("bigint")
+    return F.when(c.contains("."), F.regexp_replace(F.trim(c), r"\.0*$", "")).otherwise(F.trim(c)).try_cast("bigint")
 
 
 def _same_double(c: Column) -> Column:
@@ -147,7 +147,7 @@ def _same_double(c: Column) -> Column:
 
 def lossless(df: DataFrame, names: list[str] | None = None, layout: str | None = None) -> DataFrame:
     """Types text columns: the first of bigint, double, date, timestamp that fits every value of all rows without
-    changing any; values with leading zeros keep a column text.  One aggregate over all columns decides.
+    changing any; values with leading zeros keep a column text.  One aggregate over all columns decides, after one over the first rows.
     layout: one pattern that dates are written in, tried beside the usual two."""
     return typed(df, names, layout)[0]
 
@@ -159,22 +159,32 @@ def typed(df: DataFrame, names: list[str] | None = None, layout: str | None = No
     stamp = lambda c: F.when(c.rlike(_STAMP) | c.rlike(_DATE), c.try_cast("timestamp"))
     given = lambda c: F.try_to_timestamp(F.trim(c), F.lit(layout))
     midnight = lambda c: F.date_trunc("day", given(c)) == given(c)
-    forms = [("a", lambda c: c.rlike(_WHOLE) & _long(c).isNotNull(), _long), ("b", lambda c: c.rlike(_REAL) & _same_double(c), lambda c: F.trim(c).try_cast("double")), ("c", lambda c: day(c).isNotNull(), day), ("d", lambda c: stamp(c).isNotNull(), stamp)]
+    real = lambda c: F.when(F.length(c) <= 15, F.abs(F.trim(c).try_cast("double")) < float("inf")).otherwise(_same_double(c))
+    # What is behind `when` runs for values of the right shape only.
+    forms = [("a", lambda c: F.when(c.rlike(_WHOLE), _long(c).isNotNull()), _long), ("b", lambda c: F.when(c.rlike(_REAL), real(c)), lambda c: F.trim(c).try_cast("double")), ("c", lambda c: day(c).isNotNull(), day), ("d", lambda c: stamp(c).isNotNull(), stamp)]
     if layout:
         forms += [("e", lambda c: F.coalesce(midnight(c), F.lit(False)), lambda c: given(c).cast("date")), ("f", lambda c: given(c).isNotNull(), given)]
-    aggs = [F.count(F.lit(1)).alias("rows")]
     both = lambda t: F.coalesce(day_month(t, True) != day_month(t, False), F.lit(False))
-    for i, n in enumerate(names):
-        c = col(df, n)
-        aggs.append(F.count(F.when(c.rlike(r"^\s*\d{1,2}[/.-]\d{1,2}[/.-]\d{2}"), F.when(both(F.trim(c)), 1))).alias(f"m{i}"))
-        aggs += [F.count(c).alias(f"n{i}"), F.count(F.when(c.rlike("^[+-]?0[0-9]"), 1)).alias(f"z{i}")]
-        aggs += [F.count(F.when(c.isNotNull() & ~F.coalesce(fits(c), F.lit(False)), 1)).alias(f"{k}{i}") for k, fits, _ in forms]
-    row = df.agg(*aggs).first()
-    out = {}
-    for i, n in enumerate(names):
-        for k, _, make in forms if row[f"n{i}"] else []:
-            if not row[f"{k}{i}"] and (k in "cdef" or not row[f"z{i}"]):
-                out[n] = make(col(df, n))
-                break
+
+    def test(rows: DataFrame, kinds: list[str], dates: bool) -> dict:
+        """Rows, filled cells (n), leading zeros (z), dates of two readings (m), and of each type asked for a column the cells that do not fit."""
+        aggs = [F.count(F.lit(1)).alias("rows")]
+        for i, n in enumerate(names):
+            c = col(df, n)
+            aggs += [F.count(c).alias(f"n{i}"), F.count(F.when(c.rlike("^[+-]?0[0-9]"), 1)).alias(f"z{i}")]
+            aggs += [F.count(F.when(c.rlike(r"^\s*\d{1,2}[/.-]\d{1,2}[/.-]\d{2}"), F.when(both(F.trim(c)), 1))).alias(f"m{i}")] * dates
+            aggs += [F.count(F.when(c.isNotNull() & ~F.coalesce(fits(c), F.lit(False)), 1)).alias(f"{k}{i}") for k, fits, _ in forms if k in kinds[i]]
+        return rows.agg(*aggs).first().asDict()
+
+    def possible(row: dict, kinds: list[str]) -> list[str]:
+        return ["".join(k for k in kinds[i] if not row[f"{k}{i}"] and (k in "cdef" or not row[f"z{i}"])) for i in range(len(names))]
+
+    # The first rows rule most types out; all rows are tested for the others.
+    every = ["".join(k for k, _, _ in forms)] * len(names)
+    kinds = possible(test(df.limit(1000), every, False), every)
+    row = test(df, kinds, True)
+    left = possible(row, kinds)
+    make = {k: f for k, _, f in forms}
+    out = {n: make[left[i][0]](col(df, n)) for i, n in enumerate(names) if row[f"n{i}"] and left[i]}
     two_ways = {n: row[f"m{i}"] for i, n in enumerate(names) if n not in out and row[f"m{i}"]}
     return df.withColumns(out) if out else df, row["rows"], two_ways

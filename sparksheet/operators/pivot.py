@@ -38,6 +38,9 @@ def field(df: DataFrame, spec: str | dict) -> Column:
     if group := spec.get("group"):
         if group not in GROUPS or kind(t) != "date":
             raise SheetError(f"cannot group {spec['column']!r} by {group!r}")
+        if isinstance(t, (T.DateType, T.TimestampNTZType)) and group != "hour":  # whole days need no clock and no zone
+            day = c.cast("date")
+            return (day if group == "day" else F.trunc(day, group)).cast(t)
         cut = F.date_trunc(group, c)
         return cut.cast("date") if isinstance(t, T.DateType) else cut.cast(t)
     if "bin" in spec and spec["bin"] is not None:

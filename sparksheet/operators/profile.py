@@ -21,6 +21,13 @@ def median_within(values: DataFrame, n: int, low: float, high: float) -> float:
     """The exact median of n values (column v, no nulls) of which it is thought to lie between two bounds.  Bounds are narrowed
     by sketches and checked by counts until few values are left between them: no task ever holds or sorts them all."""
     ranks, margin, v = ((n - 1) // 2, n // 2), NEAR, F.col("v")
+    # Mostly the first bounds are right and few different values are between them: one count of these, and of what is below, tells all.
+    side = F.when(v < low, 0).when(v > high, 2).otherwise(1)
+    held = values.groupBy(side.alias("side"), F.when(side == 1, v).alias("v")).agg(F.count(F.lit(1)).alias("k")).limit(FEW + 3).collect()
+    if len(held) <= FEW + 2:
+        below, inside = sum(r["k"] for r in held if r["side"] == 0), sorted((r["v"], r["k"]) for r in held if r["side"] == 1)
+        if below <= ranks[0] and ranks[1] < below + sum(k for _, k in inside):
+            return _middle(inside, below, ranks)
     lo, hi, below, m, kinds = -float("inf"), float("inf"), 0, n, n
     for _ in range(12):
         inside = F.when(v.between(low, high), v)
@@ -37,7 +44,12 @@ def median_within(values: DataFrame, n: int, low: float, high: float) -> float:
         return values.agg(F.median("v")).first()[0]
     if lo == hi:
         return lo
-    held, seen, found = sorted(map(tuple, values.where(v.between(lo, hi)).groupBy("v").count().collect())), below, []
+    return _middle(sorted(map(tuple, values.where(v.between(lo, hi)).groupBy("v").count().collect())), below, ranks)
+
+
+def _middle(held: list[tuple[float, int]], seen: int, ranks: tuple[int, int]) -> float:
+    """Of values in order with their counts, of which the first has rank `seen`, the mean of those of two ranks."""
+    found = []
     for x, k in held:
         found += [x for r in ranks if seen <= r < seen + k]
         seen += k
@@ -51,7 +63,7 @@ def summary(df: DataFrame, name: str) -> DataFrame:
     if kind(df.schema[name].dataType) == "number":
         d = c.cast("double")
         ranked = F.when(F.isnan(d), float("inf")).otherwise(d)  # as the greatest, like everywhere
-        made = df.agg(*base, *[finite(f(d)).alias(n) for n, f in (("sum", F.sum), ("average", F.avg), ("minimum", F.min), ("maximum", F.max))], F.percentile_approx(ranked, [0.5 - NEAR, 0.5 + NEAR], 10_000).alias("near"))
+        made = df.agg(*base, *[finite(f(d)).alias(n) for n, f in (("sum", F.sum), ("average", F.avg), ("minimum", F.min), ("maximum", F.max))], F.percentile_approx(ranked, [0.5 - NEAR, 0.5 + NEAR], 2_000).alias("near"))
         row = made.first()
         middle = median_within(df.select(ranked.alias("v")).where("v is not null"), row["count"], *row["near"]) if row["count"] else None
         middle = None if middle is None or abs(middle) == float("inf") or middle != middle else middle
