@@ -9,7 +9,7 @@ from . import adhoc, sinks
 from .functions.convert import failures, lossless, preview, samples
 from .operators import clean, paging, pivot, predicates, profile
 from .scratch import fresh_path
-from .sources import text, workbook
+from .sources import folder, text, workbook
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -239,6 +239,21 @@ def _rejects(spark: SparkSession, d: str) -> DataFrame:
 QUERIES["source_rejects"], ORACLES["source_rejects"] = _rejects, "SELECT count(*) AS rejected, array_to_string(list_slice(list(c_custkey + 1 ORDER BY c_custkey), 1, 5), ',') AS lines FROM customer WHERE c_custkey % 9 = 4"
 
 
+def _folder(spark: SparkSession, d: str) -> DataFrame:
+    """Customers in three files: UTF-8 with commas, windows-1252 with semicolons and other columns first, UTF-8 with tabs and a column more."""
+    at, df = fresh_path(spark, "folder"), spark.read.parquet(f"{d}/customer.parquet")
+    key, name = F.col("c_custkey").cast("string"), F.concat(F.lit("Café "), F.col("c_name"))
+    kinds = [("key,name", F.concat_ws(",", key, name)), ("NAME;key", F.encode(F.concat_ws(";", name, key), "ISO-8859-1").cast("string")), ("key\tname\tsegment", F.concat_ws("\t", key, name, "c_mktsegment"))]
+    for i, (head, line) in enumerate(kinds):
+        body = df.where(F.col("c_custkey") % 3 == i).select(F.lit(1).alias("n"), line.alias("value"))
+        first = spark.createDataFrame([(0, head)], "n int, value string")
+        first.unionByName(body).coalesce(1).sortWithinPartitions("n").select("value").write.mode("append").text(at)
+    return folder.read_folder(spark, at)
+
+
+QUERIES["source_folder"], ORACLES["source_folder"] = _folder, "SELECT c_custkey AS key, 'Café ' || c_name AS name, CASE WHEN c_custkey % 3 = 2 THEN c_mktsegment END AS segment FROM customer"
+
+
 def _roundtrip(form: str):
     def run(spark: SparkSession, d: str) -> DataFrame:
         path, df = fresh_path(spark, "export"), spark.read.parquet(f"{d}/customer.parquet").select("c_custkey", "c_name", "c_acctbal")

@@ -114,3 +114,29 @@ def test_quotes_within_fields_open_nothing(spark, tmp_path):
     (tmp_path / "pipes.csv").write_text(body)
     got = [tuple(r) for r in text.read_text(spark, str(tmp_path / "pipes.csv")).orderBy("k").collect()]
     assert got == [(int(a), b) for a, b in list(csv.reader(io.StringIO(body)))[1:]]
+
+
+def test_each_file_by_its_own_verdict(spark, tmp_path, small_splits):
+    from sparksheet.functions.columns import SheetError
+    from sparksheet.sources import folder
+
+    body = lambda sep, n, extra="": "".join(f"{i}{sep}né {i}{extra}\n" for i in range(n))
+    (tmp_path / "a.csv").write_bytes(("id,name\n" + body(",", 100)).encode("utf-8-sig"))
+    (tmp_path / "b.csv").write_bytes(("\nID;Name;price\n" + body(";", 90, ";“1,5”")).encode("cp1252"))
+    (tmp_path / "c.tsv").write_bytes(("1\t2\r\n" + "3\t4\t5\r\n" * 50).encode())
+    (tmp_path / "d.csv").write_bytes(b'name|id\n"x|y"|7\nname|id\n')
+    (tmp_path / "empty.csv").write_bytes(b"")
+    seen = {r["file"].rpartition("/")[2]: (r["encoding"], r["delimiter"], r["header"], r["names"]) for r in folder.verdicts(spark, str(tmp_path)).collect()}
+    assert seen == {"a.csv": ("UTF-8", ",", True, ["id", "name"]), "b.csv": ("windows-1252", ";", True, ["ID", "Name", "price"]), "c.tsv": ("UTF-8", "\t", False, ["column1", "column2", "column3"]), "d.csv": ("UTF-8", "|", True, ["name", "id"])}
+    df = folder.read_folder(spark, str(tmp_path), all_text=True, file_col="file")
+    assert [c.lower() for c in df.columns] == ["column1", "id", "name", "column2", "column3", "price", "file"]
+    by = {}
+    for r in df.collect():
+        by.setdefault(r["file"].rpartition("/")[2], []).append(tuple(r)[:-1])
+    assert sorted(by["a.csv"], key=str) == sorted([(None, str(i), f"né {i}", None, None, None) for i in range(100)], key=str)
+    assert sorted(by["b.csv"], key=str) == sorted([(None, str(i), f"né {i}", None, None, "“1,5”") for i in range(90)], key=str)
+    assert sorted(by["c.tsv"], key=str) == sorted([("1", None, None, "2", None, None)] + [("3", None, None, "4", "5", None)] * 50, key=str)
+    assert sorted(by["d.csv"], key=str) == [(None, "7", "x|y", None, None, None), (None, "id", "name", None, None, None)]
+    (tmp_path / "w.csv").write_bytes("a,b\n1,2\n".encode("utf-16"))
+    with pytest.raises(SheetError):
+        folder.read_folder(spark, str(tmp_path))
