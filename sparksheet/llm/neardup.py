@@ -214,7 +214,7 @@ def grouped(df: DataFrame, base: DataFrame, classes: DataFrame, shared: DataFram
     facts = classes.select("f", "n", *PACKED)
     involved = shared.select("f").distinct().join(classes.select("f", "id"), "f")
     texts = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), text_of(text_col).alias("t"))
-    owners = involved.select("id").distinct()
+    owners = cut(involved.select("id").distinct())  # of known size, so that few are sent to the texts
     sets = cut(sets_of(texts.join(owners, "id", "left_semi"), width).join(involved.select("f"), "f", "left_semi").dropDuplicates(["f"]))
 
     def confirmed(pairs: DataFrame) -> DataFrame:

@@ -3,18 +3,18 @@
 A document's set of shingles becomes a bit sketch: each shingle picks one bit and flips it.  Two sketches differ in at most
 as many bits as the sets differ in shingles, and the similarity allows a pair of sizes (x, y) at most
 d = (x + y) * (100 - least) / (100 + least) different shingles.  Sketches grow with the sets: documents of one size band
-(sizes from a power of two to the next) have sketches of k chunks of 64 bits, k a fifth over the most differences in the band.
+(sizes up to a power of two, or to three quarters of one) have sketches of k chunks of 64 bits, k a fifth over the most differences in the band.
 Of two linked sketches at most d chunks differ, so k - d are equal: by pigeonhole, if each enters its d + 1 chunks
 that come first in an order which all share, they meet in one of them.  That order is by how many documents have the
 chunk, the rarest first: what many have by chance or by a common passage is not entered, and a document of which d + 1
 chunks are its own meets no other.  A document whose larger partners can lie in the next band enters there too, as cut for that band.
 
-Documents that meet are tested by sizes and by a sketch of 512 bits, then verified on their full sets.  Equal sets are one class
+Documents that meet are parted where their sizes leave a gap that no link bridges, tested by sizes and by a sketch of 512 bits, then verified on their full sets.  Equal sets are one class
 from the start, and entries that many classes share are not expanded into pairs (`neardup.grouped`).
 
 Defined cases: texts without words, null texts and rows with a null id are linked with nothing (component: own id);
 repeated rows are one class; an empty table gives no rows; other columns are ignored.  Shingles, sets and classes are
-compared by 64-bit hashes.  least must be 51 or more: a smaller similarity reaches beyond the next band.
+compared by 64-bit hashes.  least must be 76 or more: a smaller similarity reaches beyond the next band.
 """
 
 from __future__ import annotations
@@ -38,15 +38,20 @@ def most_apart(x: int, y: int, least: int) -> int:
     return (100 - least) * (x + y) // (100 + least)
 
 
-def chunk_count(band: int, least: int) -> int:
-    """How many chunks a band's sketches have."""
-    high = (1 << band) - 1
-    return -(-6 * (most_apart(high, high, least) + 1) // 5)
+def band_of(n: int) -> int:
+    """Bands of sizes in order: those of b bits, below three quarters of 2**b (even), or from there (odd)."""
+    b = n.bit_length()
+    return 2 * b + (4 * n >= 3 << b)
+
+
+def largest(band: int) -> int:
+    b = band // 2
+    return (1 << b) - 1 if band % 2 else ((3 << b) - 1) // 4
 
 
 def chunk_keys(s: np.ndarray, band: int, least: int) -> np.ndarray:
     """The chunks of a set (sorted hashes) as cut for a band, each as a hash of band, place and bits, of which the last bit tells whether the band is odd."""
-    k = chunk_count(band, least)
+    k = -(-6 * (most_apart(largest(band), largest(band), least) + 1) // 5)
     at = ((s >> np.uint64(32)) * np.uint64(k * CHUNK_BITS) >> np.uint64(32)).astype(np.int64)  # sorted, as s is
     chunk = at // CHUNK_BITS
     starts = np.flatnonzero(np.diff(chunk, prepend=-1))
@@ -59,32 +64,42 @@ def chunk_keys(s: np.ndarray, band: int, least: int) -> np.ndarray:
 def entries_of(s: np.ndarray, least: int) -> np.ndarray:
     """The chunks of a set in its own band and, where larger partners can lie there, in the next.  A set whose partners could only equal it has none."""
     n = len(s)
-    band, reach = n.bit_length(), 100 * n // least
-    out = [chunk_keys(s, band, least)] if most_apart(n, min(reach, (1 << band) - 1), least) else []
-    if reach >> band and most_apart(n, reach, least):
+    band, reach = band_of(n), 100 * n // least
+    out = [chunk_keys(s, band, least)] if most_apart(n, min(reach, largest(band)), least) else []
+    if reach > largest(band) and most_apart(n, reach, least):
         out.append(chunk_keys(s, band + 1, least))
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
 def skipped(n: Column, key: Column, least: int) -> Column:
     """How many of a set's k chunks in the band of an entry are not entered: all but the first d + 1."""
-    band = F.length(F.bin(n))
-    own = F.pmod(key, F.lit(2)) == F.pmod(band, F.lit(2))
-    high = F.call_function("shiftleft", F.lit(1).cast("long"), F.when(own, band).otherwise(band + 1)) - 1
+    bits = F.length(F.bin(n))
+    power = lambda b: F.call_function("shiftleft", F.lit(1).cast("long"), b)
+    odd = F.when(4 * n >= 3 * power(bits), 1).otherwise(0)
+    band = 2 * bits + odd + F.when(F.pmod(key, F.lit(2)) == odd, 0).otherwise(1)
+    top = power(F.floor(band / 2).cast("int"))
+    high = F.when(band % 2 == 1, top - 1).otherwise(F.floor((3 * top - 1) / 4).cast("long"))
     apart = lambda x, y: F.floor((100 - least) * (x + y) / (100 + least)).cast("long")  # noqa: E731  far below 2**53
     d = apart(n, F.least(F.floor(100 * n / least).cast("long"), high))
     return F.ceil(6 * (apart(high, high) + 1) / 5).cast("long") - d - 1
 
 
 def meeting(each: DataFrame, classes: DataFrame, least: int) -> DataFrame:
-    """each (key, f): all chunks of all sets -> key, f, low, high, rows: the entries in which sets meet, with their smallest and largest set."""
+    """each (key, f): all chunks of all sets -> key, f, low, high, rows: the entries in which sets meet, with their smallest and largest set
+    (where sizes forbid a link to one of these, the set itself stands there)."""
     # A chunk's share of all rows is at most that of one document in one of its many chunks.
     counted = each.select("key", "f", F.count(F.lit(1)).over(W.partitionBy("key")).alias("held")).where("held > 1")
     held = counted.distinct().join(classes.select("f", "n"), "f")
     place = F.row_number().over(W.partitionBy("f", F.pmod("key", F.lit(2))).orderBy(F.desc("held"), "key"))
-    entered = held.withColumn("place", place).where(F.col("place") > skipped(F.col("n"), F.col("key"), least)).select("key", "f")
-    ends = W.partitionBy("key")
-    return entered.select("key", "f", F.min("f").over(ends).alias("low"), F.max("f").over(ends).alias("high"), F.count(F.lit(1)).over(ends).alias("rows")).where("low <> high")
+    entered = held.withColumn("place", place).where(F.col("place") > skipped(F.col("n"), F.col("key"), least)).select("key", "f", "n")
+    # By size: where the next set is too large for the one before it, another entry begins.
+    in_order = W.partitionBy("key").orderBy("n", "f")
+    gap = F.when(100 * F.lag("n").over(in_order) < least * F.col("n"), 1).otherwise(0)
+    runs = entered.withColumn("gap", gap).select("key", "f", "n", F.sum("gap").over(in_order).alias("run"))
+    ends = W.partitionBy("key", "run")
+    found = runs.select("key", "run", "f", "n", F.min(F.struct("f", "n")).over(ends).alias("low"), F.max(F.struct("f", "n")).over(ends).alias("high"), F.count(F.lit(1)).over(ends).alias("rows")).where("rows > 1")
+    fits = lambda x: F.when(100 * F.least("n", x["n"]) >= least * F.greatest("n", x["n"]), x["f"]).otherwise(F.col("f"))
+    return found.select(F.xxhash64("key", "run").alias("key"), "f", fits(F.col("low")).alias("low"), fits(F.col("high")).alias("high"), "rows")
 
 
 def sketch(s: np.ndarray) -> np.ndarray:
@@ -127,12 +142,16 @@ def close(least: int):
 def jaccard_groups(df: DataFrame, width: int = 4, least: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, n_shingles long, component_id long for each row of df: linked are documents with 100 * intersection >= least * union
     of their shingle sets."""
-    if least < 51:
-        raise ValueError("least must be 51 or more")
+    if least < 76:
+        raise ValueError("least must be 76 or more")
     full = cut(sketches(df, width, least, id_col, text_col))
     base = cut(full.drop("keys"))
     classes = cut(classes_of(base))
-    each = full.join(classes.select("f", "id"), ["f", "id"], "left_semi").select("f", F.explode("keys").alias("key"))
+    # Entries of one row for each set: only sets that several rows have are looked at for this.
+    usable = full.where("f is not null and id is not null").select("f", "keys")
+    several = cut(base.where("f is not null and id is not null").groupBy("f").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("f"))
+    once = usable.join(several, "f", "left_anti").unionByName(usable.join(several, "f", "left_semi").dropDuplicates(["f"]))
+    each = once.select("f", F.explode("keys").alias("key"))
     shared = cut(meeting(each, classes, least))
     discard(full)  # the entries are the larger part of it
     out = grouped(df, base, classes, shared, close(least), width, least, id_col, text_col)
