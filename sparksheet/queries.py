@@ -273,7 +273,7 @@ for _form in ("csv", "tsv", "parquet", "jsonl"):
 
 
 def _workbooks(spark: SparkSession, d: str) -> DataFrame:
-    path, df = fresh_path(spark, "export").removeprefix("file://").removeprefix("file:"), spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", "o_orderstatus", "o_totalprice", F.col("o_orderdate").cast("date").alias("day"))
+    path, df = fresh_path(spark, "export"), spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", "o_orderstatus", "o_totalprice", F.col("o_orderdate").cast("date").alias("day"))
     sinks.write_workbooks(df, ["o_orderkey"], path, "orders", 5_000)
     return workbook.read_workbooks(spark, path)
 
