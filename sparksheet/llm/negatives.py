@@ -108,6 +108,13 @@ def products(queries: pd.DataFrame, rows: pd.DataFrame, scale: int, made):
         made.add(n)
 
 
+def framed(names: list[str], parts: list[tuple]) -> pd.DataFrame:
+    """One frame of many parts: tuples of columns, of which the last is an array and others are arrays or one value for all its rows."""
+    sizes = [len(p[-1]) for p in parts]
+    columns = [np.concatenate([np.broadcast_to(p[i], n) for p, n in zip(parts, sizes, strict=True)]) if parts else np.zeros(0, np.int64) for i in range(len(names))]
+    return pd.DataFrame(dict(zip(names, columns, strict=True)))
+
+
 def tiles(visits: DataFrame, blocks: DataFrame, key: list[str], query_rows: int, meet, out: str) -> DataFrame:
     """meet(visits, rows) for each block (by key) and at most about query_rows of its visits."""
     load = visits.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / query_rows).cast("int").alias("parts"))
@@ -157,11 +164,11 @@ def mine(df: DataFrame, every: int = 50, positives: int = 5, negatives: int = 3,
     hashed = lambda: F.pmod(F.xxhash64(F.lit(7), F.col("query")), F.col("blocks")).cast("int")
 
     def meet_own(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        out, ids = [], b["id"].to_numpy()
+        out, ids, names = [], b["id"].to_numpy(), a["query"].tolist()
         for i, at, scores in products(a, b, scale, made):
             top = best(scores, ids[at], positives)
-            out.append(pd.DataFrame({"query": a["query"].iat[i], "id": ids[at[top]], "score": scores[top]}))
-        return pd.concat(out, ignore_index=True) if out else pd.DataFrame({"query": [], "id": [], "score": []})
+            out.append((names[i], ids[at[top]], scores[top]))
+        return framed(["query", "id", "score"], out)
 
     # Positives: cells by label, bucket and coordinate.
     key = ["label", "bucket", "side"]
@@ -184,15 +191,17 @@ def mine(df: DataFrame, every: int = 50, positives: int = 5, negatives: int = 3,
 
     def meet_others(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         out, ids, labels = [], b["id"].to_numpy(), b["label"].to_numpy()
+        names, own_labels, asked_ranges = a["query"].tolist(), a["label"].tolist(), a["ranges"].tolist()
         for i, at, scores in products(a, b, scale, made):
-            other = labels[at] != a["label"].iat[i]
+            other = labels[at] != own_labels[i]
             at, scores = at[other], scores[other]
-            for r in a["ranges"].iat[i]:
+            for r in asked_ranges[i]:
                 inside = (scores >= r["lo"]) & (scores <= r["hi"])
                 own, top = ids[at[inside]], scores[inside]
-                pick = best(top, own, negatives)
-                out.append(pd.DataFrame({"query": a["query"].iat[i], "place": r["place"], "id": own[pick], "score": top[pick]}))
-        return pd.concat(out, ignore_index=True) if out else pd.DataFrame({"query": [], "place": [], "id": [], "score": []})
+                if len(top):
+                    pick = best(top, own, negatives)
+                    out.append((names[i], r["place"], own[pick], top[pick]))
+        return framed(["query", "place", "id", "score"], out)
 
     key = ["bucket", "side"]
     blocks, cells = in_blocks(rows.select("id", "v", "norm", "share", "label", "bucket", "side"), key, block_rows)
