@@ -89,8 +89,9 @@ def word_ids(path: str) -> WordIds:
 PIECES = [("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())]
 
 
-def tokenize(df: DataFrame, tokenizer: str, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text", ids: bool = False) -> DataFrame:
-    """Pieces of at most `capacity` tokens: id_col, piece, start, length, ids_crc32, and with ids=True their ids."""
+def tokenize(df: DataFrame, tokenizer: str, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text", ids: bool = False, keep: bool = True) -> DataFrame:
+    """Pieces of at most `capacity` tokens: id_col, piece, start, length, ids_crc32, and with ids=True their ids.
+    keep=False: workers forget the tokenizer and its words with each task, which leaves their memory to what runs beside and after it."""
     kind = df.schema[id_col].dataType.simpleString()
     step = 4 * capacity
 
@@ -109,6 +110,8 @@ def tokenize(df: DataFrame, tokenizer: str, capacity: int = 2048, id_col: str =
             out = batch(PIECES, list(zip(*rows, strict=True)))
             columns = [b.column(0).take(pa.array(index)), *out.columns] + ([pa.array(parts, pa.list_(pa.int32()))] if ids else [])
             yield pa.RecordBatch.from_arrays(columns, names=[id_col, *out.schema.names] + ["ids"] * ids)
+        if not keep:
+            _known.pop(tokenizer, None)
 
     schema = f"`{id_col}` {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * ids
     return df.select(F.col(f"`{id_col}`"), text_of(text_col).alias("t")).mapInArrow(tidily(run), schema)
