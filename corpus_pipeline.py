@@ -46,7 +46,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of at most 2048 tokens."""
-    return packing.pack(packing.tokenize(docs, tokenizer_path(spark)))
+    return packing.pack(packing.tokenize(docs, tokenizer_path(spark), keep=False))
 
 
 STAGES = [("quality", quality_filter), ("lines", line_dedup), ("near_duplicates", near_dedup), ("mixing", mix_sources), ("packing", pack_sequences)]
