@@ -2,7 +2,7 @@
 
 Two lines within `threshold` edits: cut one into threshold + 1 segments, and the other holds one of them unchanged, at
 most `threshold` places off.  So every different line of at least `min_chars` characters is entered under its segments
-(with length and segment number), and every line probes the substrings that can match a segment of a line of its own or
+(with length and segment number), and every such line probes the substrings that can match a segment of a line of its own or
 a smaller length; the places to probe follow from the edits left on either side.  Lines that meet are verified with a
 banded bit-parallel edit distance.  Hashes of all segments and substrings come from one rolling hash over a batch.
 
@@ -12,9 +12,13 @@ most this one character, so all of them are linked to the smallest; a line that
 lines it remains of.  These are all pairs at one edit, up to links that follow.  This holds for threshold 1, the default;
 with a larger threshold wide entries are compared pair by pair (exact, but quadratic in an entry).
 
-Linked lines and equal lines are one class; the first row of a class (smallest id, then line) stays, later lines go.
+Shorter lines are repeats only of equal ones: one edit makes another word of them.  Blank lines (nothing but blanks and
+control characters) part paragraphs and always stay.
 
-Defined cases: null texts count as empty; shorter lines always stay; a text of which all lines go becomes empty, its
+Linked lines and equal lines are one class, equal ones being told by a hash of 64 bits; the first row of a class (smallest
+id, then line) stays, later lines go.
+
+Defined cases: null texts count as empty; a text of which all lines go becomes empty, its
 row stays; rows of equal id are one owner, each losing its own repeats; rows with a null id stay as they are; an empty
 table gives no rows; other columns stay, but those named n_lines, n_removed or removed are replaced.
 """
@@ -104,6 +108,11 @@ class Lines:
     def hashes(self) -> np.ndarray:
         return mix(self.roll.raw(self.lo, self.hi) ^ mix((self.hi - self.lo).astype(np.uint64)))
 
+    def blank(self) -> np.ndarray:
+        """Whether a line has no character beyond U+0020."""
+        shown = np.concatenate([[0], np.cumsum(self.codes > 32)])
+        return shown[self.hi] == shown[self.lo]
+
     def segments(self, less: int, i: int, shift: int, threshold: int) -> tuple[np.ndarray, np.ndarray]:
         """Each line's key for segment i of lines that are `less` shorter, read `shift` places off, and whether that lies inside the line."""
         size = self.hi - self.lo - less
@@ -115,7 +124,8 @@ class Lines:
 
 
 def line_rows(df: DataFrame, threshold: int, min_chars: int) -> DataFrame:
-    """id, line, f (the line's hash), e0.. (its segments), p0.. (its probes; null where there is none)."""
+    """id, line, f (the line's hash), e0.. (its segments), p0.. (its probes; null where there is none) of all lines that are not blank.
+    Those of fewer than min_chars characters have neither segments nor probes."""
     probes = plan(threshold)
     names = ["f", *[f"e{i}" for i in range(threshold + 1)], *[f"p{i}" for i in range(len(probes))]]
 
@@ -124,11 +134,12 @@ def line_rows(df: DataFrame, threshold: int, min_chars: int) -> DataFrame:
             texts = b.column(1).to_pylist()
             for lo, hi in batches_of(texts):
                 x = Lines(texts[lo:hi])
-                keep = np.flatnonzero(x.hi - x.lo >= min_chars)
+                keep = np.flatnonzero(~x.blank())
+                short = (x.hi - x.lo)[keep] < min_chars
                 cols = [pa.array(x.hashes()[keep].view(np.int64))]
                 for k in [(0, i, 0) for i in range(threshold + 1)] + probes:
                     keys, fits = x.segments(*k, threshold)
-                    cols.append(pa.array(keys[keep].view(np.int64), mask=~fits[keep]))
+                    cols.append(pa.array(keys[keep].view(np.int64), mask=short | ~fits[keep]))
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(x.text[keep] + lo)), pa.array(x.number[keep].astype(np.int32)), *cols], names=["id", "line", *names])
 
     return df.mapInArrow(tidily(run), "id long, line int, " + ", ".join(f"{n} long" for n in names))

@@ -179,12 +179,12 @@ def test_lines(spark, docs, odd, none, threshold, wide):
         s = list(base)
         for _ in range(r.integers(0, 3)):
             s[r.integers(0, len(s))] = "xyz"[r.integers(0, 3)]
-        made.append((i, "".join(s) + "\nshort\n" + base[: 30 + i % 12]))
+        made.append((i, "".join(s) + f"\nshort\n\n \t\nshor{i % 3}\n" + base[: 30 + i % 12]))
     df = spark.createDataFrame(made, "doc_id long, text string").union(docs.limit(40).selectExpr("doc_id + 1000", "text"))
-    rows = sorted((x["doc_id"], k, s) for x in df.collect() for k, s in enumerate((x["text"] or "").split("\n")) if len(s) >= 20)
+    rows = sorted((x["doc_id"], k, s) for x in df.collect() for k, s in enumerate((x["text"] or "").split("\n")) if s.strip())
     different = sorted({s for *_, s in rows})
     label = {s: s for s in different}
-    pairs = [(a, b) for i, a in enumerate(different) for b in different[i + 1 :] if abs(len(a) - len(b)) <= threshold and distance(a, b) <= threshold]
+    pairs = [(a, b) for i, a in enumerate(different) for b in different[i + 1 :] if min(len(a), len(b)) >= 20 and abs(len(a) - len(b)) <= threshold and distance(a, b) <= threshold]
     for _ in range(len(different)):
         before = dict(label)
         for a, b in pairs:

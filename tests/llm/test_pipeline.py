@@ -38,14 +38,15 @@ def test_quality(spark, stages):
 def test_lines(stages):
     given, kept = stages["lines"]
     before, after = rows(given), rows(kept)
-    each = sorted((i, k, s) for i, r in before.items() for k, s in enumerate((r["text"] or "").split("\n")) if len(s) >= 20)
+    each = sorted((i, k, s) for i, r in before.items() for k, s in enumerate((r["text"] or "").split("\n")) if s.strip())
     different = sorted({s for *_, s in each}, key=len)
     label, at = {s: s for s in different}, 0
     links = []
     for i, s in enumerate(different):
         while len(different[at]) < len(s) - 1:
             at += 1
-        links += [(s, different[at + j]) for j in np.flatnonzero(lines.edits_within([s] * (i - at), different[at:i], 1))]
+        if len(s) >= 20:
+            links += [(s, different[at + j]) for j in np.flatnonzero(lines.edits_within([s] * (i - at), different[at:i], 1)) if len(different[at + j]) >= 20]
     for _ in different:
         was = dict(label)
         for x, y in links:
