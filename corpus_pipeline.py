@@ -27,7 +27,7 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines repeated within one edit go, but for the first; a document left without lines stays as an empty one."""
+    """Lines repeated within one edit (short ones: exactly) go, but for the first; a document left without lines stays as an empty one."""
     aside = {c: free_name(docs, f"own_{c}") for c in docs.columns if c.lower() in ("n_lines", "n_removed", "removed")}  # the caller's columns of the operator's names
     clean = lines.dedup_lines(docs.withColumnsRenamed(aside))
     n_chars = F.when(F.col("n_removed") > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
