@@ -209,3 +209,13 @@ def test_frequent_values(spark, monkeypatch, tracked, candidates):
     for i, name in enumerate("abcde"):
         counts = Counter(None if row[i] is None else str(row[i]) for row in rows)
         assert got[name] == set(sorted(counts.items(), key=lambda x: (-x[1], x[0] is None, x[0] or ""))[:10]), name
+
+
+def test_wide_keys_times_a_factor_are_exact(spark, tmp_path):
+    """Products beyond 64 bits: the keys of larger tables times 10**13."""
+    from sparksheet import queries
+
+    keys = [0, 150_000, 922_338, 8_999_999, 54_000_000, None]
+    spark.createDataFrame([(k,) for k in keys], "o_orderkey long").write.parquet(str(tmp_path / "orders.parquet"))
+    got = {r["o_orderkey"]: r["big"] for r in queries.QUERIES["precision_guard"](spark, str(tmp_path)).collect()}
+    assert got == {k: None if k is None else str(k * 10**13) for k in keys}
