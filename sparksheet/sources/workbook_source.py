@@ -41,9 +41,10 @@ def opens(path: str) -> bool:
 
 
 @dataclass
-class SheetPart(InputPartition):
-    file: str
-    sheet: str | None
+class SheetParts(InputPartition):
+    """What one task reads: sheets by (file, sheet or null)."""
+
+    sheets: list[tuple[str, str | None]]
 
 
 @dataclass
@@ -54,36 +55,45 @@ class Written(WriterCommitMessage):
 
 
 class SheetReader(DataSourceReader):
-    """options: sheets, a list of (file, sheet or null) in JSON; head, 1 for the first rows alone."""
+    """options: sheets, a list of (file, sheet or null) in JSON; tasks, how many share them at most; head, 1 for the first rows alone."""
 
     def __init__(self, options: dict):
         self.sheets, self.head = json.loads(options["sheets"]), options.get("head") == "1"
+        self.tasks = int(options.get("tasks", len(self.sheets)))
+
+    def __getstate__(self) -> dict:
+        """Each task gets the reader beside its own part, so not the list of all files."""
+        return {**self.__dict__, "sheets": []}
+
+    def partitions(self) -> list[SheetParts]:
+        return [SheetParts(self.sheets[i :: self.tasks]) for i in range(min(self.tasks, len(self.sheets)))]
 
-    def partitions(self) -> list[SheetPart]:
-        return [SheetPart(file, sheet) for file, sheet in self.sheets]
+    def read(self, partition: SheetParts) -> Iterator[pa.RecordBatch]:
+        for file, sheet in partition.sheets:
+            yield from self._one(file, sheet)
 
-    def read(self, partition: SheetPart) -> Iterator[pa.RecordBatch]:
+    def _one(self, file: str, sheet: str | None) -> Iterator[pa.RecordBatch]:
         from .workbook import sheet_rows
 
-        store, at = store_of(partition.file)
+        store, at = store_of(file)
         with store.open_input_file(at) as f:
-            rows = enumerate(sheet_rows(f, partition.sheet))
+            rows = enumerate(sheet_rows(f, sheet))
             while part := list(itertools.islice(rows, 1 if self.head else BATCH)):
                 places, cells = zip(*part, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array([partition.file] * len(part)), pa.array(places, pa.int64()), pa.array(cells, pa.list_(pa.string()))], names=["file", "at", "cells"])
+                yield pa.RecordBatch.from_arrays([pa.array([file] * len(part)), pa.array(places, pa.int64()), pa.array(cells, pa.list_(pa.string()))], names=["file", "at", "cells"])
                 if self.head:
                     break
 
 
 class PartsWriter(DataSourceArrowWriter):
-    """options: folder, stem, style, parts, job.  Rows have their part's number first; a part's rows come in order, to one task."""
+    """options: folder, stem, style, parts, job.  Rows have their part's number first; a part's rows come in order and together, to one task."""
 
     def __init__(self, options: dict):
         self.folder, self.stem, self.style, self.parts = options["folder"], options["stem"], options["style"], int(options["parts"])
         self.aside = posixpath.join(self.folder, f"_writing-{options['job']}")
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
-        from ..sinks import part_name, save_workbook
+        from ..sinks import cells_of, part_name, save_rows
 
         store, aside = store_of(self.aside)
         names: list[str] = []
@@ -92,8 +102,8 @@ class PartsWriter(DataSourceArrowWriter):
             for b in iterator:
                 names[:] = b.schema.names[1:]
                 for i in range(0, b.num_rows, 1000):
-                    for r in zip(*[c.to_pylist() for c in b.slice(i, 1000).columns], strict=True):
-                        yield r[0], r[1:]
+                    part, *columns = b.slice(i, 1000).columns
+                    yield from zip(part.to_pylist(), map("".join, zip(*map(cells_of, columns), strict=True)), strict=True)
 
         done = []
         for part, group in itertools.groupby(rows(), key=lambda r: r[0]):
@@ -101,7 +111,7 @@ class PartsWriter(DataSourceArrowWriter):
             at = f"{aside}/{uuid.uuid4().hex}.xlsx"
             store.create_dir(aside, recursive=True)
             with store.open_output_stream(at) as out:
-                save_workbook(out, names, (r for _, r in group))
+                save_rows(out, names, (r for _, r in group))
             done.append((at, name))
         return Written(done)
 
@@ -130,7 +140,9 @@ class Workbooks(DataSource):
         return CELLS
 
     def reader(self, schema) -> SheetReader:
-        return SheetReader(self.options)
+        out = SheetReader(self.options)
+        self.options = {}  # tasks get the source too
+        return out
 
     def writer(self, schema, overwrite: bool) -> PartsWriter:
         return PartsWriter(self.options)

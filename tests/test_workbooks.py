@@ -90,3 +90,50 @@ def test_files_that_only_spark_opens(spark, tmp_path, monkeypatch):
         book(tmp_path / f"{k}.xlsx", {"S": cells("id") + cells(k)})
     monkeypatch.setattr(workbook.workbook_source, "opens", lambda path: False)
     assert sorted(r["id"] for r in workbook.read_workbooks(spark, str(tmp_path)).collect()) == [0, 1]
+
+
+def test_many_workbooks_share_tasks(spark, tmp_path, monkeypatch):
+    """Tasks take several small files each, and none gets the list of all of them."""
+    import pickle
+
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(sinks, "PARTS_ALONE", 4)
+    monkeypatch.setattr(workbook, "FILES_ALONE", 4)
+    df = spark.range(400).select("id", F.concat(F.lit("<&> "), "id").alias("note"))
+    done = sinks.write_workbooks(df, ["id"], str(tmp_path / "out"), "t", 4).orderBy("part").collect()
+    assert [r["rows"] for r in done] == [4] * 100
+    files = workbook._files(spark, str(tmp_path / "out"))
+    cells = workbook._cells(spark, str(tmp_path / "out"), None, files)
+    assert len(files) == 100 and cells.rdd.getNumPartitions() == max(4, 3 * spark.sparkContext.defaultParallelism)
+    assert sorted(map(tuple, workbook.read_workbooks(spark, str(tmp_path / "out")).collect())) == [(i, f"<&> {i}") for i in range(400)]
+    sizes = []
+    for n in (10, 1000):
+        source = workbook.workbook_source.Workbooks({"sheets": str([[f"/{i}.xlsx", "S"] for i in range(n)]).replace("'", '"'), "tasks": "5"})
+        reader = source.reader(None)
+        sizes.append(len(pickle.dumps((source, reader))))
+        assert sorted(x for p in reader.partitions() for x, _ in p.sheets) == sorted(f"/{i}.xlsx" for i in range(n))
+    assert sizes[0] == sizes[1]
+
+
+def test_odd_cells_are_read_as_written(tmp_path):
+    """Prefixed names, comments, character data sections, phonetic hints, cells without values or places."""
+    rows = '<x:row xmlns:x="u"><x:c r="A1"><!-- no --><x:v>1</x:v></x:c><x:c r="C1" t="str"><x:f>A1</x:f><x:v><![CDATA[a<b]]>&amp;c</x:v></x:c></x:row>'
+    rows += '<row><c t="inlineStr"><is><r><t>a</t></r><rPh sb="0" eb="1"><t>hint</t></rPh><r><rPr><b/></rPr><t xml:space="preserve"> b</t></r></is></c><c t="inlineStr"/><c t="n"><v>1E3</v></c><c t="b"><v>0</v></c><c t="str"><v></v></c><c t="e"><v>#N/A</v></c></row>'
+    rows += '<row><c r="AB3" s="1"><v>45366.5</v></c><c r="AB3" s="0"><v>-2.50</v></c></row><row><c t="inlineStr"><is><t>  </t></is></c></row>'
+    book(tmp_path / "odd.xlsx", {"S": rows}, '<cellXfs><xf/><xf numFmtId="22"/></cellXfs>')
+    got = list(workbook.sheet_rows(str(tmp_path / "odd.xlsx"), None))
+    assert got == [["1", None, "a<b&c"], ["a b", None, "1000.0", "FALSE", None, "#N/A"], [None] * 27 + ["2024-03-15 12:00:00", "-2.50"]]
+
+
+def test_columns_of_cells_equal_single_cells():
+    import decimal
+    import math
+
+    import pyarrow as pa
+
+    day, at = datetime.date, datetime.datetime
+    columns = [pa.array([1, None, -(2**63)], pa.int64()), pa.array([0.1, math.nan, math.inf, -0.0, 1e300, None]), pa.array(["a<b>&\x01\uffff", "", " x ", None]), pa.array([day(1900, 3, 1), day(1900, 2, 28), day(1, 1, 1), day(9999, 12, 31), None])]
+    columns += [pa.array([True, None, False]), pa.array([decimal.Decimal("1.50"), None]), pa.array([at(2024, 1, 2, 3, 4, 5), at(1899, 1, 1), None])]
+    for c in columns:
+        assert sinks.cells_of(c) == [sinks.cell(v) for v in c.to_pylist()]
