@@ -1,13 +1,14 @@
 """Jaccard join of documents' word shingles by parity sketches.
 
-A document's set of shingles becomes a bit sketch: each shingle picks one bit and flips it.  Two sketches differ in at most
-as many bits as the sets differ in shingles, and the similarity allows a pair of sizes (x, y) at most
-d = (x + y) * (100 - least) / (100 + least) different shingles.  Sketches grow with the sets: documents of one size band
-(sizes up to a power of two, or to three quarters of one) have sketches of k chunks of 64 bits, k a fifth over the most differences in the band.
-Of two linked sketches at most d chunks differ, so k - d are equal: by pigeonhole, if each enters its d + 1 chunks
+A document's set of shingles is cut into k chunks by a hash of each shingle, and each chunk is kept as the parity of its shingles' 64-bit
+hashes: each shingle flips its own pattern of bits.  A shingle that one of two sets lacks changes one chunk, and the similarity
+allows a pair of sizes (x, y) at most d = (x + y) * (100 - least) / (100 + least) different shingles.  The number of chunks grows with the sets:
+documents of one size band (sizes up to a power of two, or to three quarters of one) have k, a fifth over the most differences in the band.
+Of two linked sets at most d chunks differ, so k - d are equal: by pigeonhole, if each enters its d + 1 chunks
 that come first in an order which all share, they meet in one of them.  That order is by how many documents have the
-chunk, the rarest first: what many have by chance or by a common passage is not entered, and a document of which d + 1
-chunks are its own meets no other.  A document whose larger partners can lie in the next band enters there too, as cut for that band.
+chunk, the rarest first: what many have by a common passage is not entered, and a document of which d + 1
+chunks are its own meets no other.  Chunks of different shingles are told apart at any number of documents (but for one pair in 2**64), so
+documents do not meet by chance more often the more there are.  A document whose larger partners can lie in the next band enters there too, as cut for that band.
 
 Documents that meet are parted where their sizes leave a gap that no link bridges, tested by sizes and by a sketch of 512 bits, then verified on their full sets.  Equal sets are one class
 from the start, and entries that many classes share are not expanded into pairs (`neardup.grouped`).
@@ -29,7 +30,6 @@ from .common import chunks, cut, discard, text_of, tidily
 from .hashing import batches_of, mix, shingle_sets
 from .neardup import PACKED, classes_of, grouped, set_hash
 
-CHUNK_BITS = 64
 SKETCH_BITS = 64 * len(PACKED)
 
 
@@ -50,13 +50,12 @@ def largest(band: int) -> int:
 
 
 def chunk_keys(s: np.ndarray, band: int, least: int) -> np.ndarray:
-    """The chunks of a set (sorted hashes) as cut for a band, each as a hash of band, place and bits, of which the last bit tells whether the band is odd."""
+    """The chunks of a set (sorted hashes) as cut for a band, each as a hash of band, place and parity, of which the last bit tells whether the band is odd."""
     k = -(-6 * (most_apart(largest(band), largest(band), least) + 1) // 5)
-    at = ((s >> np.uint64(32)) * np.uint64(k * CHUNK_BITS) >> np.uint64(32)).astype(np.int64)  # sorted, as s is
-    chunk = at // CHUNK_BITS
+    chunk = ((s >> np.uint64(32)) * np.uint64(k) >> np.uint64(32)).astype(np.int64)  # sorted, as s is
     starts = np.flatnonzero(np.diff(chunk, prepend=-1))
     bits = np.zeros(k, np.uint64)
-    bits[chunk[starts]] = np.bitwise_xor.reduceat(np.uint64(1) << (at % CHUNK_BITS).astype(np.uint64), starts)
+    bits[chunk[starts]] = np.bitwise_xor.reduceat(mix(s), starts)
     keys = mix(bits ^ mix(np.arange(k, dtype=np.uint64) + np.uint64(band << 48)))
     return keys & ~np.uint64(1) | np.uint64(band & 1)
 

@@ -173,3 +173,15 @@ def test_pipeline_keeps_the_callers_columns(spark):
     got = corpus_pipeline.line_dedup(spark, docs, SF)
     assert got.schema == docs.schema or [f.dataType for f in got.schema] == [f.dataType for f in docs.schema]
     assert got.where("n_lines <> 7 or Removed <> 'mine' or n_removed <> doc_id").isEmpty() and got.count() == docs.count()
+
+
+def test_chunks_of_different_shingles_never_meet():
+    """Sets without a common shingle share empty chunks alone, however many they are."""
+    r = np.random.default_rng(5)
+    sets = [np.sort(r.integers(0, 2**64, 180, np.uint64)) for _ in range(3000)]
+    keys = [parity.chunk_keys(s, parity.band_of(180), 85) for s in sets]
+    found, held = np.unique(np.concatenate(keys), return_counts=True)
+    empty = parity.chunk_keys(np.zeros(0, np.uint64), parity.band_of(180), 85)
+    assert len(keys[0]) == len(empty) > 20 and set(found[held > 1].tolist()) <= set(empty.tolist())
+    # One shingle more or less changes one chunk.
+    assert all((parity.chunk_keys(np.delete(s, i), parity.band_of(180), 85) != k).sum() == 1 for s, k in zip(sets[:20], keys, strict=False) for i in (0, 90, 179))
