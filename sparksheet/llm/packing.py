@@ -35,11 +35,13 @@ _BYTES = {b: 256 + i for i, b in enumerate(x for x in range(256) if x not in set
 _PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]*")
 _PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-zß-öø-ÿ0-9]+")
 
+MOST_WORDS = 220_000
+
 
 class WordIds(dict):
     """Blank-separated piece of text -> its ids as little-endian bytes.  No token of the vocabulary spans a blank, so whole texts are looked up piece by piece; the most frequent pieces come first and stay, and beyond `most` entries nothing more is kept (it is computed each time)."""
 
-    def __init__(self, path: str, most: int = 220_000):
+    def __init__(self, path: str, most: int = MOST_WORDS):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most, self.words = Tokenizer.from_file(path), most, {}
@@ -76,27 +78,28 @@ def _word_vocabulary(tokenizer) -> bool:
     return True
 
 
-_known: dict[str, WordIds] = {}
+_known: dict[tuple[str, int], WordIds] = {}
 
 
-def word_ids(path: str) -> WordIds:
+def word_ids(path: str, most: int = MOST_WORDS) -> WordIds:
     """One for each worker process, kept between its tasks.  A path that this machine lacks is looked up among the files shipped with the job (SparkContext.addFile)."""
-    if path not in _known:
-        _known[path] = WordIds(path if os.path.exists(path) else SparkFiles.get(os.path.basename(path)))
-    return _known[path]
+    if (path, most) not in _known:
+        _known[path, most] = WordIds(path if os.path.exists(path) else SparkFiles.get(os.path.basename(path)), most)
+    return _known[path, most]
 
 
 PIECES = [("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())]
 
 
-def tokenize(df: DataFrame, tokenizer: str, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text", ids: bool = False, keep: bool = True) -> DataFrame:
+def tokenize(df: DataFrame, tokenizer: str, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text", ids: bool = False, keep: bool = True, most: int = MOST_WORDS) -> DataFrame:
     """Pieces of at most `capacity` tokens: id_col, piece, start, length, ids_crc32, and with ids=True their ids.
-    keep=False: workers forget the tokenizer and its words with each task, which leaves their memory to what runs beside and after it."""
+    keep=False: workers forget the tokenizer and its words with each task, which leaves their memory to what runs beside and after it.
+    most: of how many words and blank-separated pieces a worker keeps the tokens; others are computed each time."""
     kind = df.schema[id_col].dataType.simpleString()
     step = 4 * capacity
 
     def run(batches):
-        known = word_ids(tokenizer)
+        known = word_ids(tokenizer, most)
         for b in chunks(batches):
             index, rows, parts = [], [], []
             for i, s in enumerate(b.column(1)):
@@ -111,7 +114,7 @@ def tokenize(df: DataFrame, tokenizer: str, capacity: int = 2048, id_col: str =
             columns = [b.column(0).take(pa.array(index)), *out.columns] + ([pa.array(parts, pa.list_(pa.int32()))] if ids else [])
             yield pa.RecordBatch.from_arrays(columns, names=[id_col, *out.schema.names] + ["ids"] * ids)
         if not keep:
-            _known.pop(tokenizer, None)
+            _known.pop((tokenizer, most), None)
 
     schema = f"`{id_col}` {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * ids
     return df.select(F.col(f"`{id_col}`"), text_of(text_col).alias("t")).mapInArrow(tidily(run), schema)

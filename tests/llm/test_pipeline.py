@@ -94,3 +94,21 @@ def test_packing_and_run(spark, stages):
     assert shown(corpus_pipeline.run(spark, SF)) == want
     x = packed.toPandas()
     assert (x.groupby("sequence_id")["length"].sum() <= 2048).all() and x["sequence_id"].nunique() <= x["length"].sum() / 2048 + 2
+
+
+def test_a_task_has_one_python_worker_at_a_time(spark, monkeypatch):
+    """Pieces are written down before they are packed, ids that go before they are joined; workers get few rows at once in the stages' own jobs."""
+    batch, seen, plan = "spark.sql.execution.arrow.maxRecordsPerBatch", {}, lambda df: df._jdf.queryExecution().toString()
+    given, docs, tokenize = spark.conf.get(batch), table(spark, SF, "documents").limit(20), corpus_pipeline.packing.tokenize
+
+    def noted(*args, **options):
+        seen["rows"] = spark.conf.get(batch)
+        return tokenize(*args, **options)
+
+    monkeypatch.setattr(corpus_pipeline.packing, "tokenize", noted)
+    monkeypatch.setattr(corpus_pipeline.packing, "pack", lambda pieces: pieces)
+    pieces = corpus_pipeline.pack_sequences(spark, docs, SF)
+    assert "MapInArrow" not in plan(pieces) and pieces.count() >= 20
+    assert int(seen["rows"]) <= 2000 and spark.conf.get(batch) == given
+    out = tokenize(docs, tokenizer_path(spark)).select("doc_id")
+    assert "MapInArrow" in plan(out) and "MapInArrow" not in plan(corpus_pipeline._without(docs, out))
