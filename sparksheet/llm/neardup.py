@@ -231,6 +231,7 @@ def grouped(df: DataFrame, base: DataFrame, classes: DataFrame, shared: DataFram
     labelled = lambda x: x.join(label.withColumnRenamed("node", "f"), "f", "left").withColumn("label", F.coalesce("label", "f"))
     wide = shared.where("rows > 2").select("key", "f")
     rest = cut(_apart(labelled(wide)))
+    sets = cut(sets.join(rest.select("f").distinct(), "f", "left_semi"))  # no others are needed from here on
     facts = cut(_overlaps(rest, sets).join(facts, "f"))
     able = cut(rest.select("key", "f").join(facts, "f"))
     centre = able.groupBy("key").agg(F.max(F.struct((_common() + F.col("rare")) / F.col("n"), "f")).alias("c")).select("key", F.col("c.f").alias("b"))

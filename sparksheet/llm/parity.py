@@ -10,6 +10,9 @@ chunk, the rarest first: what many have by a common passage is not entered, and
 chunks are its own meets no other.  Chunks of different shingles are told apart at any number of documents (but for one pair in 2**64), so
 documents do not meet by chance more often the more there are.  A document whose larger partners can lie in the next band enters there too, as cut for that band.
 
+The chunks are looked through in PARTS parts by their hash, one after the other, so that only one part of them is on its way at a time; what
+one set has alone goes before the next part begins.  A task writes the chunks of a set that it has several times once; what several tasks write is told by the set's hash.
+
 Documents that meet are parted where their sizes leave a gap that no link bridges, tested by sizes and by a sketch of 512 bits, then verified on their full sets.  Equal sets are one class
 from the start, and entries that many classes share are not expanded into pairs (`neardup.grouped`).
 
@@ -20,6 +23,8 @@ compared by 64-bit hashes.  least must be 76 or more: a smaller similarity reach
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -31,6 +36,9 @@ from .hashing import batches_of, mix, shingle_sets
 from .neardup import PACKED, classes_of, grouped, set_hash
 
 SKETCH_BITS = 64 * len(PACKED)
+#: So many parts of all chunks, by their hash: each is shuffled by itself.
+PARTS = 4
+KEYS = [f"keys{i}" for i in range(PARTS)]
 
 
 def most_apart(x: int, y: int, least: int) -> int:
@@ -70,6 +78,12 @@ def entries_of(s: np.ndarray, least: int) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
+def parts_of(keys: np.ndarray) -> list[np.ndarray]:
+    """Entries in PARTS parts by their first bits."""
+    part = (keys >> np.uint64(32)) * np.uint64(PARTS) >> np.uint64(32)
+    return [keys[part == i].view(np.int64) for i in range(PARTS)]
+
+
 def skipped(n: Column, key: Column, least: int) -> Column:
     """How many of a set's k chunks in the band of an entry are not entered: all but the first d + 1."""
     bits = F.length(F.bin(n))
@@ -83,12 +97,23 @@ def skipped(n: Column, key: Column, least: int) -> Column:
     return F.ceil(6 * (apart(high, high) + 1) / 5).cast("long") - d - 1
 
 
+def several(each: DataFrame) -> DataFrame:
+    """each (key, f): chunks of sets, repeated where several tasks have a set -> key, f, held: those that several sets have, once for each set, and how many have them."""
+    # A chunk's share of all rows is at most that of one document in one of its many chunks.
+    before = F.lag("f").over(W.partitionBy("key").orderBy("f"))
+    once = each.select("key", "f", before.alias("before")).where("before is null or before <> f")
+    return once.select("key", "f", F.count(F.lit(1)).over(W.partitionBy("key")).alias("held")).where("held > 1")
+
+
 def meeting(each: DataFrame, classes: DataFrame, least: int) -> DataFrame:
-    """each (key, f): all chunks of all sets -> key, f, low, high, rows: the entries in which sets meet, with their smallest and largest set
+    """each (key, f): all chunks of all sets -> the entries in which sets meet, as by `met`."""
+    return met(several(each), classes, least)
+
+
+def met(held: DataFrame, classes: DataFrame, least: int) -> DataFrame:
+    """held (key, f, held): the chunks that several sets have -> key, f, low, high, rows: the entries in which sets meet, with their smallest and largest set
     (where sizes forbid a link to one of these, the set itself stands there)."""
-    # A chunk's share of all rows is at most that of one document in one of its many chunks.
-    counted = each.select("key", "f", F.count(F.lit(1)).over(W.partitionBy("key")).alias("held")).where("held > 1")
-    held = counted.distinct().join(classes.select("f", "n"), "f")
+    held = held.join(classes.select("f", "n"), "f")
     place = F.row_number().over(W.partitionBy("f", F.pmod("key", F.lit(2))).orderBy(F.desc("held"), "key"))
     entered = held.withColumn("place", place).where(F.col("place") > skipped(F.col("n"), F.col("key"), least)).select("key", "f", "n")
     # By size: where the next set is too large for the one before it, another entry begins.
@@ -108,24 +133,29 @@ def sketch(s: np.ndarray) -> np.ndarray:
 
 
 def sketches(df: DataFrame, width: int, least: int, id_col: str, text_col: str) -> DataFrame:
-    """id, n (set size), f (the set's hash; null for an empty one), s0.. (the sketch), keys (its entries)."""
+    """id, n (set size), f (the set's hash; null for an empty one), s0.. (the sketch), keys0.. (its entries in PARTS parts, empty where the task had the set in an earlier row)."""
 
     def run(batches):
+        had: set[int] = set()
         for b in chunks(batches, 500):
-            texts = b.column(1).to_pylist()
+            ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
             n, f, packed, keys = [], [], [], []
             for lo, hi in batches_of(texts):
                 for s in shingle_sets(texts[lo:hi], width):
+                    own = set_hash(s) if len(s) else None
+                    new = own is not None and ids[len(n)] is not None and own not in had
+                    if new:
+                        had.add(own)
                     n.append(len(s))
-                    f.append(set_hash(s) if len(s) else None)
+                    f.append(own)
                     packed.append(sketch(s))
-                    keys.append(entries_of(s, least).view(np.int64) if len(s) else [])
+                    keys.append(parts_of(entries_of(s, least)) if new else [[]] * PARTS)
             grid = np.stack(packed)
-            columns = [b.column(0), pa.array(n, pa.int64()), pa.array(f, pa.int64()), *[pa.array(grid[:, i]) for i in range(len(PACKED))], pa.array(keys, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["id", "n", "f", *PACKED, "keys"])
+            columns = [b.column(0), pa.array(n, pa.int64()), pa.array(f, pa.int64()), *[pa.array(grid[:, i]) for i in range(len(PACKED))], *[pa.array(k, pa.list_(pa.int64())) for k in zip(*keys, strict=True)]]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "n", "f", *PACKED, *KEYS])
 
     rows = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), text_of(text_col).alias("t"))
-    return rows.mapInArrow(tidily(run), "id long, n long, f long, " + ", ".join(f"{p} long" for p in PACKED) + ", keys array<long>")
+    return rows.mapInArrow(tidily(run), "id long, n long, f long, " + ", ".join([*(f"{p} long" for p in PACKED), *(f"{k} array<long>" for k in KEYS)]))
 
 
 def close(least: int):
@@ -144,14 +174,11 @@ def jaccard_groups(df: DataFrame, width: int = 4, least: int = 85, id_col: str =
     if least < 76:
         raise ValueError("least must be 76 or more")
     full = cut(sketches(df, width, least, id_col, text_col))
-    base = cut(full.drop("keys"))
+    base = cut(full.drop(*KEYS))
     classes = cut(classes_of(base))
-    # Entries of one row for each set: only sets that several rows have are looked at for this.
-    usable = full.where("f is not null and id is not null").select("f", "keys")
-    several = cut(base.where("f is not null and id is not null").groupBy("f").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("f"))
-    once = usable.join(several, "f", "left_anti").unionByName(usable.join(several, "f", "left_semi").dropDuplicates(["f"]))
-    each = once.select("f", F.explode("keys").alias("key"))
-    shared = cut(meeting(each, classes, least))
+    held = [cut(several(full.select("f", F.explode(k).alias("key")))) for k in KEYS]
     discard(full)  # the entries are the larger part of it
+    shared = cut(met(reduce(DataFrame.unionByName, held), classes, least))
+    discard(*held)
     out = grouped(df, base, classes, shared, close(least), width, least, id_col, text_col)
     return out.select(F.col("id").alias(id_col), "n_shingles", "component_id")

@@ -1,11 +1,14 @@
 """Hard negatives, the Jaccard join and the ranked search against brute force and their SQL; topics at any partitioning."""
 
+from collections import Counter
+
 import duckdb
 import numpy as np
 import pytest
 from test_operators import SF, near_brute
 
 from sparksheet.llm import lexical, mixing, negatives, parity, queries
+from sparksheet.llm.hashing import shingle_sets
 
 
 @pytest.mark.parametrize("name", ["op11_negatives", "op12_jaccard", "op13_lexical"])
@@ -113,6 +116,26 @@ def test_jaccard_of_families_and_odd_rows(spark):
     assert parity.jaccard_groups(df.limit(0)).collect() == []
 
 
+def test_jaccard_looks_through_its_chunks_part_by_part(spark, monkeypatch):
+    """No step shuffles all chunks at once, copies in several tasks are one set, and the parts together are all that sets share."""
+    r = np.random.default_rng(5)
+    base = [f"w{i}" for i in range(200)]
+    made = [" ".join([*base[:180], *(f"x{i}" for i in r.integers(0, 10**6, 1 + i % 12))]) for i in range(60)]
+    rows = list(enumerate(made * 3))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    seen, cut = [], parity.cut
+    monkeypatch.setattr(parity, "cut", lambda t: seen.append(cut(t)) or seen[-1])
+    monkeypatch.setattr(parity, "discard", lambda *t: None)
+    got = {x["doc_id"]: x["component_id"] for x in parity.jaccard_groups(df).collect()}
+    assert got == {k: c for k, (_, c) in near_brute(rows, 4, 85).items()}
+    parts = [{(x["key"], x["f"]): x["held"] for x in t.collect()} for t in seen if "held" in t.columns]
+    sets = {parity.set_hash(s): s for s in shingle_sets(made, 4)}
+    many = Counter(k for s in sets.values() for k in parity.entries_of(s, 85).view(np.int64).tolist())
+    want = {(k, f): many[k] for f, s in sets.items() for k in parity.entries_of(s, 85).view(np.int64).tolist() if many[k] > 1}
+    assert {k: n for p in parts for k, n in p.items()} == want and sum(map(len, parts)) == len(want)
+    assert len(parts) >= 4 and max(map(len, parts)) < 0.5 * len(want)
+
+
 @pytest.mark.parametrize("size", [dict(), dict(shard_postings=200, item_terms=7), dict(most_terms=0), dict(most_terms=0, shard_postings=90)])
 def test_search_of_odd_rows(spark, size):
     """Ties among repeated texts, null and empty texts and ids, repeated items, terms that no document has; by brute force."""
