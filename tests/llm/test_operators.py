@@ -313,6 +313,28 @@ def test_secrets_of_few_characters(spark):
         assert abs(1 / (1 + np.exp(-z)) - p) < 1e-5
 
 
+def test_secrets_are_learned_from_all_candidates(spark):
+    """Every finding and every other candidate of every task is counted, the threshold is by all findings, and scores from the texts are those of the windows."""
+    r = np.random.default_rng(12)
+    word = lambda a, n: "".join(r.choice(list(a), n))
+    made = [f"{word('etaoinshrdlu', 9)} token={word('ABCDEFGH23456789', 14)} {word('etaoinshrdlu', 7)} \0 {word('xyz', 60)}" for _ in range(2600)]
+    df = spark.createDataFrame(list(enumerate(made)), "doc_id long, text string").repartition(3)
+    t = secrets.Texts(made)
+    net, positives, negatives = secrets.learn(df, "text", secrets.ROUNDS)
+    assert (positives, negatives) == (2600, len(t.free)) and negatives > 5000
+    best = np.full(len(t.free), 0.0)
+    for own, x in t.windows(t.free):
+        np.maximum.at(best, own, net.scores(x))
+    assert np.abs(1 / (1 + np.exp(-net.best(t, t.free))) - best).max() < 1e-5
+    z = net.best(t, t.values)
+    least, bins = secrets.least_score(df, "text", net, 0.9)
+    step = 1 / secrets.BINS / 4096
+    assert sum(bins.values()) == 2600 and (z >= least).sum() >= 0.9 * 2600 > (z >= least + step).sum() - 1
+    found = secrets.find_secrets(df).select("spans.score").collect()
+    assert len(found) == 2600 and all(0 <= s <= 1 for x in found for s in x["score"])
+    assert (net.best(t, t.free) >= least).mean() < 0.05
+
+
 def test_licenses(spark, texts, odd, none):
     for r in op10_licenses(spark, SF).collect():
         w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", texts[r["doc_id"]].translate(AZ))
