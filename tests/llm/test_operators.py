@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 import zlib
 
 import duckdb
@@ -335,6 +336,66 @@ def test_secrets_are_learned_from_all_candidates(spark):
     assert (net.best(t, t.free) >= least).mean() < 0.05
 
 
+def test_secret_scores_share_the_texts_convolution():
+    """Scores from the texts are those of the windows at bodies of every length, at a third of their CPU time at most."""
+    r = np.random.default_rng(14)
+    word = lambda n: "".join(r.choice(list("etaoinshrdluABC0123456789"), n))
+    odd = [f"{'é ' * (n % 3)}{word(n)}{'!' * (n % 7)} {word(6)}\0" for n in range(1, 160)] + ["", word(48), word(96), word(43), "x" * 49, "k:" * 99]
+    many = [" ".join(word(n) for n in r.integers(2, 12, 200)) for _ in range(200)]
+    net, spent = secrets.Network(3), []
+    for made in (odd, many):
+        t = secrets.Texts(made)
+        spent = [[], []]
+        for _ in range(3):
+            at, best = time.process_time(), np.full(len(t.free), 0.0)
+            for own, x in t.windows(t.free):
+                np.maximum.at(best, own, net.scores(x))
+            middle = time.process_time()
+            z = net.best(t, t.free)
+            spent[0].append(middle - at)
+            spent[1].append(time.process_time() - middle)
+        assert len(z) > 300 and np.abs(1 / (1 + np.exp(-z)) - best).max() < 1e-5
+    assert min(spent[1]) < min(spent[0]) / 3
+
+
+def test_secret_network_steps_follow_the_gradient():
+    """A step's gradients are the differences of the loss, for every kind of weight."""
+    r = np.random.default_rng(15)
+    word = lambda n: "".join(r.choice(list("abcdef0123 é"), n))
+    x = secrets.codes([secrets.windows(word(90), int(lo), int(lo) + 6 + int(n))[0] for lo, n in zip(r.integers(0, 40, 30), r.integers(0, 42, 30), strict=True)])
+    y, weight, net = (np.arange(30) % 3 == 0).astype(float), r.uniform(0.01, 0.1, 30), secrets.Network()
+    net.p["b"] += 0.05
+    moments = net.moments()
+    was = {k: v.copy() for k, v in net.p.items()}
+    net.step(x, y, weight, moments)
+    net.p = was
+    loss = lambda: float((weight * (np.logaddexp(0, net.raw(x)) - y * net.raw(x))).sum())
+    for k, v in net.p.items():
+        for i in r.choice(v.size, min(v.size, 60), replace=False):
+            old, both = v.flat[i], []
+            for d in (1e-6, -1e-6):
+                v.flat[i] = old + d
+                both.append(loss())
+            v.flat[i] = old
+            assert abs((both[0] - both[1]) / 2e-6 - 10 * moments[k][0].flat[i]) < 1e-6
+
+
+def test_secret_fixed_detectors_by_their_patterns():
+    """Quick looks ahead of the patterns leave no finding out."""
+    r = np.random.default_rng(16)
+    parts = ["AKIA", "AKIAAKIA", "0123456789abcdef" * 2, "deadbeef", "F00D", "toKEN", "to\u212aen", "Api_Key", "aPIkey", "rapid", "PASSWD", "password", "secret", "'", '"', " ", " ", ":", "=", "x" * 5, "hunter2hunter2", "ABCDEFGH01234567", "\u0130", "\ud800", "é", "\0", "\n"]
+    assign = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
+    kinds = set()
+    for _ in range(6000):
+        t = "".join(r.choice(parts, r.integers(1, 12)))
+        spans = [(m.start(), 0, m.end(), *m.span(2)) for m in assign.finditer(t) if len(m[2]) >= 6]
+        spans += [(m.start(), 1, m.end(), *m.span()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 20]
+        spans += [(m.start(), 2, m.end(), *m.span()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 24]
+        assert secrets.detect(t) == sorted(spans)
+        kinds |= {x[1] for x in spans}
+    assert kinds == {0, 1, 2}
+
+
 def test_licenses(spark, texts, odd, none):
     for r in op10_licenses(spark, SF).collect():
         w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", texts[r["doc_id"]].translate(AZ))
